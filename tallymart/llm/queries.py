@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, quality
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op3_byte_bpe": bpe.op3_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL}
