@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, quality
+from . import bpe, quality, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL}

@@ -141,8 +141,8 @@ def probes(fps: DataFrame, groups: list[list[int]], limits: list[int]) -> DataFr
             continue
         flips = [sum(1 << b for b in c) for k in range(t + 1) for c in combinations(bits, k)]
         own = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-        keys = F.explode(F.transform(F.lit(np.array([_signed(x) for x in flips], np.int64)), lambda x, own=own: own.bitwiseXOR(x)))
-        out.append(F.struct(F.lit(part).alias("part"), F.transform(F.lit(np.array([_signed(x) for x in flips], np.int64)), lambda x, own=own: own.bitwiseXOR(x)).alias("keys")))
+        keys = F.transform(F.lit(np.array([_signed(x) for x in flips], np.int64)), lambda x, own=own: own.bitwiseXOR(x))
+        out.append(F.struct(F.lit(part).alias("part"), keys.alias("keys")))
     each = fps.select("fp", F.explode(F.array(*out)).alias("p"))
     return each.select(F.col("p.part").alias("part"), F.explode("p.keys").alias("key"), "fp")
 
@@ -183,7 +183,7 @@ def forest(bucket: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> list[tup
                 trees[first[i]] -= 1
                 out.append((i, i + d))
         if len(near):
-            while (up := root[root]).tolist() != root.tolist() if n < 64 else not np.array_equal(up := root[root], root):
+            while not np.array_equal(up := root[root], root):
                 root[:] = up
         d += 1
 
@@ -197,7 +197,7 @@ def links(keyed: DataFrame, parallel: int, radius: int = RADIUS) -> DataFrame:
         def flush(rows: np.ndarray) -> pa.RecordBatch:
             change = np.r_[False, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]
             bucket = np.cumsum(change)
-            fp = rows[:, 2].astype(np.uint64) if rows.dtype != np.int64 else rows[:, 2].copy().view(np.uint64)
+            fp = rows[:, 2].copy().view(np.uint64)
             many = np.bincount(bucket)[bucket] > 1
             bucket, fp = bucket[many], fp[many]
             pairs = np.array(forest(bucket, fp, radius), np.int64).reshape(-1, 2)
@@ -207,11 +207,11 @@ def links(keyed: DataFrame, parallel: int, radius: int = RADIUS) -> DataFrame:
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
             rows = np.concatenate([*held, rows])
-            cut = len(rows)  # the last bucket may go on in the next batch
-            if cut:
-                same = (rows[:, 0] == rows[-1, 0]) & (rows[:, 1] == rows[-1, 1])
-                cut = int(np.argmax(same))
-                held = [rows[cut:]]
+            if not len(rows):
+                continue
+            # The last bucket may go on in the next batch.
+            cut = int(np.argmax((rows[:, 0] == rows[-1, 0]) & (rows[:, 1] == rows[-1, 1])))
+            held = [rows[cut:]]
             if cut:
                 yield flush(rows[:cut])
         if held:
