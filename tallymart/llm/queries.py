@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, simhash
+from . import bpe, quality, simhash, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_url_filters": urls.op9_url_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **urls.ORACLE_SQL}
