@@ -139,14 +139,17 @@ def probes(fps: DataFrame, groups: list[list[int]], limits: list[int]) -> DataFr
     for part, (bits, t) in enumerate(zip(groups, limits)):
         if t < 0:
             continue
-        flips = [sum(1 << b for b in c) for k in range(t + 1) for c in combinations(bits, k)]
-        own = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-        keys = F.transform(F.lit(np.array([_signed(x) for x in flips], np.int64)), lambda x, own=own: own.bitwiseXOR(x))
+        flips = [_signed(sum(1 << b for b in c)) for k in range(t + 1) for c in combinations(bits, k)]
+        keys = _keys(F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits)))), flips)
         out.append(F.struct(F.lit(part).alias("part"), keys.alias("keys")))
     each = fps.select("fp", F.explode(F.array(*out)).alias("p"))
     return each.select(F.col("p.part").alias("part"), F.explode("p.keys").alias("key"), "fp")
 
 
+def _keys(own: Column, flips: list[int]) -> Column:
+    return F.transform(F.lit(np.array(flips, np.int64)), lambda x: own.bitwiseXOR(x))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 

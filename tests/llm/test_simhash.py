@@ -81,6 +81,14 @@ def test_search_for_any_partition_and_thresholds(spark):
         assert got == want, parts
 
 
+def test_keys_of_probes(spark):
+    fp = 0b1011 | 1 << 63
+    groups = [list(range(0, 32)), list(range(32, 64))]
+    rows = simhash.probes(spark.createDataFrame([(simhash._signed(fp),)], "fp long"), groups, [1, 0]).collect()
+    keys = {(r.part, r.key & (2**64 - 1)) for r in rows}
+    assert keys == {(0, 0b1011), (1, 1 << 63)} | {(0, 0b1011 ^ 1 << b) for b in range(32)} and len(rows) == 34
+
+
 def test_forest_spans_what_is_linked():
     r = np.random.default_rng(1)
     fp = np.array(random_fps(9, 4, 60), np.uint64)
