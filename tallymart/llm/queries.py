@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, simhash, urls
+from . import bpe, jpeg, mixing, quality, simhash, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op6_media_columns": jpeg.op6_media_columns,
     "op7_mixing": mixing.op7_mixing,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_url_filters": urls.op9_url_filters,
