@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, jpeg, mixing, quality, sharding, simhash, urls
+from . import bpe, jpeg, mixing, pii, quality, sharding, simhash, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_pii": pii.op4_pii,
     "op5_balanced_shards": sharding.op5_balanced_shards,
     "op6_media_columns": jpeg.op6_media_columns,
     "op7_mixing": mixing.op7_mixing,
