@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jpeg, mixing, pii, quality, sharding, simhash, urls
+from . import blocks, bpe, jpeg, mixing, pii, quality, sharding, simhash, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_url_filters": urls.op9_url_filters,
+    "op10_html_extraction": blocks.op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **urls.ORACLE_SQL}
