@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import blocks, bpe, jpeg, mixing, pii, quality, sharding, simhash, urls
+from . import blocks, bpe, jpeg, lm, mixing, pii, quality, sharding, simhash, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_lm_scoring": lm.op2_lm_scoring,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_pii": pii.op4_pii,
     "op5_balanced_shards": sharding.op5_balanced_shards,
