@@ -40,19 +40,18 @@ class Cut:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out.cut_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.paths.pop(id(df), None)
-        if path:
+        path = getattr(df, "cut_path", "")
+        if path.startswith(self.base):
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
