@@ -1,0 +1 @@
+"""Retail data quality and dimensional analytics on Spark DataFrames."""

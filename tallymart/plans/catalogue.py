@@ -1,4 +1,10 @@
-"""Registered queries over the reference tables and their SQL."""
+"""All registered queries over the reference tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from tallymart.plans import q_checks
+from tallymart.plans.registry import ORACLE_SQL, QUERIES
+
+flagship = q_checks.flagship
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -1,0 +1 @@
+"""Empty on purpose: the tables of this library are loaded in batches, and live ingestion is out of its scope."""
