@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymart.plans import q_checks, q_clean  # noqa: F401
+from tallymart.plans import q_checks, q_clean, q_profile, q_star  # noqa: F401
 from tallymart.plans.registry import ORACLE_SQL, QUERIES
 
 flagship = q_checks.flagship
