@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.functions.columns import date_key
-from tallymart.sources.tables import insert_absent, number_rows, reload, upsert
+from tallymart.sources.tables import insert_absent, number_rows, reload, stage, upsert
 
 Tables = dict[str, DataFrame]
 
@@ -89,13 +89,13 @@ def fact_reviews(reviews: DataFrame, orders: DataFrame) -> DataFrame:
     return reload(rows, "review_key")
 
 
-def build_star(t: Tables) -> Tables:
-    """All tables of the model from cleaned ones, in the order of their dependencies."""
-    s: Tables = {"dim_date": dim_date(t["orders"]), "dim_customer": dim_customer(t["customers"]), "dim_seller": dim_seller(t["sellers"]), "dim_product": dim_product(t["products"], t["category_translation"]), "dim_geography": dim_geography(t["geolocation"]), "dim_order_status": dim_order_status(t["orders"])}
-    s["fact_orders"] = fact_orders(t["orders"], s["dim_customer"], s["dim_order_status"])
-    s["fact_order_items"] = fact_order_items(t["order_items"], s["fact_orders"], s["dim_product"], s["dim_seller"])
-    s["fact_payments"] = fact_payments(t["payments"], s["fact_orders"])
-    s["fact_reviews"] = fact_reviews(t["reviews"], s["fact_orders"])
+def build_star(t: Tables, staged: bool = False) -> Tables:
+    """All tables of the model from cleaned ones, in the order of their dependencies. ``staged``: each table is written
+    before those that read it, so that nothing is worked out twice."""
+    keep = stage if staged else lambda x: x
+    s = keep({"dim_date": dim_date(t["orders"]), "dim_customer": dim_customer(t["customers"]), "dim_seller": dim_seller(t["sellers"]), "dim_product": dim_product(t["products"], t["category_translation"]), "dim_geography": dim_geography(t["geolocation"]), "dim_order_status": dim_order_status(t["orders"])})
+    s |= keep({"fact_orders": fact_orders(t["orders"], s["dim_customer"], s["dim_order_status"])})
+    s |= keep({"fact_order_items": fact_order_items(t["order_items"], s["fact_orders"], s["dim_product"], s["dim_seller"]), "fact_payments": fact_payments(t["payments"], s["fact_orders"]), "fact_reviews": fact_reviews(t["reviews"], s["fact_orders"])})
     return s
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallymart.operators import kpi, reconcile, star
 from tallymart.plans.q_clean import CLEANED, cleaned
 from tallymart.plans.registry import add
+from tallymart.sources.tables import stage
 
 _dk = lambda c: f"CAST(strftime({c}, '%Y%m%d') AS INTEGER)"
 
@@ -111,13 +112,17 @@ MODEL_CHECKS = {
 }
 
 
-def run_checks(f, spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_checks(f, spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFrame:
+    """All checks together read every table of the model several times, so it is written first; one area need not."""
     c = cleaned(spark, sf_dir)[0]
-    return f(c, star.build_star(c))
+    if not staged:
+        return f(c, star.build_star(c))
+    c = stage(c)
+    return f(c, star.build_star(c, staged=True))
 
 
 for _name, (_f, _sqls) in MODEL_CHECKS.items():
-    add(_name, lambda s, d, f=_f: run_checks(f, s, d), model_sql(" UNION ALL ".join(_sqls)))
+    add(_name, lambda s, d, f=_f: run_checks(f, s, d, False), model_sql(" UNION ALL ".join(_sqls)))
 _all = " UNION ALL ".join(x for _, sqls in MODEL_CHECKS.values() for x in sqls)
 add("model_results", lambda s, d: reconcile.in_order(run_checks(reconcile.validate_model, s, d)), model_sql(_all))
 add("model_set_proof", lambda s, d: run_checks(lambda c, m: reconcile.business_keys(c, m, prove_sets=True), s, d).select("check_name", "status"), model_sql(" UNION ALL ".join(f"SELECT '{n}' AS check_name, CASE WHEN {_distinct(_c[s], k)} = {_distinct(_t[t], k)} THEN 'PASS' ELSE 'FAIL' END AS status" for n, s, t, k in reconcile.BUSINESS_KEYS)))

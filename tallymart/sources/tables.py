@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,6 +57,21 @@ def save_table(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").saveAsTable(name)
 
 
+def stage(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables written once and read again, for many checks over the same rows. They lie in the folder that driver and
+    executors share (spark.checkpoint.dir), in a temporary one only where none is set."""
+    spark = next(iter(found.values())).sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        shared = spark.sparkContext.getCheckpointDir()
+    base, out = f"{shared}/stage-{uuid.uuid4().hex}", {}
+    for name, df in found.items():
+        df.write.parquet(f"{base}/{name}")
+        out[name] = spark.read.schema(df.schema).parquet(f"{base}/{name}")
+    return out
+
+
 def existing_tables(spark: SparkSession, names: list[str]) -> DataFrame:
     """(dataset, table_exists) by the catalogue."""
     return spark.createDataFrame([(n, spark.catalog.tableExists(n)) for n in names], "dataset string, table_exists boolean")
