@@ -4,7 +4,7 @@ A page is cut into blocks: runs of text between block-level tags, with the path
 class and id). Each block becomes a vector of hashed path words, hashed text words and a few measures; a bidirectional
 LSTM, in numpy, reads the whole sequence of a page and gives every block the chance of being main text.
 
-The model is trained here, on the driver, on at most ``SAMPLE_PAGES`` pages (those of the smallest hashes). Labels come
+The model is trained here, on the driver, on about ``SAMPLE_PAGES`` pages (those of small hashes, twice as many at most). Labels come
 from the pages themselves: blocks in an article element are main text, blocks in navigation, headers, footers, asides,
 forms or elements named like them are not, the rest has no label. Each sampled page is also read in other layouts, in
 which its containers are renamed and blocks of other sampled pages stand in as comments, notices and lists, so that the
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_column, table
+from .common import hashed_sample, map_column, table
 
 SAMPLE_PAGES, TRAIN_BLOCKS = 192, 48
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 64, 32, 8, 16
@@ -381,9 +381,9 @@ def layout_label(path: tuple[str, ...]) -> int:
 
 
 def train(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> dict[str, np.ndarray]:
-    """A model from the bounded sample; its pages, at most SAMPLE_PAGES, reach the driver."""
-    some = pages.filter(F.length(html) > 0).orderBy(F.xxhash64(page_id, F.lit("blocks")), page_id).limit(SAMPLE_PAGES)
-    return fit([blocks(r[0]) for r in some.select(html).collect()])
+    """A model from the bounded sample; its pages, about SAMPLE_PAGES, reach the driver."""
+    some = hashed_sample(pages.select(F.col(page_id).alias("id"), F.col(html).alias("html")), "id", "blocks", SAMPLE_PAGES).limit(2 * SAMPLE_PAGES)
+    return fit([blocks(r.html) for r in sorted(some.collect(), key=lambda r: (r.id is None, r.id or 0, r.html or ""))])
 
 
 def extract(pages: DataFrame, html: str = "html", target: str = "main_text", model: dict[str, np.ndarray] | None = None, page_id: str = "page_id") -> DataFrame:
