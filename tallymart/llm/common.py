@@ -56,6 +56,14 @@ class Cut:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def hashed_sample(df: DataFrame, key: str, salt: str, most: int) -> DataFrame:
+    """About ``most`` rows, those of small hashes of the key (rows that share a key hash alike, so the caller bounds what
+    it takes to the driver). A filter: rows that are left out move nowhere, and no task sees them all."""
+    share = most / max(df.count(), 1)
+    h = F.xxhash64(key, F.lit(salt)).bitwiseAND(F.lit((1 << 31) - 1))
+    return df if share >= 1 else df.filter(h < int(share * (1 << 31)))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

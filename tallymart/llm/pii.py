@@ -8,8 +8,8 @@ are joined each to the next, so edges grow with mentions. Loopy belief propagati
 edges; a candidate becomes a span if one kind is sure enough. Base spans always stay.
 
 The weights of a node's features come from a logistic model that is trained here, on the driver, by numpy: its rows
-are base spans and candidates of at most ``SAMPLE_DOCS`` documents (those of the smallest hashes) and at most
-``SAMPLE_ROWS`` rows of these. The checks (digit sums, ranges, the plus sign) are not among the features, so that the
+are base spans and candidates of about ``SAMPLE_DOCS`` documents (those of small hashes) and at most ``SAMPLE_ROWS``
+rows of these. The checks (digit sums, ranges, the plus sign) are not among the features, so that the
 model learns what the kinds look like. Weights of edges are fixed parameters.
 
 Defined results: a null or empty text has no spans; offsets are code points; repeated rows get the same spans each;
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_column, table
+from .common import hashed_sample, map_column, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-SAMPLE_DOCS, SAMPLE_ROWS = 2000, 20_000
+SAMPLE_DOCS, SAMPLE_ROWS = 10_000, 20_000
 #: Log-potentials of agreement: same normal form, similar form, next candidate. A belief of SURE makes a span.
 SAME, SIMILAR, NEXT, SURE, ROUNDS, NEAR_CHARS = 5.0, 3.5, 0.3, 0.9, 15, 60
 
@@ -234,8 +234,8 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.5, decay
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
     """Weights (features, labels) from the bounded sample. Only feature rows reach the driver."""
-    some = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(F.col(text).rlike("[0-9@]"))
-    some = some.orderBy(F.xxhash64("id", F.lit("pii")), "id").limit(SAMPLE_DOCS).select("text")
+    some = hashed_sample(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", "pii", SAMPLE_DOCS)
+    some = some.filter(F.col("text").rlike("[0-9@]")).select("text")
     kind = pa.list_(pa.struct([("y", pa.int32()), ("x", pa.list_(pa.float64()))]))
     rows = map_column(some, "text", "rows", kind, "array<struct<y:int,x:array<double>>>", lambda: lambda ts: [[{"y": y, "x": x} for y, x in training_rows(t)] for t in ts])
     got = rows.select(F.explode("rows").alias("r")).select("r.*").limit(SAMPLE_ROWS).collect()
