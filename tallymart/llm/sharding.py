@@ -5,9 +5,10 @@ linked documents move, round by round, to the shard that holds most of their nei
 
 Documents of one text are alike, so the labels of a group are counts: (group, shard, n), at most as many rows as
 shards for each group, however large it is. A round joins every part of a group with the group's other parts, proposes
-to move it to the fullest one whose shard is open, sums the proposals for each pair of shards (at most shards squared
-numbers, which reach the driver), grants free places and swaps, and applies the grants by running sums, larger gains
-first. Documents without a link fill what is left. A group that is larger than a shard fills one after the other.
+to move it to the fullest one (of all, and in every other round of those whose shards have free places; ties by a hash
+that changes with the round), sums the proposals for each pair of shards (at most shards squared numbers, which reach
+the driver), grants free places and exchanges around rings of shards, and applies the grants by running sums, larger
+gains first. Every move adds to the squared sizes of parts, so rounds end; they go on until nothing moves. Documents without a link fill what is left. A group that is larger than a shard fills one after the other.
 
 Running sums and ranks are exact without gathering a shard or a group in one task: rows are dealt into ranges by the
 top bits of a hash, ranges are summed first, and only the rows of a range are numbered together.
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import Cut, table
 
-SHARDS, ROUNDS, BITS = 24, 24, 10
+#: Rounds are a guard only: propagation ends when IDLE rounds in a row have moved nothing.
+SHARDS, ROUNDS, IDLE, BITS = 24, 1000, 6, 10
 KEY = ["g", "text_crc32", "size"]
 
 
@@ -50,23 +52,51 @@ def quotas(n: int, shards: int) -> list[int]:
 
 
 def grant(demand: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
-    """How many documents may move from shard s to t: shares of the free places of t, and what two shards can swap."""
-    given: dict[tuple[int, int], int] = {}
-    for t in sorted({t for _, t in demand}):
-        left = free[t]
-        wanted = sum(n for (_, x), n in demand.items() if x == t)
-        for (s, x), n in sorted(demand.items(), key=lambda kv: (-kv[1], kv[0])):
-            if x == t:
-                given[s, t] = min(n, left, -(-free[t] * n // wanted))
-                left -= given[s, t]
-    for s, t in list(demand):
-        if s < t and (t, s) in demand:
-            swap = min(demand[s, t] - given[s, t], demand[t, s] - given[t, s])
-            given[s, t] += swap
-            given[t, s] += swap
+    """How many documents may move from shard s to t: into free places, those that moves leave behind included, and
+    then around rings of shards, the shortest first."""
+    left, free, given = dict(demand), list(free), dict.fromkeys(demand, 0)
+
+    def move(edges: list[tuple[int, int]], n: int) -> None:
+        for e in edges:
+            given[e] += n
+            left[e] -= n
+
+    moved = True
+    while moved:
+        moved = False
+        for s, t in sorted(left, key=lambda e: (-left[e], e)):
+            n = min(left[s, t], free[t])
+            if n > 0:
+                move([(s, t)], n)
+                free[t] -= n
+                free[s] += n
+                moved = True
+    for length in range(2, len(free) + 1):
+        for start in range(len(free)):
+            while ring := _ring(left, start, length):
+                move(ring, min(left[e] for e in ring))
     return {k: v for k, v in given.items() if v > 0}
 
 
+def _ring(left: dict[tuple[int, int], int], start: int, most: int) -> list[tuple[int, int]]:
+    """The shortest way along what is left from a shard back to it, of at most so many steps."""
+    came, front = {}, [start]
+    for _ in range(most):
+        after = []
+        for s, t in sorted(e for e, n in left.items() if n > 0 and e[0] in front):
+            if t == start:
+                ring = [(s, t)]
+                while s != start:
+                    ring.append((came[s], s))
+                    s = came[s]
+                return ring
+            if t not in came:
+                came[t] = s
+                after.append(t)
+        front = after
+    return []
+
+
 def propagate(parts: DataFrame, quota: list[int], cut: Cut, rounds: int = ROUNDS, bits: int = BITS) -> tuple[DataFrame, list[int]]:
     """Moves parts (key, shard, n) of groups until nothing moves; returns them and the load of each shard."""
 
@@ -76,20 +106,24 @@ def propagate(parts: DataFrame, quota: list[int], cut: Cut, rounds: int = ROUNDS
 
     parts = cut(parts)
     load = loads(parts)
-    for _ in range(rounds):
-        free = [q - n for q, n in zip(quota, load)]
-        if not sum(load):
+    idle = 0
+    for k in range(rounds):
+        free = [max(q - n, 0) for q, n in zip(quota, load)]
+        if not sum(load) or idle == IDLE:
             break
-        is_open = F.array(*(F.lit(f > 0) for f in free))
         # All parts of a group side by side (one for each shard at most), the fullest first.
-        whole = parts.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "shard"))).alias("all")).filter(F.size("all") > 1)
-        each = whole.select(*KEY, "all", F.posexplode("all").alias("at", "own"))
-        fuller = F.filter(F.slice("all", 1, F.col("at")), lambda x: is_open[x["shard"]] | (F.lit(sum(free)) == 0))
-        asks = each.filter(F.size(fuller) > 0).select(*KEY, F.col("own.shard").alias("s"), F.get(fuller, F.lit(0))["shard"].alias("t"), (-F.col("own.m")).alias("n"), (-F.get(fuller, F.lit(0))["m"] + F.col("own.m")).alias("gain"))
+        tie = F.xxhash64(*KEY, "shard", F.lit(k))
+        whole = parts.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), tie.alias("tie"), "shard"))).alias("all")).filter(F.size("all") > 1)
+        # One part of a group takes in the smaller ones, and stays itself.
+        is_open = F.array(*(F.lit(f > 0 or k % 2 == 0) for f in free))
+        head = F.get(F.filter("all", lambda x: is_open[x["shard"]]), F.lit(0))
+        each = whole.withColumn("head", head).select(*KEY, "head", F.explode("all").alias("own")).filter("own > head")
+        asks = each.select(*KEY, F.col("own.shard").alias("s"), F.col("head.shard").alias("t"), (-F.col("own.m")).alias("n"), (F.col("own.m") - F.col("head.m")).alias("gain"))
         demand = {(r.s, r.t): r.n for r in asks.groupBy("s", "t").agg(F.sum("n").alias("n")).collect()}
-        given = grant(demand, [max(f, 0) for f in free])
+        given = grant(demand, free)
+        idle = 0 if given else idle + 1
         if not given:
-            break
+            continue
         table_ = F.create_map(*(x for (s, t), n in sorted(given.items()) for x in (F.lit(s * len(quota) + t), F.lit(n).cast("long"))))
         asks = asks.withColumn("most", F.coalesce(table_[F.col("s") * len(quota) + F.col("t")], F.lit(0).cast("long"))).filter("most > 0")
         h = F.xxhash64(*KEY)

@@ -58,6 +58,17 @@ def test_kinds_of_groups(spark, kind):
         assert cut < 60
 
 
+def test_pairs_alone_come_together(spark):
+    texts = [f"t{i // 2}" for i in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    cut, _ = check(sharding.balanced_shards(docs, shards=8, bits=3).collect(), texts, 8)
+    assert cut <= 24
+
+
+def test_grants_go_around_rings():
+    assert sharding.grant({(0, 1): 3, (1, 2): 2, (2, 0): 4}, [0, 0, 0]) == {(0, 1): 2, (1, 2): 2, (2, 0): 2}
+
+
 def test_grants_stay_within_free_places_and_swaps():
     given = sharding.grant({(0, 1): 10, (1, 0): 4, (2, 1): 5}, [0, 6, 3])
     into = Counter()
