@@ -3,9 +3,10 @@
 Patterns with checks find the base spans of four kinds. A conditional random field then labels the places of a text
 that look like personal data but missed a pattern (a phone number without its plus sign, a number that repeats one
 found elsewhere in other punctuation). Its nodes are these candidates and the base spans, whose labels are known; its
-edges join neighbours, and, however far apart, mentions with the same or a similar normal form. Mentions of one form
-are joined each to the next, so edges grow with mentions. Loopy belief propagation spreads what is known along the
-edges; a candidate becomes a span if one kind is sure enough. Base spans always stay.
+edges join neighbours, and, however far apart, mentions with the same or a similar normal form. Three or more mentions
+of one form are joined through one more node, which stands for the form, so edges grow with mentions and every mention
+is two steps from every other. Loopy belief propagation spreads what is known along the edges until messages settle; a
+candidate becomes a span if one kind is sure enough. Base spans always stay.
 
 The weights of a node's features come from a logistic model that is trained here, on the driver, by numpy: its rows
 are base spans and candidates of about ``SAMPLE_DOCS`` documents (those of small hashes) and at most ``SAMPLE_ROWS``
@@ -32,7 +33,9 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE_DOCS, SAMPLE_ROWS = 10_000, 20_000
 #: Log-potentials of agreement: same normal form, similar form, next candidate. A belief of SURE makes a span.
-SAME, SIMILAR, NEXT, SURE, ROUNDS, NEAR_CHARS = 5.0, 3.5, 0.3, 0.9, 15, 60
+SAME, SIMILAR, NEXT, SURE, NEAR_CHARS = 5.0, 3.5, 0.3, 0.9, 60
+#: Propagation ends when no message changes by more; the rounds guard against fields that never settle.
+SETTLED, ROUNDS = 1e-6, 1000
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 #: A match can only begin where a run of digits does, so the rest of a run is not tried.
@@ -151,19 +154,40 @@ def allowed(s: str) -> np.ndarray:
     return np.array([1, 0, s.count(".") == 3 and not set(s) & set(" ()-"), 12 <= digits <= 19, 9 <= digits <= 15], bool)
 
 
-def edges(text: str, nodes: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes (sorted by place) and their weights; at most three for each node."""
+def through(weight: float) -> float:
+    """Weight of edges to a shared node by which two mentions agree just as along one edge of ``weight``."""
+    g = np.exp(weight)
+    return float(np.log(g + np.sqrt(g * g + (len(LABELS) - 2) * g - (len(LABELS) - 1))))
+
+
+def edges(text: str, nodes: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs of nodes (sorted by place), their weights, and how many nodes stand for forms; those follow the others."""
     out: dict[tuple[int, int], float] = {}
-    last: dict[str, int] = {}
-    for j, (a, b) in enumerate(nodes):
-        if j and a - nodes[j - 1][1] <= NEAR_CHARS:
+    total = len(nodes)
+
+    def join(members: list[int], weight: float) -> int:
+        """The node that stands for the members: the first, or a new one."""
+        nonlocal total
+        if len(members) < 3:
+            if len(members) == 2:
+                out[members[0], members[1]] = weight
+            return members[0]
+        total += 1
+        out.update(((i, total - 1), through(weight)) for i in members)
+        return total - 1
+
+    same: dict[str, list[int]] = {}
+    similar: dict[str, dict[str, None]] = {}
+    own = [forms(text, a, b) for a, b in nodes]
+    for j, (form, like) in enumerate(own):
+        same.setdefault(form, []).append(j)
+        similar.setdefault(like, {})[form] = None
+        if j and nodes[j][0] - nodes[j - 1][1] <= NEAR_CHARS and like != own[j - 1][1]:
             out[j - 1, j] = NEXT
-        for form, weight in zip(forms(text, a, b), (SAME, SIMILAR)):
-            i = last.get(form)
-            if i is not None:
-                out[i, j] = max(out.get((i, j), 0), weight)
-            last[form] = j
-    return np.array(list(out), np.int64).reshape(-1, 2), np.array(list(out.values()))
+    stands = {form: join(members, SAME) for form, members in same.items()}
+    for alike in similar.values():
+        join([stands[form] for form in alike], SIMILAR)
+    return np.array(list(out), np.int64).reshape(-1, 2), np.array(list(out.values())), total - len(nodes)
 
 
 def propagate(unary: np.ndarray, pairs: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -180,7 +204,10 @@ def propagate(unary: np.ndarray, pairs: np.ndarray, weights: np.ndarray, rounds:
         into = np.exp(into - into.max(axis=1, keepdims=True))
         new = np.log(into.sum(axis=1, keepdims=True) + gain * into)
         new -= new.max(axis=1, keepdims=True)
-        message = 0.5 * message + 0.5 * new  # damped, which loops need
+        step = 0.5 * (new - message)  # damped, which loops need
+        message += step
+        if np.abs(step).max() < SETTLED:
+            break
     total = unary.copy()
     np.add.at(total, dst, message)
     total = np.exp(total - total.max(axis=1, keepdims=True))
@@ -201,7 +228,8 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
             unary[i, kind + 1] = 0
         else:
             unary[i, ~allowed(text[a:b])] = -30
-    belief = propagate(unary, *edges(text, [n[:2] for n in nodes]))
+    pairs, strength, more = edges(text, [n[:2] for n in nodes])
+    belief = propagate(np.r_[unary, np.zeros((more, len(LABELS)))], pairs, strength)
     out = []
     for (a, b, kind), p in zip(nodes, belief):
         best = int(p[1:].argmax()) + 1

@@ -64,6 +64,17 @@ def test_repeated_and_similar_mentions_agree():
     assert pii.added_spans("dial 017 555 7713 again", [], weights()) == []
 
 
+def test_dozens_of_repeats_agree():
+    for n in (2, 9, 19, 39):
+        text = "Call +1 (017) 555-7713 now. " + ("Words in between. " * 9 + "Or dial 1 017 555 7713 again. ") * n
+        w = np.zeros((pii.WIDTH, 5))
+        added = pii.added_spans(text, pii.base_spans(text), w)
+        assert len(added) == n and {k for _, _, k in added} == {3}
+    w[0, 0] = 0.3
+    text = "Call +1 (017) 555-7713 now. " + ("Words in between. " * 9 + "Or dial 1 017 555 7713 again. ") * 9
+    assert len(pii.added_spans(text, pii.base_spans(text), w)) == 9
+
+
 def test_beliefs_on_a_tree_are_exact():
     r = np.random.default_rng(2)
     unary = r.normal(size=(4, 5))
