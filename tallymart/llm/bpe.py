@@ -5,31 +5,39 @@ pattern into pieces, and each piece is encoded on its own. Within a piece the ex
 merging: an Aho-Corasick automaton over the tokens (bytes as Latin-1 characters) gives the longest token at each
 position, and a left-to-right search takes the longest token that may stand after the previous one, falls back to the
 next shorter one, and steps back where none is left. Two tokens may stand side by side if merging their bytes from
-scratch gives the two back; that test, made on the parts along the border, is memoised. A position from which no way leads on is marked and never tried
-again, so the work is linear in the piece.
+scratch gives the two back; that test, made on the parts along the border, is memoised. A position from which no way
+leads on is marked and never tried again, so the work is linear in the piece.
+
+Ids are kept as bytes of int32 from the memos on, so a text is one join of memo entries and a batch one Arrow list.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; texts are never cut short; repeated rows are
-encoded each; a table without rows gives none; columns other than the text pass through (a clash with the name of the
-new column is an error).
+encoded each; a table without rows gives none; the input's columns pass through unchanged. A new column whose name is
+taken comes under the first free one of name_, name__ and so on (see ``common.free_name``).
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import re
 from collections.abc import Callable
 from pathlib import Path
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_column, table
+from .common import free_name, map_column, table
 
 #: Memo sizes in one worker; when one is full it starts anew, which costs time but changes no result.
-MAX_PIECES, MAX_PIECE_CHARS, MAX_PAIRS = 200_000, 64, 600_000
+MAX_PARTS, MAX_PIECES, MAX_PIECE_CHARS, MAX_PAIRS = 400_000, 200_000, 64, 600_000
+#: A space within white space or at the end of a text, where cutting a text before its spaces would change the pieces.
+INNER_SPACE = re.compile(r" (?:\s|\Z)")
 
 
 def read_vocabulary(path: str) -> list[tuple[bytes, int]]:
@@ -38,6 +46,26 @@ def read_vocabulary(path: str) -> list[tuple[bytes, int]]:
     return [(base64.b64decode(token), int(rank)) for token, rank in lines]
 
 
+class Memo(dict):
+    """What ``work`` gives for a string. Met lately and before that are kept apart: what is met again moves up, the
+    rest goes when the memo is full."""
+
+    def __init__(self, work: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.work, self.most, self.older = work, most, {}
+
+    def __missing__(self, s: str) -> bytes:
+        found = self.older.get(s)
+        if found is None:
+            found = self.work(s)
+        if len(s) <= MAX_PIECE_CHARS:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[s] = found
+        return found
+
+
 class Encoder:
     """Encodes and decodes texts by a ranked byte vocabulary and a pattern."""
 
@@ -45,7 +73,7 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.rank = {token.decode("latin-1"): rank for token, rank in vocabulary}
         self.token = {rank: token.decode("latin-1") for token, rank in vocabulary}
-        self.raw = dict((rank, token) for token, rank in vocabulary)
+        self.raw = raw_tokens(vocabulary)
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token in self.rank:
             self.trie.add_word(token, len(token))
@@ -56,9 +84,10 @@ class Encoder:
         self.shorter = {r: next((q for k in range(len(s) - 1, 0, -1) if (q := self.rank.get(s[:k])) is not None), -1) for r, s in self.token.items()}
         self.size = {r: len(s) for r, s in self.token.items()}
         self.ids = max(self.token, default=0) + 1
-        #: Pieces met lately and before that: what is met again moves up, the rest goes.
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.pieces = Memo(self.piece, MAX_PIECES)
+        #: The public pattern lets a piece begin with one space and holds none further on, so a text may be cut before
+        #: every space that stands alone: parts are encoded apart, pieces of frequent parts are found only once.
+        self.spaced = Memo(lambda part: self.by_pieces(" " + part), MAX_PARTS) if pattern == public_tokenizers.PATTERN else None
 
     def split(self, s: str) -> tuple[str, str] | None:
         """The two tokens whose merge makes token s; None for a single byte. By the merge rule itself: the adjacent
@@ -133,28 +162,46 @@ class Encoder:
                     continue
             trial = shorter[trial]
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = tuple(self.encode_bytes(piece.encode("utf-8", "surrogatepass").decode("latin-1")))
-        if len(piece) <= MAX_PIECE_CHARS:
-            if len(self.pieces) >= MAX_PIECES:
-                self.older, self.pieces = self.pieces, {}
-            self.pieces[piece] = ids
-        return ids
+    def piece(self, piece: str) -> bytes:
+        return np.array(self.encode_bytes(piece.encode("utf-8", "surrogatepass").decode("latin-1")), np.int32).tobytes()
+
+    def by_pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text as bytes of int32."""
+        if not text:
+            return b""
+        if self.spaced is None or INNER_SPACE.search(text):
+            return self.by_pieces(text)
+        first, *parts = text.split(" ")
+        return self.by_pieces(first) + b"".join(map(self.spaced.__getitem__, parts))
 
     def encode(self, text: str | None) -> list[int]:
-        known, out = self.pieces, []
-        for piece in self.find(text or ""):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece)
-                known = self.pieces
-            out += ids
-        return out
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int] | None) -> bytes:
-        return b"".join(map(self.raw.__getitem__, ids or ()))
+        return b"".join(self.raw[ids].tolist()) if ids else b""
+
+
+def raw_tokens(vocabulary: list[tuple[bytes, int]]) -> np.ndarray:
+    """Bytes of each id; ids that the vocabulary leaves free stand for none."""
+    out = np.full(max((rank for _, rank in vocabulary), default=-1) + 1, b"", object)
+    for token, rank in vocabulary:
+        out[rank] = token
+    return out
+
+
+def id_lists(packed: list[bytes]) -> pa.ListArray:
+    offsets = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def decoded_bytes(raw: np.ndarray, ids: pa.ListArray) -> pa.Array:
+    tokens = raw[ids.flatten().to_numpy()].tolist()
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy()).tolist()
+    return pa.array([b"".join(tokens[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())
 
 
 def vocabulary_of(name: str = "byte_bpe_50k.tiktoken") -> list[tuple[bytes, int]]:
@@ -165,9 +212,9 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: li
     """Adds the column of token ids. The vocabulary, of a fixed size (about 1 MB), is read once and broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or vocabulary_of())
 
-    def make() -> Callable[[list], list]:
-        encoder = _encoder(shared.value, pattern)
-        return lambda texts: [encoder.encode(t) for t in texts]
+    def make() -> Callable[[list], pa.Array]:
+        packed = _encoder(shared.value, pattern).packed
+        return lambda texts: id_lists([packed(t) for t in texts])
 
     return map_column(docs, text, ids, pa.list_(pa.int32()), "array<int>", make, rows=128)
 
@@ -176,19 +223,39 @@ def decode(docs: DataFrame, ids: str = "ids", decoded: str = "decoded", vocabula
     """Adds the bytes that the ids stand for."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or vocabulary_of())
 
-    def make() -> Callable[[list], list]:
-        raw = {rank: token for token, rank in shared.value}
-        return lambda rows: [b"".join(map(raw.__getitem__, r or ())) for r in rows]
+    def make() -> Callable[[list], pa.Array]:
+        raw = raw_tokens(shared.value)
+        return lambda rows: decoded_bytes(raw, pa.array(rows, pa.list_(pa.int32())))
 
     return map_column(docs, ids, decoded, pa.binary(), "binary", make, rows=128)
 
 
-_kept: dict[tuple[int, str], Encoder] = {}
+def round_trip(docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", vocabulary: list[tuple[bytes, int]] | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """Adds the ids and the bytes decoded from them, in one pass over the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary or vocabulary_of())
+    ids, decoded = free_name(docs, ids), free_name(docs, decoded)
+    both = free_name(docs, "__both")
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+
+    def make() -> Callable[[list], pa.Array]:
+        encoder = _encoder(shared.value, pattern)
+
+        def run(texts: list) -> pa.Array:
+            lists = id_lists([encoder.packed(t) for t in texts])
+            return pa.StructArray.from_arrays([lists, decoded_bytes(encoder.raw, lists)], fields=list(kind))
+
+        return run
+
+    out = map_column(docs, text, both, kind, "struct<ids:array<int>,decoded:binary>", make, rows=128)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(both)["ids"].alias(ids), F.col(both)["decoded"].alias(decoded))
+
+
+_kept: dict[tuple[bytes, str], Encoder] = {}
 
 
 def _encoder(vocabulary: list[tuple[bytes, int]], pattern: str) -> Encoder:
     """One encoder with its memos for each vocabulary in a worker, kept from task to task."""
-    key = (len(vocabulary), hash((vocabulary[0], vocabulary[-1])), pattern)
+    key = (hashlib.sha256(repr(vocabulary).encode()).digest(), pattern)
     if key not in _kept:
         _kept[key] = Encoder(vocabulary, pattern)
     return _kept[key]
@@ -196,8 +263,7 @@ def _encoder(vocabulary: list[tuple[bytes, int]], pattern: str) -> Encoder:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
-    both = decode(encode(docs.select("doc_id", "text")).select("doc_id", "ids"))
-    return both.select(
+    return round_trip(docs.select("doc_id", "text")).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: A word of the contracts: a run of anything but space and U+0009 to U+000D.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,16 +69,37 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def map_column(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_type: str, make: Callable[[], Callable[[list], list]], rows: int = 256) -> DataFrame:
-    """Adds ``target`` = f(``source``) by Arrow batches; every other column passes through untouched.
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with as many underscores after it as it takes to clash with no column of ``df``. Columns whose names
+    differ in case only clash, too, as they do in Spark."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def position(df: DataFrame, name: str) -> int:
+    """Where a column stands; its name is looked up as Spark does, in any case."""
+    at = [k for k, c in enumerate(df.columns) if c == name] or [k for k, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not at:
+        raise ValueError(f"no column {name}")
+    return at[0]
+
+
+def map_column(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_type: str, make: Callable[[], Callable[[list], list | pa.Array]], rows: int = 256) -> DataFrame:
+    """Adds ``target`` = f(``source``) by Arrow batches; every other column passes through untouched. If the name is
+    taken, the new column has the one that ``free_name`` gives.
 
     make() is called once in each task and returns the function over a list of values. Batches go in slices of
     ``rows`` rows, so that long texts do not pile up.
     """
-    if target in df.columns:
-        raise ValueError(f"column {target} exists already")
-    at = df.columns.index(source)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{target}` {sql_type}"])
+    target, at = free_name(df, target), position(df, source)
+    schema = StructType([*(StructField(f.name, f.dataType) for f in df.schema.fields), StructField(target, DataType.fromDDL(sql_type))])
     names = [*df.columns, target]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +107,7 @@ def map_column(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_t
         for whole in batches:
             for start in range(0, whole.num_rows, rows):
                 batch = whole.slice(start, rows)
-                out = pa.array(f(batch.column(at).to_pylist()), kind)
-                yield pa.RecordBatch.from_arrays([*batch.columns, out], names=names)
+                out = f(batch.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, out if isinstance(out, pa.Array) else pa.array(out, kind)], names=names)
 
     return df.mapInArrow(run, schema)

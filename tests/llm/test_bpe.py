@@ -38,6 +38,7 @@ def test_random_texts(ours, theirs):
 
 def test_small_memos_change_nothing(theirs, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_PIECES", 3)
+    monkeypatch.setattr(bpe, "MAX_PARTS", 2)
     monkeypatch.setattr(bpe, "MAX_PAIRS", 3)
     e = bpe.Encoder(WORDS, public_tokenizers.PATTERN)
     text = "Then edinth is thndor thonndon ernd reer thor edtionnt to nd sting antilyou erer " * 3
@@ -63,5 +64,19 @@ def test_nulls_repeats_and_clashes(spark):
     assert bpe.digest(docs.limit(0)).count() == 0
     kept = bpe.encode(docs)
     assert kept.columns == ["doc_id", "text", "token", "ids"]
-    with pytest.raises(ValueError):
-        bpe.encode(kept)
+
+
+def test_taken_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", "mine", 7)], "doc_id long, text string, IDS string, decoded int")
+    twice = bpe.decode(bpe.encode(docs), "ids_")
+    for got in (twice, bpe.round_trip(docs)):
+        assert got.columns == ["doc_id", "text", "IDS", "decoded", "ids_", "decoded_"]
+        r = got.first()
+        assert (r.IDS, r.decoded, r.decoded_) == ("mine", 7, b"a b") and len(r.ids_) == 2
+
+
+def test_white_space_of_all_kinds(ours, theirs):
+    r = random.Random(9)
+    for _ in range(4000):
+        text = "".join(r.choice(["a", "b1", ".", " ", " ", "\n", "\t", "\x85", "\xa0", "\u3000", "\x1c", "'s"]) for _ in range(r.randint(0, 14)))
+        assert ours.encode(text) == theirs.encode_ordinary(text), repr(text)
