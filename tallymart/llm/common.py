@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +69,17 @@ def hashed_sample(df: DataFrame, key: str, salt: str, most: int) -> DataFrame:
     return df if share >= 1 else df.filter(h < int(share * (1 << 31)))
 
 
+def one_blas_thread() -> None:
+    """Keeps numpy's products in this worker to one thread. A worker has one task, tasks fill the cores already, and
+    small products on many threads only burn time. Where numpy brings no OpenBLAS of its own, nothing is done."""
+    for path in glob.glob(f"{os.path.dirname(np.__file__)}.libs/*openblas*"):
+        found = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(found, name):
+                getattr(found, name)(1)
+                break
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
