@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, map_column, table
+from .common import hashed_sample, map_column, one_blas_thread, table
 
 SAMPLE_PAGES, TRAIN_BLOCKS = 192, 48
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 64, 32, 8, 16
@@ -396,6 +396,7 @@ def extract(pages: DataFrame, html: str = "html", target: str = "main_text", mod
         return ["\n".join(b.text for b, y in zip(bs, ys) if y > 0.5) for bs, ys in zip(cut, found)]
 
     def make() -> Callable[[list], list]:
+        one_blas_thread()
         return texts
 
     return map_column(pages, html, target, pa.string(), "string", make)

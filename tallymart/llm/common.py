@@ -106,6 +106,23 @@ def position(df: DataFrame, name: str) -> int:
     return at[0]
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """Columns called c0, c1 and so on: mapInArrow takes no dots in the names of its input."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def beside(df: DataFrame, needed: dict[str, str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of ``df`` unchanged, then those that ``work`` adds, each under a free name.
+
+    ``work`` sees one column ``_row`` that holds the whole input, which it hands on, and ``needed`` columns under names
+    of its own ({name: column of df}); so its working columns can have any names.
+    """
+    own = [F.struct(*(quoted(c).alias(f"c{k}") for k, c in enumerate(df.columns))).alias("_row")]
+    out = work(df.select(*own, *(quoted(df.columns[position(df, c)]).alias(name) for name, c in needed.items())))
+    new = [c for c in out.columns if c != "_row" and c not in needed]
+    return out.select(*(F.col("_row")[f"c{k}"].alias(c) for k, c in enumerate(df.columns)), *(F.col(c).alias(free_name(df, c)) for c in new))
+
+
 def map_column(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_type: str, make: Callable[[], Callable[[list], list | pa.Array]], rows: int = 256) -> DataFrame:
     """Adds ``target`` = f(``source``) by Arrow batches; every other column passes through untouched. If the name is
     taken, the new column has the one that ``free_name`` gives.
@@ -125,4 +142,4 @@ def map_column(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_t
                 out = f(batch.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, out if isinstance(out, pa.Array) else pa.array(out, kind)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return plain_names(df).mapInArrow(run, schema)

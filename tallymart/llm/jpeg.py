@@ -11,8 +11,9 @@ an AC scan are one and the same code, which is so in what ``write`` makes, a sca
 fields; the check is made on the bits themselves, and other scans take the general path, symbol by symbol.
 
 Defined results: a null text is stored as an empty one; a payload has at least 64 bytes; texts are stored whole; equal
-texts give equal files, tensors and features; repeated rows are stored each; an empty table gives none; other columns
-pass through (a clash with a new column's name is an error).
+texts give equal files, tensors and features; repeated rows are stored each; an empty table gives none; the
+input's columns pass through unchanged, and a new column whose name is taken comes under the first free one of name_,
+name__ and so on.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
-from .common import table
+from .common import free_name, one_blas_thread, plain_names, position, table
 
 #: Fixed by the JPEG standard: the zigzag order of coefficients in a block.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -473,13 +475,14 @@ def feature(tensor: np.ndarray) -> str:
 
 
 def _batches(df: DataFrame, source: str, added: dict[str, tuple[pa.DataType, str]], f, rows: int) -> DataFrame:
-    clash = set(added) & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
-    at, names, kinds = df.columns.index(source), [*df.columns, *added], [kind for kind, _ in added.values()]
-    schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema.fields), *(f"`{k}` {s}" for k, (_, s) in added.items())])
+    """Adds columns by Arrow batches; one whose name is taken comes under a free one."""
+    at, kinds = position(df, source), [kind for kind, _ in added.values()]
+    fresh = [StructField(free_name(df, k), DataType.fromDDL(s)) for k, (_, s) in added.items()]
+    schema = StructType([*(StructField(x.name, x.dataType) for x in df.schema.fields), *fresh])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         for whole in batches:
             for start in range(0, whole.num_rows, rows):
                 batch = whole.slice(start, rows)
@@ -487,7 +490,7 @@ def _batches(df: DataFrame, source: str, added: dict[str, tuple[pa.DataType, str
                 columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
 
-    return df.mapInArrow(run, schema)
+    return plain_names(df).mapInArrow(run, schema)
 
 
 def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
@@ -527,7 +530,7 @@ def cut_payload(n_bytes: str = "n_bytes", payload: str = "payload"):
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media")
-    back = load(stored, tensor=False).withColumn("payload", cut_payload())
+    back = load(stored).withColumn("payload", cut_payload())
     return back.select(
         "doc_id",
         "n_bytes",
@@ -537,4 +540,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "height",
+        "width",
+        F.sha2("tensor", 256).alias("tensor_sha256"),
     )

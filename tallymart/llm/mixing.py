@@ -3,8 +3,14 @@
 Documents of a source are dealt into blocks in a hashed order. A source of weight w has a release time floor(i / w)
 and a deadline ceil((i + 1) / w) for its block i; earliest deadline first among the released blocks fills one slot
 after the other and, as the weights sum to one, keeps each source less than one block from its ideal share at every
-slot. Weights are multiples of 1 / ``cycle``, so the schedule repeats after ``cycle`` slots: it is worked out once for
-one cycle, in a table of ``cycle`` rows whatever the size of the input, and joined to all blocks.
+slot. The schedule repeats after a cycle of slots: it is worked out once for one cycle, in a table of that many rows
+whatever the size of the input, and joined to all blocks.
+
+Whole weights whose sum is at most ``EXACT`` are kept as they are, their sum being the cycle: no deviation from the
+targets ever adds up. Other weights are rounded to multiples of 1 / ``cycle``, at least one each; the bound of one block
+then holds for the rounded weights, and each of these is less than one block a cycle from its target (sources that had
+to be raised to one take what they need from the larger ones in proportion). With more than ``cycle`` / 2 sources the
+cycle grows to twice their number, so none is refused.
 
 Every document comes out once. A source that has run out leaves its later slots empty; the others keep their windows,
 so within the slots each block holds the bound, and up to the first slot of an exhausted source the order of the rows
@@ -15,8 +21,9 @@ counted first, and only rows of one range are numbered together. A source with a
 ``2 ** bits`` pieces. The order does not depend on ``bits``.
 
 Defined results: a null source is a queue of its own under the empty name; null ids and texts are rows like others;
-rows that repeat another take places next to each other; an empty table gives no rows; other columns pass through
-(names beginning with ``mix_`` are taken).
+rows that repeat another take places next to each other; ties of deadlines go by source name; an empty table gives no
+rows; the columns of the input pass through unchanged, whatever their names, and a new column whose name is taken comes
+under the first free one of name_, name__ and so on.
 """
 
 from __future__ import annotations
@@ -24,9 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import beside, free_name, quoted, table
 
 CYCLE, BLOCK, BITS, TEMPER = 2048, 16, 10, 0.5
+#: The largest sum of whole weights that makes a cycle of its own.
+EXACT = 8192
 
 
 def tempered_targets(counts: DataFrame, temper: float = TEMPER) -> DataFrame:
@@ -37,16 +46,27 @@ def tempered_targets(counts: DataFrame, temper: float = TEMPER) -> DataFrame:
 def quotas(targets: DataFrame, cycle: int = CYCLE) -> DataFrame:
     """(mix_source, quota): blocks of each source in a cycle, at least one, by largest remainders; ties by name.
 
-    Sources are at most ``cycle`` in number; more are refused when the query runs.
+    ``cycle`` is the sum of the weights (which are then the quotas) or at least the number of sources.
     """
     every = Window.partitionBy()  # one row for each source
     n, total = F.count(F.lit(1)).over(every), F.sum("weight").over(every)
     ideal = F.round(F.col("weight") / total * (F.lit(cycle) - n), 9)
-    floors = targets.filter("weight > 0").select("mix_source", ideal.alias("ideal"), F.floor(ideal).alias("whole"), n.alias("n"))
+    floors = targets.filter("weight > 0").select("mix_source", "weight", ideal.alias("ideal"), F.floor(ideal).alias("whole"), n.alias("n"), total.alias("total"), F.every(F.col("weight") == F.floor("weight")).over(every).alias("exact"))
     left = F.lit(cycle) - F.col("n") - F.sum("whole").over(every)
     rank = F.row_number().over(Window.partitionBy().orderBy((F.col("ideal") - F.col("whole")).desc(), "mix_source"))
-    checked = F.when(F.col("n") <= cycle, F.col("whole") + 1 + (rank <= left).cast("long")).otherwise(F.raise_error(F.lit("more sources than slots in a cycle")).cast("long"))
-    return floors.select("mix_source", checked.alias("quota"))
+    given = F.col("exact") & (F.col("total") == cycle)
+    return floors.select("mix_source", F.when(given, F.col("weight").cast("long")).otherwise(F.col("whole") + 1 + (rank <= left).cast("long")).alias("quota"))
+
+
+def cycle_of(targets: DataFrame, cycle: int = CYCLE) -> int:
+    """Slots of a cycle: one number of sources and one sum reach the driver."""
+    w = F.col("weight")
+    r = targets.filter(w > 0).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("total"), F.every(w == F.floor(w)).alias("exact")).first()
+    if r.exact and r.total <= EXACT:
+        return int(r.total)
+    while cycle < 2 * r.n:
+        cycle *= 2
+    return cycle
 
 
 def ceil_div(a: Column, b: Column) -> Column:
@@ -99,9 +119,14 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, doc_id: str = "doc_id
     ``targets``: (mix_source, weight), of the caller; without it weights are tempered row counts. Sources without a
     positive target get none of the slots and come last (slot null). Order rows by mix_slot, mix_place.
     """
-    rows = ranked(docs, doc_id, source, bits)
+    return beside(docs, {"id": doc_id, "from": source}, lambda d: _mix(d, targets, cycle, block, bits))
+
+
+def _mix(docs: DataFrame, targets: DataFrame | None, cycle: int, block: int, bits: int) -> DataFrame:
+    rows = ranked(docs, "id", "from", bits)
     if targets is None:
-        targets = tempered_targets(docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("mix_source")).agg(F.count(F.lit(1)).alias("n")))
+        targets = tempered_targets(docs.groupBy(F.coalesce("from", F.lit("")).alias("mix_source")).agg(F.count(F.lit(1)).alias("n")))
+    cycle = cycle_of(targets, cycle)
     plan = one_cycle(quotas(targets, cycle), cycle).withColumnRenamed("quota", "mix_quota")
     size = plan.groupBy("mix_source").agg(F.first("mix_quota").alias("mix_quota"))
     at = F.col("mix_block")
@@ -121,8 +146,9 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, doc_id: str = "doc_id
 
 def in_mixed_order(docs: DataFrame, targets: DataFrame | None = None, **more) -> DataFrame:
     """All rows of ``docs``, its columns only, in the mixed order (which Parquet files keep)."""
+    at = {c: free_name(docs, c) for c in ("mix_slot", "mix_source", "mix_place")}
     mixed = mix(docs, targets, **more)
-    return mixed.orderBy(F.col("mix_slot").asc_nulls_last(), "mix_source", "mix_place").select(*docs.columns)
+    return mixed.orderBy(F.col(at["mix_slot"]).asc_nulls_last(), at["mix_source"], at["mix_place"]).select(*map(quoted, docs.columns))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

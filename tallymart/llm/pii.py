@@ -14,7 +14,9 @@ rows of these. The checks (digit sums, ranges, the plus sign) are not among the
 model learns what the kinds look like. Weights of edges are fixed parameters.
 
 Defined results: a null or empty text has no spans; offsets are code points; repeated rows get the same spans each;
-texts are read whole; an empty table gives no rows (the model is then all zeros); other columns pass through.
+texts are read whole; an empty table gives no rows (the model is then all zeros); the input's
+columns pass through unchanged (if one is called like the new column, that one comes under the first free name of
+name_, name__ ...); of overlapping spans of one start the kind first listed comes first.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ ledger (measurements and bits) is what is stored; a policy is a named, versioned
 bitwise AND, and ablations (what a policy would keep without one rule) are sums over the few distinct bit patterns.
 
 Defined results: a null text has no words and fails the length rule; an empty table gives an empty ledger; repeated
-rows are judged each; very long texts are measured whole; other columns of the documents pass through the ledger.
+rows are judged each; very long texts are measured whole; other columns of the documents pass through the ledger
+unchanged, and if one is called like the new column, that one comes under the first free name of name_, name__ ...
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_column, table
+from .common import free_name, map_column, table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -85,25 +86,26 @@ def mask(names: tuple[str, ...]) -> int:
     return sum(bits[n] for n in names)
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``quality``: a struct of the measurements and ``fail_bits``, each rule being evaluated once."""
+def ledger(docs: DataFrame, text: str = "text", target: str = "quality") -> DataFrame:
+    """Adds ``target``: a struct of the measurements and ``fail_bits``, each rule being evaluated once."""
     kind = pa.struct([(m, pa.int64()) for m in MEASURES])
     sql = "struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">"
 
     def make() -> Callable[[list], list]:
         return lambda texts: [dict(zip(MEASURES, measure(t))) for t in texts]
 
-    measured = map_column(docs, text, "quality", kind, sql, make)
-    q = {m: F.col("quality")[m] for m in MEASURES}
+    target = free_name(docs, target)
+    measured = map_column(docs, text, target, kind, sql, make)
+    q = {m: F.col(target)[m] for m in MEASURES}
     bits = F.lit(0).cast("long")
     for r in RULES:
-        bits = bits.bitwiseOR(F.when(F.expr(_over(r.fails)), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("quality", F.struct(*(c.alias(m) for m, c in q.items()), bits.alias("fail_bits")))
+        bits = bits.bitwiseOR(F.when(F.expr(_over(r.fails, target)), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
+    return measured.withColumn(target, F.struct(*(c.alias(m) for m, c in q.items()), bits.alias("fail_bits")))
 
 
-def _over(condition: str) -> str:
+def _over(condition: str, target: str) -> str:
     for m in sorted(MEASURES, key=len, reverse=True):
-        condition = condition.replace(m, f"quality.{m}")
+        condition = condition.replace(m, f"`{target}`.{m}")
     return condition
 
 

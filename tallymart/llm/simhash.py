@@ -14,13 +14,14 @@ the connected components. The search runs on distinct fingerprints only, so exac
 
 Defined results: null and word-less texts have fingerprint zero and link like any other; null ids are grouped like
 others but never name a group (a group of nothing but null ids has a null component_id); repeated rows come out each;
-an empty table gives no rows; columns other than id and text are not read.
+an empty table gives no rows; columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, map_column, table
+from .common import Cut, map_column, quoted, table
 
-BITS, RADIUS, SHINGLE, PARTS = 64, 3, 3, 2
+#: Words of a shingle and bits that may differ in keep_one(), the stage that removes near copies.
+STAGE_SHINGLE, STAGE_RADIUS = 5, 7
+BITS, RADIUS, SHINGLE, PARTS = 64, 3, 3, (2, 3, 4, 5, 6)
 #: Cost of one candidate pair in probes; only the plan depends on it, never the result.
 PAIR_COST = 0.05
 
@@ -83,7 +86,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     return fps.count(), both.reshape(BITS, BITS)
 
 
-def partition_bits(n: int, both: np.ndarray, parts: int = PARTS) -> list[list[int]]:
+def partition_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     """Equal parts of the bits, each grown from the bit that is most correlated with all by the next most correlated."""
     n = max(n, 1)
     p = np.diag(both) / n
@@ -103,8 +106,19 @@ def partition_bits(n: int, both: np.ndarray, parts: int = PARTS) -> list[list[in
     return out
 
 
+def plan(n: int, both: np.ndarray, parts: tuple[int, ...] = PARTS, radius: int = RADIUS) -> tuple[list[list[int]], list[int]]:
+    """Partitions and thresholds of the number of parts that is estimated to cost least."""
+    found = {k: partition_bits(n, both, k) for k in parts}
+    _, k, limits = min((cost, k, limits) for k in parts for cost, limits in [_allocate(n, both, found[k], radius)])
+    return found[k], limits
+
+
 def allocate(n: int, both: np.ndarray, groups: list[list[int]], radius: int = RADIUS) -> list[int]:
-    """Thresholds with the least estimated cost under sum(t + 1) = radius + 1.
+    return _allocate(n, both, groups, radius)[1]
+
+
+def _allocate(n: int, both: np.ndarray, groups: list[list[int]], radius: int) -> tuple[float, list[int]]:
+    """Thresholds with the least estimated cost under sum(t + 1) = radius + 1, and that cost.
 
     Two fingerprints differ in bit b with chance 2p(1 - p); the number of differing bits of a partition then has a
     Poisson-binomial distribution, which gives the share of pairs within t bits.
@@ -120,7 +134,7 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], radius: int = RA
             near[0] *= 1 - q
         ball, cost, share = 0, [0.0], 0.0
         for t in range(radius + 1):
-            ball += len(list(combinations(g, t))) if t < 3 else len(g) * (len(g) - 1) * (len(g) - 2) // 6
+            ball += comb(len(g), t)
             share += near[t]
             cost.append(n * ball + PAIR_COST * share * n * n / 2 * ball)
         costs.append(cost)
@@ -130,7 +144,7 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], radius: int = RA
             total: min((best[total - u][0] + cost[u], best[total - u][1] + [u - 1]) for u in range(radius + 2) if total - u in best)
             for total in range(radius + 2)
         }
-    return best[radius + 1][1]
+    return best[radius + 1]
 
 
 def probes(fps: DataFrame, groups: list[list[int]], limits: list[int]) -> DataFrame:
@@ -257,15 +271,14 @@ def components(edges: DataFrame, cut: Cut) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", fp: str = "fp", radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", fp: str = "fp", radius: int = RADIUS, parts: tuple[int, ...] = PARTS) -> DataFrame:
     """(fp, component_id) for every distinct fingerprint of a table that holds ids and fingerprints."""
     spark = docs.sparkSession
     cut = Cut(spark, "simhash")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     each = cut(docs.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("first_id")))
     n, both = bit_statistics(each.select("fp"))
-    groups = partition_bits(n, both, parts)
-    limits = allocate(n, both, groups, radius)
+    groups, limits = plan(n, both, parts, radius)
     tree = components(links(probes(each.select("fp"), groups, limits), width, radius), cut)
     rooted = each.join(tree, each["fp"] == tree["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -278,18 +291,24 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(near_duplicates(docs), "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, cut: Cut | None = None) -> DataFrame:
     """One row of each group of near-duplicates: the one of the smallest id (nulls last), of equal ids the one whose
-    row hash is smallest. Returns the columns of ``docs``."""
+    row hash is smallest. Returns the columns of ``docs``, whatever their names, with unchanged values.
+
+    Fingerprints are of shingles of ``size`` words. Texts of a Jaccard similarity of 0.8 differ in some bits of 64, not
+    in a fixed number: ``radius`` is wider than that of the thin query, and what it finds is measured in the tests.
+    Texts are written once, in a table that ``cut`` drops.
+    """
     columns = docs.columns
-    cut = Cut(docs.sparkSession, "near-dedup")
-    own = [c for c, kind in docs.dtypes if not kind.startswith("map")]
-    marked = cut(fingerprints(docs, text, "__fp").withColumn("__row", F.xxhash64(*own)))
-    groups = near_duplicates(marked, doc_id, "__fp").withColumnRenamed("fp", "__fp").withColumnRenamed("component_id", "__group")
+    cut = cut or Cut(docs.sparkSession, "near-dedup")
+    hashed = [quoted(c) for c, kind in docs.dtypes if "map<" not in kind]
+    packed = docs.select(F.struct(*(quoted(c).alias(f"c{k}") for k, c in enumerate(columns))).alias("row"), quoted(doc_id).alias("id"), quoted(text).alias("text"), F.xxhash64(*hashed).alias("hash"))
+    narrow = cut(fingerprints(packed.select("id", "text", "hash"), "text", "fp", size).select("id", "hash", "fp"))
+    groups = near_duplicates(narrow, "id", "fp", radius)
     # A group of null ids only has no name: its smallest fingerprint stands for it.
-    narrow = marked.select("__fp", F.col(doc_id).alias("__id"), "__row").join(groups, "__fp")
-    best = narrow.groupBy("__group", F.when(F.col("__group").isNull(), F.col("__fp")).alias("__alone")).agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("__fp").alias("fp"))).alias("b"))
-    stays = best.select(F.col("b.fp").alias("__fp"), F.col("b.row").alias("__row")).distinct()
-    found = marked.join(stays, ["__fp", "__row"], "left_semi")
+    of = narrow.join(groups, "fp")
+    best = of.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("b"))
+    stays = best.select(F.col("b.id").alias("stays_id"), F.col("b.hash").alias("stays_hash")).distinct()
+    found = packed.join(stays, F.col("id").eqNullSafe(F.col("stays_id")) & (F.col("hash") == F.col("stays_hash")), "left_semi")
     # Only rows that repeat another one in every column are left twice.
-    return found.groupBy("__fp", "__row").agg(F.first(F.struct(*columns)).alias("d")).select("d.*")
+    return found.groupBy("id", "hash").agg(F.first("row").alias("row")).select(*(F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(columns)))

@@ -6,7 +6,9 @@ counts where neither neighbour is an ASCII letter or digit. One strict term, or
 reject the URL.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule, has no terms and is
-allowed; empty tables, repeated rows, very long URLs and other columns need no special care.
+allowed; of rules of one length that fit, the one that is later in the alphabet decides; repeated rows are judged
+each; URLs are read whole; an empty table gives no rows. The input's columns stay as they are, and a new column whose
+name is taken comes under the first free one of name_, name__ and so on.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, map_column, table
+from .common import UPPER, ascii_lower, beside, map_column, table
 
 
 @dataclass(frozen=True)
@@ -109,7 +111,11 @@ def count_terms(pages: DataFrame, url: str = "url", strict: tuple[str, ...] = ST
 
 def judge(pages: DataFrame, url: str = "url", rules: tuple[HostRule, ...] = RULES, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
     """Adds host, path, rule, rule_verdict, terms, n_strict, n_soft (distinct) and verdict."""
-    seen = count_terms(apply_rules(split_url(pages, url), rules), url, strict, soft)
+    return beside(pages, {"url": url}, lambda p: _judge(p, rules, strict, soft, soft_limit))
+
+
+def _judge(pages: DataFrame, rules: tuple[HostRule, ...], strict: tuple[str, ...], soft: tuple[str, ...], soft_limit: int) -> DataFrame:
+    seen = count_terms(apply_rules(split_url(pages), rules), "url", strict, soft)
     among = lambda words: F.size(F.filter("terms", lambda t: t["term"].isin(*words))) if words else F.lit(0)
     seen = seen.withColumns({"n_strict": among(strict), "n_soft": among(soft)})
     rejects = (F.col("n_strict") >= 1) | (F.col("n_soft") >= soft_limit)

@@ -61,10 +61,33 @@ def test_given_targets_nulls_repeats_and_empty(spark):
     mixed = mixing.mix(docs, targets, cycle=8, block=2)
     assert mixed.count() == 63
     assert mixed.filter(F.col("mix_slot").isNull()).select("source").distinct().collect()[0].source == "s2"
-    assert {(r.mix_source, r.mix_quota) for r in mixed.filter("mix_slot is not null").collect()} == {("", 2), ("s0", 4), ("s1", 2)}
+    assert {(r.mix_source, r.mix_quota) for r in mixed.filter("mix_slot is not null").collect()} == {("", 1), ("s0", 2), ("s1", 1)}
     ordered = mixing.in_mixed_order(docs, targets, cycle=8, block=2)
     assert ordered.columns == docs.columns and ordered.count() == 63
     assert sorted(map(str, ordered.collect())) == sorted(map(str, docs.collect()))
     assert mixing.mix(docs.limit(0)).count() == 0
-    with pytest.raises(Exception, match="more sources"):
-        mixing.mix(docs, cycle=3).count()
+    assert mixing.mix(docs, cycle=3).filter("mix_slot is null").count() == 0
+
+
+def test_whole_weights_are_exact_and_many_sources_fit(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 30:02}") for i in range(900)], "doc_id long, source string")
+    targets = spark.createDataFrame([(f"s{i:02}", float(1 + i)) for i in range(30)], "mix_source string, weight double")
+    rows = mixing.mix(docs, targets, cycle=64, block=1).collect()
+    assert {r.mix_quota for r in rows} == set(range(1, 31)) and mixing.cycle_of(targets, 64) == 465
+    slots = sorted((r.mix_slot, r.mix_source) for r in rows)
+    done, last = Counter(), min(max(r.mix_slot for r in rows if r.mix_source == s) for s in {r.mix_source for r in rows})
+    assert [s for s, _ in slots[: last + 1]] == list(range(last + 1))
+    for slot, s in slots[: last + 1]:
+        done[s] += 1
+        assert all(abs(done[f"s{i:02}"] - Fraction((1 + i) * (slot + 1), 465)) < 1 for i in range(30))
+    uneven = targets.withColumn("weight", F.col("weight") + 0.5)
+    assert mixing.cycle_of(uneven, 16) == 64 and mixing.mix(docs, uneven, cycle=16).filter("mix_slot is null").count() == 0
+
+
+def test_taken_names_stay(spark):
+    docs = spark.createDataFrame([(i, "s", i, -i, "m", 2 * i, i) for i in range(40)], "doc_id long, source string, nth int, offset int, mix_source string, mix_slot int, id int")
+    got = mixing.mix(docs)
+    assert got.columns[:7] == docs.columns and {"mix_source_", "mix_slot_", "mix_rank"} <= set(got.columns)
+    assert sorted(got.select(*docs.columns).collect()) == sorted(docs.collect())
+    ordered = mixing.in_mixed_order(docs)
+    assert ordered.columns == docs.columns and sorted(ordered.collect()) == sorted(docs.collect())

@@ -1,11 +1,13 @@
+from collections import Counter
 from itertools import combinations
 
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallymart.llm import bpe, pii, quality, simhash
+from tallymart.llm import bpe, mixing, pii, quality, simhash
 from tallymart.llm.common import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -14,7 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def plain(rows):
     """The pipeline without Spark, all pairs compared; {doc_id: ids}. No span is added beyond the patterns here."""
     rows = [r for r in rows if not any(eval(x.fails, {}, dict(zip(quality.MEASURES, quality.measure(r.text)))) for x in quality.RULES)]
-    fps = [simhash.fingerprint(r.text) for r in rows]
+    fps = [simhash.fingerprint(r.text, simhash.STAGE_SHINGLE) for r in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -23,7 +25,7 @@ def plain(rows):
         return i
 
     for a, b in combinations(range(len(rows)), 2):
-        if (fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS:
+        if (fps[a] ^ fps[b]).bit_count() <= simhash.STAGE_RADIUS:
             root[max(find(a), find(b))] = min(find(a), find(b))
     kept = {}
     for i, r in enumerate(rows):
@@ -69,3 +71,52 @@ def test_nulls_repeats_and_empty(spark, empty):
     got = docs.collect()
     assert len(got) == (0 if empty else 2)
     assert empty or {r.doc_id for r in got} == {1, None}
+
+
+CLASHES = ["quality", "pii", "ids", "decoded", "mix_source", "mix_slot", "nth", "offset", "__fp", "__row", "_row", "fp", "hash", "id", "c0", "row", "group", "from", "IDS_", "both"]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_columns_of_any_name_pass_unchanged(spark, sf, name, stage):
+    docs = table(spark, sf, "documents")
+    wide = docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES), F.lit(1).alias("a.b"))
+    got = stage(spark, wide, sf)
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHES)
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stage(spark, docs, sf).collect())
+    assert corpus_pipeline.encode(spark, wide, sf).count() == docs.count()
+
+
+def test_mixed_order_reaches_the_result(spark, sf, tmp_path):
+    docs = table(spark, sf, "documents")
+    corpus_pipeline.mix_sources(spark, docs, sf).write.parquet(f"{tmp_path}/m")
+    got = corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/m"), sf).orderBy("mix_file", "mix_row").collect()
+    at = {r.doc_id: (r.mix_slot, r.mix_place) for r in mixing.mix(docs).collect()}
+    placed = [at[r.doc_id] for r in got]
+    assert placed == sorted(placed) and len(placed) == docs.count()
+
+
+def test_recall_of_near_copies(spark):
+    """Pairs of texts with a Jaccard similarity of 0.8 or more on five words, found by shared shingles."""
+    rows = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()
+    sets = {}
+    for r in rows:
+        w = r.text.lower().split()
+        sets[r.doc_id] = frozenset(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else frozenset()
+    holders, pairs = {}, set()
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    for i, s in sets.items():
+        for j, n in Counter(j for x in s for j in holders[x] if j > i).items():
+            if n / (len(s) + len(sets[j]) - n) >= 0.8 and s != sets[j]:
+                pairs.add((i, j))
+    docs = spark.createDataFrame(rows)
+    fps = simhash.fingerprints(docs, size=simhash.STAGE_SHINGLE).select("doc_id", "fp").cache()
+    group = {r.doc_id: r.component_id for r in fps.join(simhash.near_duplicates(fps, radius=simhash.STAGE_RADIUS), "fp").collect()}
+    found = sum(group[i] == group[j] for i, j in pairs)
+    print("near pairs", len(pairs), "found", found)
+    assert pairs and found >= 0.7 * len(pairs)
+    joined = [(i, g) for i, g in group.items() if i != g]
+    assert all(len(sets[i] & sets[g]) > 0 or not sets[i] for i, g in joined)

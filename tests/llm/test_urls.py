@@ -43,3 +43,10 @@ def test_counts_overlaps_and_empty(spark):
     v = urls.Vocabulary(("bet", "bets", "free-bets"))
     assert v.count("free-bets bet bets alphabets") == {"free-bets": 1, "bets": 2, "bet": 1}
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_repeats_and_taken_names(spark):
+    pages = spark.createDataFrame([(1, "http://casino.net/", "h", "p", "r", "t"), (1, "http://casino.net/", "h", "p", "r", "t")], "page_id long, url string, host string, PATH string, rule string, terms string")
+    got = urls.judge(pages)
+    assert got.columns[:6] == pages.columns and {"host_", "path_", "rule_", "terms_", "verdict"} <= set(got.columns)
+    assert [(r.host, r.PATH, r.rule, r.terms, r.host_, r.verdict) for r in got.collect()] == [("h", "p", "r", "t", "casino.net", "block")] * 2
