@@ -77,7 +77,7 @@ def test_search_for_any_partition_and_thresholds(spark):
     want = brute_components(dict(enumerate(fps)))
     df = spark.createDataFrame([(i, simhash._signed(x)) for i, x in enumerate(fps)], "doc_id long, fp long").repartition(3)
     for parts in (1, 2, 3, 4):
-        got = {r.doc_id: r.component_id for r in df.join(simhash.near_duplicates(df, parts=parts), "fp").collect()}
+        got = {r.doc_id: r.component_id for r in df.join(simhash.near_duplicates(df, parts=(parts,)), "fp").collect()}
         assert got == want, parts
 
 
