@@ -28,9 +28,10 @@ def to_number(c: Column) -> Column:
 
 
 def to_integer(c: Column) -> Column:
-    """A whole number, null where it is none: fractions are not cut off."""
+    """A whole number, null where it is none: fractions are not cut off. Digits are read as they stand, so keys beyond
+    2^53 stay exact; what is no plain integer (1e3, 7.0) goes through a double."""
     x = c.try_cast("double")
-    return F.when(x == F.floor(x), x.cast("long"))
+    return F.when(x == F.floor(x), F.coalesce(c.try_cast("bigint"), x.cast("long")))
 
 
 def is_fraction(c: Column) -> Column:
