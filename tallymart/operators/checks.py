@@ -123,15 +123,27 @@ def unmatched(child: DataFrame, column: str, parent: DataFrame, parent_column: s
     return rows.join(keys, F.col(column) == F.col("__parent_key"), "left_anti")
 
 
+def unmatched_counts(child: DataFrame, column: str, parent: DataFrame, parent_column: str, count_null_keys: bool = False) -> DataFrame:
+    """(__key, n) of child keys without a parent. Rows are counted by key first, so a key of many rows, or none, is one
+    row when it meets the parents."""
+    keys = child.groupBy(F.col(column).alias("__key")).agg(F.count(F.lit(1)).alias("n"))
+    return unmatched(keys, "__key", parent, parent_column, count_null_keys)
+
+
+def rows_of(counted: DataFrame, name: str) -> DataFrame:
+    return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
+
+
 def _edge_rule(tables: Tables, r: EdgeRule) -> DataFrame:
     e = r.edge
-    child, parent = tables[e.child], tables[e.parent].select(F.col(e.parent_column).alias("__parent_key")).distinct()
-    key = F.col(e.column)
+    keys = tables[e.child].groupBy(F.col(e.column).alias("__key")).agg(F.count(F.lit(1)).alias("n"))
+    parent = tables[e.parent].select(F.col(e.parent_column).alias("__parent_key")).distinct()
+    key, n = F.col("__key"), F.col("n")
     failing = F.col("__parent_key").isNull() & (F.lit(True) if r.count_null_keys else key.isNotNull())
-    # One left join gives orphans and all rows at once; the parent side is distinct, so rows do not multiply.
-    joined = child.select(key).join(parent, key == F.col("__parent_key"), "left")
-    amount = F.count_distinct(F.when(failing, key)) if r.distinct else F.count_if(failing)
-    return _measured([r], [(F.col("failed"), F.col("total"))], joined.agg(amount.alias("failed"), F.count(F.lit(1)).alias("total")))
+    # Both sides are one row a key, so one left join gives orphans and all rows at once, whatever the heaviest key.
+    joined = keys.join(parent, key == F.col("__parent_key"), "left")
+    amount = F.count_if(failing & key.isNotNull()) if r.distinct else F.coalesce(F.sum(F.when(failing, n)), F.lit(0))
+    return _measured([r], [(F.col("failed"), F.col("total"))], joined.agg(amount.alias("failed"), F.coalesce(F.sum(n), F.lit(0)).alias("total")))
 
 
 def _fixed_rules(spark: SparkSession, rules: list[FixedRule]) -> DataFrame:

@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.functions import columns as C
-from tallymart.operators.checks import unmatched
+from tallymart.operators.checks import rows_of, unmatched_counts
 from tallymart.operators.preprocess import missing
 from tallymart.specs import DatasetSpec, Edge
 
+# Action codes of the audit log.
+SET_NULL_TIME, SET_NULL_VALUE = "SET_INVALID_TIMESTAMP_TO_NULL", "SET_INVALID_VALUE_TO_NULL"
+DEDUPLICATE, RETAIN, RETAIN_NULL, RETAIN_GAP = "DEDUPLICATE", "RETAIN", "RETAIN_NULL", "RETAIN_SOURCE_LIMITATION"
+
 Tables = dict[str, DataFrame]
 
 
@@ -53,23 +57,23 @@ def nullify_value(df: DataFrame, column: str, value: object) -> DataFrame:
 
 
 def retain_zero(dataset: str, column: str) -> Action:
-    return Action(dataset, column, "zero value", "zero is kept", "RETAIN", f"{column} = 0", "zero may be meant")
+    return Action(dataset, column, "zero value", "zero is kept", RETAIN, f"{column} = 0", "zero may be meant")
 
 
 def retain_null(dataset: str, column: str, only_if_found: bool = False) -> Action:
-    return Action(dataset, column, "missing value", "missing stays missing", "RETAIN_NULL", f"{column} IS NULL", "no value is invented", only_if_found=only_if_found)
+    return Action(dataset, column, "missing value", "missing stays missing", RETAIN_NULL, f"{column} IS NULL", "no value is invented", only_if_found=only_if_found)
 
 
 def retain_null_where(dataset: str, column: str, condition: str, issue: str) -> Action:
-    return Action(dataset, column, issue, "missing stays missing", "RETAIN_NULL", f"({condition}) AND {column} IS NULL", "no value is invented")
+    return Action(dataset, column, issue, "missing stays missing", RETAIN_NULL, f"({condition}) AND {column} IS NULL", "no value is invented")
 
 
 def nullified_before(dataset: str, column: str, anchor: str) -> Action:
-    return Action(dataset, column, f"earlier than {anchor}", f"{column} not before {anchor}", "NULLIFY", f"{column} < {anchor}", "an impossible time is no time")
+    return Action(dataset, column, f"earlier than {anchor}", f"{column} not before {anchor}", SET_NULL_TIME, f"{column} < {anchor}", "an impossible time is no time")
 
 
 def nullified_value(dataset: str, column: str, value: object) -> Action:
-    return Action(dataset, column, f"value {value}", f"{column} is not {value}", "NULLIFY", f"{column} = {value!r}", "not a valid value")
+    return Action(dataset, column, f"value {value}", f"{column} is not {value}", SET_NULL_VALUE, f"{column} = {value!r}", "not a valid value")
 
 
 def audit(df: DataFrame, actions: list[Action], after: DataFrame | None = None) -> DataFrame:
@@ -101,21 +105,21 @@ def _entry(counted: DataFrame, dataset: str, column: str, issue: str, rule: str,
 def audit_duplicates(df: DataFrame, dataset: str) -> DataFrame:
     n = F.col("n")
     counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(n - 1), F.lit(0)).alias("affected"), F.coalesce(F.sum(n), F.lit(0)).alias("before"), F.count(F.lit(1)).alias("after"))
-    return _entry(counted, dataset, "__FULL_ROW__", "repeated rows", "one of equal rows is kept", "REMOVE_DUPLICATES", "equal rows say nothing new")
+    return _entry(counted, dataset, "__FULL_ROW__", "repeated rows", "one of equal rows is kept", DEDUPLICATE, "equal rows say nothing new")
 
 
 def audit_repeated_id(df: DataFrame, dataset: str, column: str) -> DataFrame:
     """How many values of an id that is no key occur more than once; they are kept."""
     n = F.col("n")
     counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if((n > 1) & F.col(column).isNotNull()).alias("affected"), F.coalesce(F.sum(n), F.lit(0)).alias("before")).withColumn("after", F.col("before"))
-    return _entry(counted, dataset, column, "repeated id", "the id is no key", "RETAIN", "rows of one id differ")
+    return _entry(counted, dataset, column, "repeated id", "the id is no key", RETAIN, "rows of one id differ")
 
 
 def audit_unmatched(tables: Tables, e: Edge, status: str = "APPLIED") -> DataFrame:
     child = tables[e.child]
-    counted = unmatched(child, e.column, tables[e.parent], e.parent_column).agg(F.count(F.lit(1)).alias("affected"))
+    counted = rows_of(unmatched_counts(child, e.column, tables[e.parent], e.parent_column), "affected")
     counted = counted.crossJoin(F.broadcast(child.agg(F.count(F.lit(1)).alias("before")))).withColumn("after", F.col("before"))
-    return _entry(counted, e.child, e.column, f"not in {e.parent}", "the row is kept", "RETAIN_UNMATCHED", "the lookup has gaps", status)
+    return _entry(counted, e.child, e.column, f"not in {e.parent}", "the row is kept", RETAIN_GAP if status == "DOCUMENTED" else RETAIN, "the lookup has gaps", status)
 
 
 class RowCountChanged(ValueError):
@@ -250,7 +254,7 @@ def clean_totals(summary: DataFrame, log: DataFrame) -> DataFrame:
 
 def edge_report(tables: Tables, edges: tuple[Edge, ...], count_null_keys: bool = False) -> DataFrame:
     """(child, column, parent, orphans) for each edge."""
-    parts = [unmatched(tables[e.child], e.column, tables[e.parent], e.parent_column, count_null_keys).agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(e.child).alias("child"), F.lit(e.column).alias("column"), F.lit(e.parent).alias("parent"), "orphans") for e in edges]
+    parts = [rows_of(unmatched_counts(tables[e.child], e.column, tables[e.parent], e.parent_column, count_null_keys), "orphans").select(F.lit(e.child).alias("child"), F.lit(e.column).alias("column"), F.lit(e.parent).alias("parent"), "orphans") for e in edges]
     return reduce(DataFrame.unionByName, parts)
 
 

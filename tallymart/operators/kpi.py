@@ -68,12 +68,12 @@ def top_categories(s: Star, by: str = "revenue", k: int = 5) -> DataFrame:
     return ranked.filter(F.col("rank") <= k).select("rank", "category", money("revenue").alias("revenue"), "orders")
 
 
-def top_sellers(s: Star, k: int = 10) -> DataFrame:
-    """By revenue; completed orders are delivered ones."""
-    delivered = s["fact_orders"].join(F.broadcast(s["dim_order_status"]), "order_status_key").filter(F.col("order_status") == "delivered").select("order_id", F.lit(1).alias("done"))
+def top_sellers(s: Star, by: str = "revenue", k: int = 10) -> DataFrame:
+    """By ``revenue`` or ``completed_orders``; completed orders are delivered ones."""
+    delivered = s["fact_orders"].join(s["dim_order_status"], "order_status_key").filter(F.col("order_status") == "delivered").select("order_id", F.lit(1).alias("done"))
     sold = s["fact_order_items"].join(delivered, "order_id", "left")
     each = sold.groupBy("seller_key").agg(F.sum("price").alias("revenue"), F.count_distinct(F.when(F.col("done") == 1, F.col("order_id"))).alias("completed_orders"))
-    top = each.orderBy(F.desc("revenue"), "seller_key").limit(k)
+    top = each.orderBy(F.desc(by), F.desc("revenue"), "seller_key").limit(k)
     return top.join(s["dim_seller"].select("seller_key", "seller_id", "seller_state"), "seller_key").select("seller_id", "seller_state", money("revenue").alias("revenue"), "completed_orders")
 
 
@@ -101,7 +101,7 @@ def average_review(s: Star) -> DataFrame:
 
 
 def status_distribution(s: Star) -> DataFrame:
-    n = s["fact_orders"].groupBy("order_status_key").agg(F.count(F.lit(1)).alias("orders")).join(F.broadcast(s["dim_order_status"]), "order_status_key")
+    n = s["fact_orders"].groupBy("order_status_key").agg(F.count(F.lit(1)).alias("orders")).join(s["dim_order_status"], "order_status_key")
     return share(n.select("order_status", "orders"), "orders", "pct")
 
 
@@ -122,6 +122,15 @@ def sales_trend(s: Star) -> DataFrame:
     return m.join(earlier, "month", "left").select("month", "quarter", "year", money("revenue").alias("revenue"), money("earlier").alias("revenue_last_year"), F.round(F.try_divide((F.col("revenue") - F.col("earlier")).cast("double") * 100, F.col("earlier").cast("double")), 2).alias("yoy_pct"))
 
 
+def sales_by_period(s: Star, period: str = "year") -> DataFrame:
+    """(period, revenue, revenue a year before, change in per cent) by ``quarter`` (as 1995-Q2) or ``year``."""
+    year = F.substring("month", 1, 4)
+    name = year if period == "year" else F.concat(year, F.lit("-Q"), F.ceil(F.substring("month", 6, 2).cast("int") / 3).cast("string"))
+    p = _monthly(s).groupBy(name.alias("period")).agg(F.sum("revenue").alias("revenue"))
+    earlier = p.select(F.concat((F.substring("period", 1, 4).cast("int") + 1).cast("string"), F.substring("period", 5, 3)).alias("period"), F.col("revenue").alias("earlier"))
+    return p.join(earlier, "period", "left").select("period", money("revenue").alias("revenue"), money("earlier").alias("revenue_last_year"), F.round(F.try_divide((F.col("revenue") - F.col("earlier")).cast("double") * 100, F.col("earlier").cast("double")), 2).alias("yoy_pct"))
+
+
 def customers_by_place(s: Star) -> DataFrame:
     c = s["dim_customer"].join(s["fact_orders"].select("customer_key", "order_id"), "customer_key", "left")
     return c.groupBy("customer_state", "customer_city").agg(F.count_distinct("customer_unique_id").alias("customers"), F.count("order_id").alias("orders"))

@@ -40,37 +40,99 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def _quantiles(x: Column, exact: bool, accuracy: int = 10_000) -> Column:
-    """Quartiles by linear interpolation; the approximate ones (rank error 1 / accuracy) suit very large tables."""
-    marks = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    return F.percentile(x, marks) if exact else F.percentile_approx(x, marks, F.lit(accuracy))
+#: Buckets to a unit of the logarithm, and equal parts of a bucket, by which exact quantiles close in on their values.
+PER_LOG, PARTS = 4096, 4096
+QUARTERS = (0.25, 0.5, 0.75)
+
+
+def _earlier(amount: str, by: tuple[str, ...], order: str) -> Column:
+    """The sum of an amount over what comes before in a group."""
+    return F.coalesce(F.sum(amount).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _holding(df: DataFrame) -> DataFrame:
+    """Those rows in whose ``n`` places after ``before`` a wanted rank lies, with these ranks only."""
+    at, n = F.col("before"), F.col("n")
+    return df.withColumn("ranks", F.filter("ranks", lambda r: (r >= at) & (r < at + n))).filter(F.size("ranks") > 0)
+
+
+def quantiles(df: DataFrame, columns: list[str], marks: tuple[float, ...] = QUARTERS) -> DataFrame:
+    """One row, ``__q``: a map from column to its exact quantiles by linear interpolation (NaN is the largest value).
+    A column without any value is not in it.
+
+    Equal values are counted together first. Counts of buckets by logarithm tell which bucket holds a wanted rank, counts
+    of equal parts of that bucket which part, and only values of that part are put in order. So no buffer holds the
+    distinct values of a column; windows see at most some 3 million buckets of a column, and what is broadcast are at
+    most two ranges for each mark and column.
+    """
+    x = F.col("x")
+    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in columns))).alias("v")).select("v.*").filter("x IS NOT NULL")
+    by_size = F.floor(F.signum(x) * F.log1p(F.abs(x) * 2.0**20) * PER_LOG)
+    bucket = F.when(F.isnan(x) | (x == float("inf")), F.lit(2**40)).when(x == float("-inf"), F.lit(-(2**40))).otherwise(by_size)
+    counts = pairs.groupBy("c", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("b", bucket)
+
+    buckets = counts.groupBy("c", "b").agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    placed = buckets.withColumns({"before": _earlier("n", ("c",), "b"), "all": F.sum("n").over(Window.partitionBy("c"))})
+    place = [(F.col("all") - 1) * F.lit(m) for m in marks]
+    wanted = placed.withColumn("ranks", F.array_distinct(F.array(*(f(p) for p in place for f in (F.floor, F.ceil)))))
+    inside = counts.join(F.broadcast(_holding(wanted).drop("n")), ["c", "b"])
+    inside = inside.withColumn("p", F.coalesce(F.floor(F.try_divide(x - F.col("lo"), F.col("hi") - F.col("lo")) * PARTS), F.lit(0)))
+
+    parts = inside.groupBy("c", "b", "p").agg(F.sum("n").alias("n"), F.first("before").alias("base"), F.first("ranks").alias("ranks"))
+    parts = _holding(parts.withColumn("before", F.col("base") + _earlier("n", ("c", "b"), "p"))).select("c", "b", "p", F.col("before").alias("base"), "ranks")
+    last = inside.select("c", "b", "p", "x", "n", "all").join(F.broadcast(parts), ["c", "b", "p"])
+    found = _holding(last.withColumn("before", F.col("base") + _earlier("n", ("c", "b", "p"), "x")))
+    each = found.select("c", "all", "x", F.explode("ranks").alias("rank")).groupBy("c").agg(F.first("all").alias("all"), F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
+
+    def between(p: Column) -> Column:
+        low, high = F.floor(p), F.ceil(p)
+        a, b = F.col("at")[low], F.col("at")[high]
+        return F.when(a == b, a).otherwise((high - p) * a + (p - low) * b)
+
+    return each.agg(F.map_from_entries(F.collect_list(F.struct("c", F.array(*map(between, place))))).alias("__q"))
+
+
+def _approximate(x: Column, accuracy: int = 10_000) -> Column:
+    """Quartiles with a rank error of 1 / accuracy, by one pass."""
+    return F.percentile_approx(x, F.array(*map(F.lit, QUARTERS)), F.lit(accuracy))
+
+
+def _with_quartiles(df: DataFrame, columns: list[str], amounts: list[Column], exact: bool) -> DataFrame:
+    """One row of aggregates, the quartiles of each column among them (``q_`` and its name)."""
+    if not exact:
+        return df.agg(*amounts, *(_approximate(F.col(c).cast("double")).alias(f"q_{c}") for c in columns))
+    return df.agg(*amounts).crossJoin(F.broadcast(quantiles(df, columns))).withColumns({f"q_{c}": F.col("__q")[c] for c in columns})
 
 
 def numeric_basic(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
     """(column, min, max, mean, median, std) with the sample deviation."""
     names = columns or numeric_columns(df)
     x = {c: F.col(c).cast("double") for c in names}
-    one = df.agg(*(e.alias(f"{k}_{c}") for c in names for k, e in (("min", F.min(x[c])), ("max", F.max(x[c])), ("mean", F.avg(x[c])), ("q", _quantiles(x[c], exact)), ("std", F.stddev_samp(x[c])))))
+    one = _with_quartiles(df, names, [e.alias(f"{k}_{c}") for c in names for k, e in (("min", F.min(x[c])), ("max", F.max(x[c])), ("mean", F.avg(x[c])), ("std", F.stddev_samp(x[c])))], exact)
     return _rows(one, [F.struct(F.lit(c).alias("column"), F.col(f"min_{c}").alias("min"), F.col(f"max_{c}").alias("max"), F.col(f"mean_{c}").alias("mean"), F.get(f"q_{c}", F.lit(1)).alias("median"), F.col(f"std_{c}").alias("std")) for c in names])
 
 
+def _fence(q: Column) -> list[Column]:
+    """Quartiles, their distance and the fences 1.5 times that distance beyond them."""
+    a, b = F.get(q, F.lit(0)), F.get(q, F.lit(2))
+    return [a.alias("q1"), F.get(q, F.lit(1)).alias("median"), b.alias("q3"), (b - a).alias("iqr"), (a - 1.5 * (b - a)).alias("lower_bound"), (b + 1.5 * (b - a)).alias("upper_bound")]
+
+
 def five_numbers(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     """(column, min, q1, median, q3, max, iqr, lower_bound, upper_bound)."""
     x = {c: F.col(c).cast("double") for c in columns}
-    one = df.agg(*(e.alias(f"{k}_{c}") for c in columns for k, e in (("min", F.min(x[c])), ("max", F.max(x[c])), ("q", _quantiles(x[c], exact)))))
-    q = lambda c, k: F.get(f"q_{c}", F.lit(k))
-    return _rows(
-        one,
-        [
-            F.struct(F.lit(c).alias("column"), F.col(f"min_{c}").alias("min"), q(c, 0).alias("q1"), q(c, 1).alias("median"), q(c, 2).alias("q3"), F.col(f"max_{c}").alias("max"), (q(c, 2) - q(c, 0)).alias("iqr"), (q(c, 0) - 1.5 * (q(c, 2) - q(c, 0))).alias("lower_bound"), (q(c, 2) + 1.5 * (q(c, 2) - q(c, 0))).alias("upper_bound"))
-            for c in columns
-        ],
-    )
+    one = _with_quartiles(df, columns, [e.alias(f"{k}_{c}") for c in columns for k, e in (("min", F.min(x[c])), ("max", F.max(x[c])))], exact)
+    rows = _rows(one, [F.struct(F.lit(c).alias("column"), F.col(f"min_{c}").alias("min"), F.col(f"max_{c}").alias("max"), *_fence(F.col(f"q_{c}"))) for c in columns])
+    return rows.select("column", "min", "q1", "median", "q3", "max", "iqr", "lower_bound", "upper_bound")
 
 
 def _with_bounds(df: DataFrame, columns: list[str], exact: bool) -> DataFrame:
     """The table beside its fences: one row, a map from column to bounds."""
-    bounds = five_numbers(df, columns, exact).agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("lower_bound", "upper_bound", "q1", "median", "q3", "iqr")))).alias("__b"))
+    if exact:
+        bounds = quantiles(df, columns).select(F.transform_values("__q", lambda _, q: F.struct(*_fence(q))).alias("__b"))
+    else:
+        one = df.agg(*(_approximate(F.col(c).cast("double")).alias(c) for c in columns))
+        bounds = one.select(F.create_map(*(e for c in columns for e in (F.lit(c), F.struct(*_fence(F.col(c)))))).alias("__b"))
     return df.crossJoin(F.broadcast(bounds))
 
 
@@ -96,13 +158,19 @@ def skewness_g1(x: Column) -> Column:
     return F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
+# Names of shapes and directions in reports.
+SYMMETRIC, MODERATE, HIGH = "Approximately symmetric", "Moderately skewed", "Highly skewed"
+RIGHT, LEFT = "Right-skewed", "Left-skewed"
+
+
 def skew_shape(skew: Column) -> Column:
     size = F.abs(skew)
-    return F.when(skew.isNull(), "Undefined").when(size < 0.5, "Approximately Symmetric").when(size <= 1.0, "Moderately Skewed").otherwise("Highly Skewed")
+    return F.when(skew.isNull(), "Undefined").when(size < 0.5, SYMMETRIC).when(size <= 1.0, MODERATE).otherwise(HIGH)
 
 
 def skew_direction(skew: Column) -> Column:
-    return F.when(skew > 0, "Right").when(skew < 0, "Left").otherwise("None")
+    """Below the limit of moderate skew there is no direction."""
+    return F.when(skew.isNull(), "Undefined").when(F.abs(skew) < 0.5, SYMMETRIC).when(skew > 0, RIGHT).otherwise(LEFT)
 
 
 def skew_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -258,12 +326,11 @@ def row_duplicates(df: DataFrame, dataset: str) -> DataFrame:
 
 def relationship(child: DataFrame, columns: list[str], parent: DataFrame, parent_columns: list[str], label: str) -> DataFrame:
     """(relationship, child_rows_checked, match_count, non_match_count, match_pct, non_match_pct): rows for a single
-    key, distinct tuples for a composite one; null keys are left out."""
-    keys = child.select(*columns).dropna()
-    keys = keys.distinct() if len(columns) > 1 else keys
+    key, distinct tuples for a composite one; null keys are left out. Keys are counted before they meet their parents."""
+    keys = child.select(*columns).dropna().groupBy(*columns).agg((F.count(F.lit(1)) if len(columns) == 1 else F.max(F.lit(1)).cast("long")).alias("__n"))
     found = parent.select(*(F.col(p).alias(f"__p{k}") for k, p in enumerate(parent_columns))).distinct()
     joined = keys.join(found, reduce(lambda a, b: a & b, (F.col(c) == F.col(f"__p{k}") for k, c in enumerate(columns))), "left")
-    one = joined.agg(F.count(F.lit(1)).alias("child_rows_checked"), F.count("__p0").alias("match_count"))
+    one = joined.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("child_rows_checked"), F.coalesce(F.sum(F.when(F.col("__p0").isNotNull(), F.col("__n"))), F.lit(0)).alias("match_count"))
     miss = F.col("child_rows_checked") - F.col("match_count")
     return one.select(F.lit(label).alias("relationship"), "child_rows_checked", "match_count", miss.alias("non_match_count"), percent(F.col("match_count"), F.col("child_rows_checked"), 2).alias("match_pct"), percent(miss, F.col("child_rows_checked"), 2).alias("non_match_pct"))
 
@@ -301,7 +368,7 @@ def bounds_report(tables: dict[str, DataFrame], rules: dict[str, dict[str, str]]
 
 # ---------------------------------------------------------------- anomalies
 
-OBSERVATION, POTENTIAL, CONFIRMED = "Observation", "Potential Anomaly", "Confirmed Anomaly"
+OBSERVATION, POTENTIAL, CONFIRMED = "Observation", "Potential anomaly", "Confirmed anomaly"
 
 
 def _anomaly(df: DataFrame, dataset: str, what: Column, kind: str, label: Column, count: Column, pct: Column, text: Column) -> DataFrame:
@@ -327,12 +394,19 @@ def anomaly_register(
             d = row_duplicates(df, t).filter("duplicate_rows > 0")
             parts.append(_anomaly(d, t, say("__FULL_ROW__"), "Duplicate Rows", say(POTENTIAL), F.col("duplicate_rows"), F.col("duplicate_pct"), say("rows repeat others")))
     for t, columns in numeric.items():
+        # One profile gives all four kinds: its rows are not computed anew for each of them.
         p = numeric_profile(tables[t], t, columns, exact)
-        parts.append(_anomaly(p.filter("potential_outliers > 0"), t, F.col("column"), "Extreme Values", say(OBSERVATION), F.col("potential_outliers"), F.col("outlier_pct"), say("values lie outside the fences")))
+        n, out, low, zero = F.col("count"), F.col("potential_outliers"), F.col("negative_count"), F.col("zero_count")
         allowed = F.col("column").isin(*may_be_negative) if may_be_negative else say(False)
-        parts.append(_anomaly(p.filter((F.col("negative_count") > 0) & ~allowed), t, F.col("column"), "Invalid Negative Values", say(CONFIRMED), F.col("negative_count"), percent(F.col("negative_count"), F.col("count"), 4), say("values below zero")))
-        parts.append(_anomaly(p.filter("zero_count > 0"), t, F.col("column"), "Zero Values", say(OBSERVATION), F.col("zero_count"), percent(F.col("zero_count"), F.col("count"), 4), say("values are zero")))
-        parts.append(_anomaly(p.filter(F.col("shape") == "Highly Skewed"), t, F.col("column"), "Highly Skewed", say(OBSERVATION), F.col("count"), say(100.0), F.concat(say("skewed to the "), F.lower("direction"))))
+        kinds = [
+            (out > 0, "Extreme Values", OBSERVATION, out, F.col("outlier_pct"), say("values lie outside the fences")),
+            ((low > 0) & ~allowed, "Invalid Negative Values", CONFIRMED, low, percent(low, n, 4), say("values below zero")),
+            (zero > 0, "Zero Values", OBSERVATION, zero, percent(zero, n, 4), say("values are zero")),
+            (F.col("shape") == HIGH, "Highly Skewed", OBSERVATION, n, say(100.0), F.lower("direction")),
+        ]
+        each = [F.struct(keep.alias("keep"), say(kind).alias("kind"), say(label).alias("label"), amount.cast("long").alias("amount"), rate.cast("double").alias("rate"), text.alias("text")) for keep, kind, label, amount, rate, text in kinds]
+        found = p.select(F.col("column"), F.explode(F.array(*each)).alias("k")).filter("k.keep")
+        parts.append(found.select(say(t).alias("dataset"), F.col("column").alias("column_or_relationship"), F.col("k.kind").alias("anomaly_type"), F.col("k.label").alias("classification"), F.col("k.amount").alias("count"), F.round("k.rate", 4).alias("percentage"), F.col("k.text").alias("description")))
     for t, pairs in sequences.items():
         s = sequence_checks(tables[t], pairs).filter("violations > 0")
         parts.append(_anomaly(s, t, F.col("sequence"), "Suspicious Dates", say(CONFIRMED), F.col("violations"), F.col("violation_pct"), say("a later event comes first")))
@@ -354,3 +428,27 @@ def top_missing(tables: dict[str, DataFrame], k: int = 5) -> DataFrame:
     """The columns with the largest share of missing values."""
     every = union([null_profile(df).select(F.lit(t).alias("dataset"), "column", "null_count", "null_pct") for t, df in tables.items()])
     return every.filter("null_count > 0").orderBy(F.desc("null_pct"), "dataset", "column").limit(k)
+
+
+def observations(coverage: DataFrame, missing_values: DataFrame, numbers: DataFrame, categories: DataFrame, dates: DataFrame, classes: DataFrame) -> DataFrame:
+    """(section, dataset, subject, amount, percentage): what the profiles say, from their results.
+
+    Rows of each dataset, the columns with most missing values, skewed columns (amount: their values) and those with
+    outliers, dominant categories, missing dates, anomalies by class.
+    """
+
+    def part(df: DataFrame, section: Column, dataset: Column, subject: Column, amount: str, percentage: Column) -> DataFrame:
+        return df.select(section.alias("section"), dataset.alias("dataset"), subject.alias("subject"), F.col(amount).cast("long").alias("amount"), percentage.cast("double").alias("percentage"))
+
+    none, of, column = F.lit(None), F.col("dataset"), F.col("column")
+    skewed = F.col("shape").isin(HIGH, MODERATE)
+    marks = F.array(F.struct(skewed.alias("keep"), F.col("shape").alias("section"), F.col("count").alias("amount"), F.lit(None).cast("double").alias("percentage")), F.struct((F.col("potential_outliers") > 0).alias("keep"), F.lit("Potential outliers").alias("section"), F.col("potential_outliers").alias("amount"), F.col("outlier_pct").alias("percentage")))
+    numeric = numbers.select("dataset", "column", F.explode(marks).alias("m")).filter("m.keep").select("dataset", "column", "m.*")
+    return union([
+        part(coverage, F.lit("Dataset coverage"), of, F.lit("rows"), "total_rows", none),
+        part(missing_values, F.lit("Missing values"), of, column, "null_count", F.col("null_pct")),
+        part(numeric, F.col("section"), of, column, "amount", F.col("percentage")),
+        part(categories, F.lit("Dominant category"), of, F.concat_ws(": ", column, "top_category"), "top_frequency", F.col("top_pct")),
+        part(dates, F.lit("Missing dates"), of, column, "missing_count", F.col("missing_pct")),
+        part(classes, F.lit("Anomalies"), F.lit("all"), F.col("classification"), "anomalies", none),
+    ])

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymart.operators.checks import rows_of, unmatched_counts
+
 Tables = dict[str, DataFrame]
 
 #: (name, source table, target table); geography is compared at the grain of distinct ZIP prefixes.
@@ -182,8 +184,7 @@ def orphans(clean: Tables, edges: tuple) -> DataFrame:
     """Rows without a parent; null keys count."""
     parts = []
     for e in edges:
-        found = clean[e.parent].select(F.col(e.parent_column).alias("__k"))
-        one = clean[e.child].join(found, F.col(e.column) == F.col("__k"), "left_anti").agg(F.count(F.lit(1)).alias("b"))
+        one = rows_of(unmatched_counts(clean[e.child], e.column, clean[e.parent], e.parent_column, True), "b")
         parts.append(check(one, "Referential Integrity", e.child, f"{e.column} found in {e.parent}", F.lit(0).cast("long"), F.col("b"), e.severity))
     return union(parts)
 
@@ -199,8 +200,7 @@ def preserved(raw: Tables, clean: Tables, conditions: dict[str, dict[str, str]],
 
 
 def lookup_gap(clean: Tables, edge, expected: int) -> DataFrame:
-    found = clean[edge.parent].select(F.col(edge.parent_column).alias("__k"))
-    one = clean[edge.child].filter(F.col(edge.column).isNotNull()).join(found, F.col(edge.column) == F.col("__k"), "left_anti").agg(F.count(F.lit(1)).alias("b"))
+    one = rows_of(unmatched_counts(clean[edge.child], edge.column, clean[edge.parent], edge.parent_column), "b")
     return check(one, "Lookup Coverage", edge.child, f"rows without {edge.parent} as expected", F.lit(expected).cast("long"), F.col("b"), "LOW")
 
 

@@ -46,13 +46,23 @@ def _shapes() -> dict[str, _Shape]:
 SHAPES = _shapes()
 
 
-def run(rules_of, spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(rules_of, spark: SparkSession, sf_dir: str, staged: bool = False, keep_severity: bool = False) -> DataFrame:
+    """``staged``: the roles are written first, as many rules read each of them."""
     found = roles(spark, sf_dir)
-    return checks.run_rules(spark, found, rules_of(found))
+    found = tables.stage(found) if staged else found
+    return checks.run_rules(spark, found, rules_of(found), keep_severity)
+
+
+def with_rows(sql: str, named, prefix: str = "r_") -> str:
+    """SQL of results by dataset, with the rows of the tables that are there."""
+    return f"SELECT res.*, CASE dataset {' '.join(f"WHEN '{n}' THEN (SELECT count(*) FROM {prefix}{n})" for n in named)} END AS total_rows FROM ({sql}) AS res"
 
 
 for _name, _rules in FAMILIES.items():
-    add(_name, partial(run, _rules), results_sql(_rules(SHAPES)))
+    if _name == "dq_schema":
+        add(_name, lambda s, d, r=_rules: tables.beside_rows(run(r, s, d), roles(s, d)), with_rows(results_sql(_rules(SHAPES)), SPECS))
+    else:
+        add(_name, partial(run, _rules), results_sql(_rules(SHAPES)))
 
 
 def everything(found: dict) -> list[checks.Rule]:
@@ -60,7 +70,7 @@ def everything(found: dict) -> list[checks.Rule]:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(everything, spark, sf_dir)
+    return run(everything, spark, sf_dir, staged=True)
 
 
 ALL = results_sql(everything(SHAPES))
@@ -69,12 +79,12 @@ add("dq_results", results, ALL)
 
 def existence(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = {n: df for n, df in roles(spark, sf_dir, "customers", "orders", "products").items()}
-    return checks.run_rules(spark, found, checks.existence(SPECS, found))
+    return tables.beside_rows(checks.run_rules(spark, found, checks.existence(SPECS, found)), found)
 
 
 _present = ("customers", "orders", "products")
-add("dq_existence", existence, results_sql(checks.existence(SPECS, dict.fromkeys(_present))))
-add("dq_sql_rules", lambda s, d: checks.run_rules(s, roles(s, d), rulebook(SPECS), keep_severity=True), results_sql(rulebook(SPECS), True))
+add("dq_existence", existence, with_rows(results_sql(checks.existence(SPECS, dict.fromkeys(_present))), _present))
+add("dq_sql_rules", lambda s, d: run(lambda _: rulebook(SPECS), s, d, True, True), results_sql(rulebook(SPECS), True))
 add("dq_categorical_examples", lambda s, d: checks.categorical_examples(roles(s, d), SPECS), "\nUNION ALL ".join(
     f"SELECT '{n}' AS dataset, '{c}' AS \"column\", count(*) AS failed_count, (SELECT coalesce(string_agg(v, ', ' ORDER BY v), '') FROM (SELECT DISTINCT {c} AS v FROM r_{n} WHERE {c} IS NOT NULL AND {c} NOT IN ({checks.sql_list(dom)}) ORDER BY v LIMIT 10) AS x) AS examples FROM r_{n} WHERE {c} IS NOT NULL AND {c} NOT IN ({checks.sql_list(dom)})"
     for n, sp in SPECS.items() for c, dom in sp.domains.items()))
@@ -101,7 +111,7 @@ def _counts(named: dict[str, int], present: bool) -> str:
 WIDTHS = {n: len(s.columns) for n, s in SPECS.items()}
 add("overview_inventory", lambda s, d: tables.inventory(s, [*SPECS, "returns"], roles(s, d)), _counts(WIDTHS, True) + "\nUNION ALL SELECT 'returns', false, 0, 0")
 add("overview", lambda s, d: tables.overview(roles(s, d)), _counts(WIDTHS, False))
-add("column_counts", lambda s, d: tables.column_counts(roles(s, d)), "\nUNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS total_columns FROM (SELECT unnest([{', '.join(text(c) for c in SHAPES[n].columns)}]) FROM (SELECT count(*) FROM r_{n}) AS t) AS c" for n in SPECS))
+add("column_counts", lambda s, d: tables.column_counts(roles(s, d)), "\nUNION ALL ".join(f"SELECT '{n}' AS dataset, CAST({k} AS BIGINT) AS total_columns, {' + '.join(f'CAST(count({c}) > 0 AS BIGINT)' for c in SHAPES[n].columns)} AS filled_columns FROM r_{n}" for n, k in WIDTHS.items()))
 
 
 def missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from tallymart.functions import columns as C
 from tallymart.operators import clean, preprocess, reconcile
 from tallymart.plans.registry import add, text
 from tallymart.plans.roles import SPECS, role, roles
+from tallymart.sources import tables
 from tallymart.specs import EDGES, LOOKUPS, NULL_TOKENS, DatasetSpec
 
 # ---------------------------------------------------------------- raw text, made from the given tables
@@ -90,13 +92,13 @@ _first = f"(SELECT order_id, order_status, order_purchase_timestamp, {_carrier}
 _done = f"(SELECT order_id, order_status, order_delivered_carrier_date, CASE WHEN order_delivered_customer_date < order_delivered_carrier_date THEN NULL ELSE order_delivered_customer_date END AS order_delivered_customer_date FROM {_first} AS f)"
 LOG_SQL = {
     "audit_nullified": [
-        entry("orders", "order_delivered_carrier_date", "earlier than order_purchase_timestamp", "NULLIFY", _flt.format("order_delivered_carrier_date < order_purchase_timestamp")),
-        entry("orders", "order_delivered_customer_date", "earlier than order_delivered_carrier_date", "NULLIFY", _flt.format("order_delivered_customer_date < order_delivered_carrier_date"), _first),
+        entry("orders", "order_delivered_carrier_date", "earlier than order_purchase_timestamp", "SET_INVALID_TIMESTAMP_TO_NULL", _flt.format("order_delivered_carrier_date < order_purchase_timestamp")),
+        entry("orders", "order_delivered_customer_date", "earlier than order_delivered_carrier_date", "SET_INVALID_TIMESTAMP_TO_NULL", _flt.format("order_delivered_customer_date < order_delivered_carrier_date"), _first),
         *(entry("orders", c, "delivered without a date", "RETAIN_NULL", _flt.format(f"order_status = 'delivered' AND {c} IS NULL"), _done) for c in ("order_delivered_carrier_date", "order_delivered_customer_date")),
     ],
     "audit_retain_zero": [
         entry("order_items", "freight_value", "zero value", "RETAIN", _flt.format("freight_value = 0")),
-        entry("payments", "payment_installments", "value 0", "NULLIFY", _flt.format("payment_installments = 0")),
+        entry("payments", "payment_installments", "value 0", "SET_INVALID_VALUE_TO_NULL", _flt.format("payment_installments = 0")),
         entry("payments", "payment_value", "zero value", "RETAIN", _flt.format("payment_value = 0")),
     ],
     "audit_retain_null": [
@@ -105,20 +107,20 @@ LOG_SQL = {
     ],
     "audit_nonunique_id": [
         entry("reviews", "review_id", "repeated id", "RETAIN", "(SELECT count(*) FROM (SELECT 1 FROM r_reviews GROUP BY review_id HAVING count(*) > 1) AS g)"),
-        entry("reviews", "__FULL_ROW__", "repeated rows", "REMOVE_DUPLICATES", "count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM r_reviews) AS u)", None, "(SELECT count(*) FROM (SELECT DISTINCT * FROM r_reviews) AS u)"),
+        entry("reviews", "__FULL_ROW__", "repeated rows", "DEDUPLICATE", "count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM r_reviews) AS u)", None, "(SELECT count(*) FROM (SELECT DISTINCT * FROM r_reviews) AS u)"),
         *(entry("reviews", c, "missing value", "RETAIN_NULL", _flt.format(f"{c} IS NULL"), "(SELECT DISTINCT * FROM r_reviews)") for c in ("review_comment_title", "review_comment_message")),
     ],
-    "audit_duplicates": [entry("geolocation", "__FULL_ROW__", "repeated rows", "REMOVE_DUPLICATES", "count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM r_geolocation) AS u)", None, "(SELECT count(*) FROM (SELECT DISTINCT * FROM r_geolocation) AS u)")],
+    "audit_duplicates": [entry("geolocation", "__FULL_ROW__", "repeated rows", "DEDUPLICATE", "count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM r_geolocation) AS u)", None, "(SELECT count(*) FROM (SELECT DISTINCT * FROM r_geolocation) AS u)")],
     "audit_unmatched_lookup": [
-        entry(e.child, e.column, f"not in {e.parent}", "RETAIN_UNMATCHED", f"count(*) FILTER (WHERE {e.column} IS NOT NULL AND {e.column} NOT IN (SELECT {e.parent_column} FROM r_{e.parent}))", status="DOCUMENTED" if e.child == "products" else "APPLIED")
+        entry(e.child, e.column, f"not in {e.parent}", "RETAIN_SOURCE_LIMITATION" if e.child == "products" else "RETAIN", f"count(*) FILTER (WHERE {e.column} IS NOT NULL AND {e.column} NOT IN (SELECT {e.parent_column} FROM r_{e.parent}))", status="DOCUMENTED" if e.child == "products" else "APPLIED")
         for e in LOOKUPS
     ],
 }
 _of = {"audit_nullified": ("orders",), "audit_retain_zero": ("order_items", "payments"), "audit_nonunique_id": ("reviews",), "audit_duplicates": ("geolocation",)}
 for _name, _datasets in _of.items():
     add(_name, log_of(*_datasets), "\nUNION ALL ".join(LOG_SQL[_name]))
-add("audit_retain_null", lambda s, d: log_of("products")(s, d).filter("action <> 'RETAIN_UNMATCHED'"), "\nUNION ALL ".join(LOG_SQL["audit_retain_null"]))
-add("audit_unmatched_lookup", lambda s, d: log_of("customers", "sellers", "products")(s, d).filter("action = 'RETAIN_UNMATCHED'"), "\nUNION ALL ".join(LOG_SQL["audit_unmatched_lookup"]))
+add("audit_retain_null", lambda s, d: log_of("products")(s, d).filter("issue NOT LIKE 'not in %'"), "\nUNION ALL ".join(LOG_SQL["audit_retain_null"]))
+add("audit_unmatched_lookup", lambda s, d: log_of("customers", "sellers", "products")(s, d).filter("issue LIKE 'not in %'"), "\nUNION ALL ".join(LOG_SQL["audit_unmatched_lookup"]))
 LOG = "\nUNION ALL ".join(x for part in LOG_SQL.values() for x in part)
 add("audit_log", log_of(*SPECS), LOG)
 add("row_invariant", lambda s, d: clean.same_row_count(role(s, d, "customers"), cleaned(s, d)[0]["customers"]), "SELECT count(*) AS rows_before, count(*) AS rows_after, true AS unchanged FROM r_customers")
@@ -155,7 +157,7 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUMMARY = "\nUNION ALL ".join(figures_sql(n) for n in SPECS)
 add("clean_summary", summary, SUMMARY)
 add("clean_totals", lambda s, d: clean.clean_totals(summary(s, d), cleaned(s, d)[1]), f"SELECT count(*) AS datasets, CAST(sum(rows_before) AS BIGINT) AS rows_before, CAST(sum(rows_after) AS BIGINT) AS rows_after, CAST(sum(rows_removed) AS BIGINT) AS rows_removed, (SELECT count(*) FROM ({LOG}) AS l) AS actions, (SELECT count(*) FROM ({LOG}) AS l WHERE status = 'APPLIED') AS actions_applied FROM ({SUMMARY}) AS s")
-for _name in ("customers", "orders", "payments", "products", "category_translation"):
+for _name in CLEANED:
     add(f"cleaned_{_name}", lambda s, d, n=_name: cleaned(s, d)[0][n], CLEANED[_name])
 for _nulls in (False, True):
     add("gate_fk" + "_null_counted" * _nulls, lambda s, d, n=_nulls: clean.edge_report(roles(s, d), EDGES, n), "\nUNION ALL ".join(f"SELECT '{e.child}' AS child, '{e.column}' AS \"column\", '{e.parent}' AS parent, count(*) AS orphans FROM r_{e.child} AS c WHERE {'' if _nulls else f'c.{e.column} IS NOT NULL AND '}NOT EXISTS (SELECT 1 FROM r_{e.parent} AS p WHERE p.{e.parent_column} = c.{e.column})" for e in EDGES))
@@ -194,8 +196,16 @@ for _name, _category, _conditions in (("post_chronology", "Chronology", CHRONOLO
     POST[_name] = (lambda s, raw_, c, g=_category, k=_conditions: reconcile.none_where(c, k, g), "\nUNION ALL ".join(check_sql(_category, n, rule, "0", n_of(f"c_{n}", where)) for n, named in _conditions.items() for rule, where in named.items()))
 for _name, _category, _conditions in (("post_zero_kept", "Preservation", KEPT), ("post_null_kept", "Null Preservation", KEPT_NULL)):
     POST[_name] = (lambda s, raw_, c, g=_category, k=_conditions: reconcile.preserved(raw_, c, k, g), "\nUNION ALL ".join(check_sql(_category, n, rule, n_of(f"r_{n}", where), n_of(f"c_{n}", where), "MEDIUM") for n, named in _conditions.items() for rule, where in named.items()))
+def post(f, spark: SparkSession, sf_dir: str, beside: bool) -> DataFrame:
+    c = cleaned(spark, sf_dir)[0]
+    found = f(spark, roles(spark, sf_dir), c)
+    return tables.beside_rows(found, c) if beside else found
+
+
 for _name, (_f, _sql) in POST.items():
-    add(_name, lambda s, d, f=_f: f(s, roles(s, d), cleaned(s, d)[0]), clean_cte(_sql))
+    _beside = _name in ("post_existence", "post_key_policy")  # these say nothing about rows, so rows stand beside them
+    _rows = f"SELECT res.*, CASE dataset {' '.join(f"WHEN '{n}' THEN (SELECT count(*) FROM c_{n})" for n in SPECS)} END AS total_rows FROM ({_sql}) AS res"
+    add(_name, lambda s, d, f=_f, b=_beside: post(f, s, d, b), clean_cte(_rows if _beside else _sql))
 
 
 def post_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,3 +227,37 @@ def summary_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("post_summary_match", summary_check, f"SELECT 'Cleaning Summary' AS category, dataset, CASE WHEN rows_removed <> 0 THEN 'rows_removed' ELSE '' END AS differences, CASE WHEN rows_removed <> 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM ({SUMMARY}) AS s UNION ALL SELECT 'Cleaning Summary', 'returns', 'rows_before, rows_removed', 'FAIL'")
 add("run_summary", lambda s, d: clean.table_figures(role(s, d, "order_items"), "now"), "SELECT count(*) AS rows_now, CAST(7 AS BIGINT) AS columns_now, CAST(0 AS BIGINT) AS null_cells_now, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM r_order_items) AS u) AS exact_duplicates_now FROM r_order_items")
+
+# ---------------------------------------------------------------- written and read again
+
+
+def overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cleaned table written twice to one place: the second write replaces the first."""
+    path = f"{tables.shared_folder(spark)}/cleaned-{uuid.uuid4().hex}"
+    done = cleaned(spark, sf_dir)[0]["payments"]
+    tables.save(done.limit(0), path)
+    tables.save(done, path)
+    return tables.load(spark, path)
+
+
+def created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cleaned tables created as tables, replaced by a second run; rows by table."""
+    run, parts = uuid.uuid4().hex, {}
+    for name, df in cleaned(spark, sf_dir)[0].items():
+        for _ in range(2):
+            tables.save_table(df, f"cleaned_{name}_{run}", f"{tables.shared_folder(spark)}/tables-{run}/{name}")
+        parts[name] = spark.table(f"cleaned_{name}_{run}")
+    return tables.overview(parts)
+
+
+def logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit log written by dataset and read again."""
+    path = f"{tables.shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    log = cleaned(spark, sf_dir)[1]
+    tables.save(log, path, partition_by=("dataset",))
+    return tables.load(spark, path).select(*log.columns).drop("rule", "rationale")
+
+
+add("write_cleaned", overwritten, CLEANED["payments"])
+add("write_tables", created, clean_cte("\nUNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS total_rows, CAST({len(SPECS[n].columns)} AS BIGINT) AS total_columns FROM c_{n}" for n in CLEANED)))
+add("write_log", logged, LOG)

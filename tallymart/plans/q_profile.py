@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymart.operators import profile
 from tallymart.plans.registry import add
 from tallymart.plans.roles import SPECS, role, roles
+from tallymart.sources import tables
 from tallymart.specs import EDGES, LOOKUPS
 
 NUMERIC = {"order_items": ["price", "freight_value"], "payments": ["payment_installments", "payment_value"], "products": ["product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm", "product_photos_qty"], "reviews": ["review_score"]}
@@ -56,8 +57,8 @@ _p = NUMERIC["products"] + ["product_name_lenght"]
 _out = lambda t, c: f"(SELECT count(*) FROM r_{t}, (SELECT *, {FENCES} FROM ({five_sql(t, c)}) AS f) AS b WHERE {c}::DOUBLE < lower_bound OR {c}::DOUBLE > upper_bound)"
 add("iqr_outliers", lambda s, d: profile.iqr_outliers(role(s, d, "products"), _p), union(f"SELECT \"column\", lower_bound, upper_bound, {_out('products', c)} AS potential_outliers, {pct(_out('products', c), f'(SELECT count({c}) FROM r_products)', 2)} AS outlier_pct FROM (SELECT *, {FENCES} FROM ({five_sql('products', c)}) AS f) AS b" for c in _p))
 add("outlier_rows", lambda s, d: profile.outlier_rows(role(s, d, "products").select("product_id", "product_name_lenght"), "product_name_lenght"), f"SELECT product_id, product_name_lenght, lower_bound, upper_bound FROM r_products, (SELECT {FENCES} FROM ({five_sql('products', 'product_name_lenght')}) AS f) AS b WHERE product_name_lenght::DOUBLE < lower_bound OR product_name_lenght::DOUBLE > upper_bound")
-shape = lambda s: f"CASE WHEN {s} IS NULL THEN 'Undefined' WHEN abs({s}) < 0.5 THEN 'Approximately Symmetric' WHEN abs({s}) <= 1.0 THEN 'Moderately Skewed' ELSE 'Highly Skewed' END"
-direction = lambda s: f"CASE WHEN {s} > 0 THEN 'Right' WHEN {s} < 0 THEN 'Left' ELSE 'None' END"
+shape = lambda s: f"CASE WHEN {s} IS NULL THEN 'Undefined' WHEN abs({s}) < 0.5 THEN 'Approximately symmetric' WHEN abs({s}) <= 1.0 THEN 'Moderately skewed' ELSE 'Highly skewed' END"
+direction = lambda s: f"CASE WHEN {s} IS NULL THEN 'Undefined' WHEN abs({s}) < 0.5 THEN 'Approximately symmetric' WHEN {s} > 0 THEN 'Right-skewed' ELSE 'Left-skewed' END"
 add("skewness_g1", lambda s, d: rounded(profile.skew_profile(role(s, d, "order_items"), _num), "skewness").select("column", "skewness"), union(f"SELECT '{c}' AS \"column\", {r6(f'skewness({c}::DOUBLE)', 'skewness')} FROM r_order_items" for c in _num))
 add("skew_class", lambda s, d: profile.skew_profile(role(s, d, "products"), _p).select("column", "shape", "direction"), union(f"SELECT '{c}' AS \"column\", {shape(f'skewness({c}::DOUBLE)')} AS shape, {direction(f'skewness({c}::DOUBLE)')} AS direction FROM r_products" for c in _p))
 add("zero_negative", lambda s, d: profile.zero_negative(role(s, d, "products"), _p), union(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} = 0) AS zero_count, count(*) FILTER (WHERE {c} < 0) AS negative_count FROM r_products" for c in _p))
@@ -149,7 +150,7 @@ add("bounds_report", lambda s, d: profile.bounds_report(roles(s, d, *BOUNDS), BO
 
 
 def register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.anomaly_register(roles(spark, sf_dir, *TABLES), SPECS, (*EDGES, *LOOKUPS), NUMERIC, CATEGORIES, SEQUENCES)
+    return profile.anomaly_register(tables.stage(roles(spark, sf_dir, *TABLES)), SPECS, (*EDGES, *LOOKUPS), NUMERIC, CATEGORIES, SEQUENCES)
 
 
 def anomaly(source: str, where: str, dataset: str, what: str, kind: str, label: str, count: str, percentage: str, description: str) -> str:
@@ -160,20 +161,20 @@ def register_sql() -> str:
     parts = []
     for t in TABLES:
         keys = ", ".join(f"'{k}'" for k in SPECS[t].key)
-        label = f"CASE WHEN \"column\" IN ({keys}) THEN 'Confirmed Anomaly' ELSE 'Observation' END" if keys else "'Observation'"
+        label = f"CASE WHEN \"column\" IN ({keys}) THEN 'Confirmed anomaly' ELSE 'Observation' END" if keys else "'Observation'"
         parts.append(anomaly(null_sql(t), "null_count > 0", f"'{t}'", '"column"', "Missing Values", label, "null_count", "null_pct", "'values are missing'"))
         if keys:
-            parts.append(anomaly(key_sql(t, t, SPECS[t].key), "duplicate_key_rows > 0", f"'{t}'", "key_name", "Duplicate Keys", "'Confirmed Anomaly'", "duplicate_key_rows", "duplicate_pct", "'rows share a key'"))
+            parts.append(anomaly(key_sql(t, t, SPECS[t].key), "duplicate_key_rows > 0", f"'{t}'", "key_name", "Duplicate Keys", "'Confirmed anomaly'", "duplicate_key_rows", "duplicate_pct", "'rows share a key'"))
         else:
-            parts.append(anomaly(rows_sql(t), "duplicate_rows > 0", f"'{t}'", "'__FULL_ROW__'", "Duplicate Rows", "'Potential Anomaly'", "duplicate_rows", "duplicate_pct", "'rows repeat others'"))
+            parts.append(anomaly(rows_sql(t), "duplicate_rows > 0", f"'{t}'", "'__FULL_ROW__'", "Duplicate Rows", "'Potential anomaly'", "duplicate_rows", "duplicate_pct", "'rows repeat others'"))
     c = '"column"'
     parts.append(anomaly(NUMBERS, "potential_outliers > 0", "dataset", c, "Extreme Values", "'Observation'", "potential_outliers", "outlier_pct", "'values lie outside the fences'"))
-    parts.append(anomaly(NUMBERS, "negative_count > 0", "dataset", c, "Invalid Negative Values", "'Confirmed Anomaly'", "negative_count", pct("negative_count", '"count"', 4), "'values below zero'"))
+    parts.append(anomaly(NUMBERS, "negative_count > 0", "dataset", c, "Invalid Negative Values", "'Confirmed anomaly'", "negative_count", pct("negative_count", '"count"', 4), "'values below zero'"))
     parts.append(anomaly(NUMBERS, "zero_count > 0", "dataset", c, "Zero Values", "'Observation'", "zero_count", pct("zero_count", '"count"', 4), "'values are zero'"))
-    parts.append(anomaly(NUMBERS, "shape = 'Highly Skewed'", "dataset", c, "Highly Skewed", "'Observation'", '"count"', "100.0E0", "'skewed to the ' || lower(direction)"))
-    parts.append(anomaly(SEQ, "violations > 0", "'orders'", "sequence", "Suspicious Dates", "'Confirmed Anomaly'", "violations", "violation_pct", "'a later event comes first'"))
+    parts.append(anomaly(NUMBERS, "shape = 'Highly skewed'", "dataset", c, "Highly Skewed", "'Observation'", '"count"', "100.0E0", "lower(direction)"))
+    parts.append(anomaly(SEQ, "violations > 0", "'orders'", "sequence", "Suspicious Dates", "'Confirmed anomaly'", "violations", "violation_pct", "'a later event comes first'"))
     for e in (*EDGES, *LOOKUPS):
-        label = "'Potential Anomaly'" if e.lookup else "'Confirmed Anomaly'"
+        label = "'Potential anomaly'" if e.lookup else "'Confirmed anomaly'"
         parts.append(anomaly(relation_sql(e, label_of(e)), "non_match_count > 0", f"'{e.child}'", "relationship", "Unmatched Keys", label, "non_match_count", "non_match_pct", "'keys have no counterpart'"))
     for t, cs in CATEGORIES.items():
         for col in cs:
@@ -185,3 +186,24 @@ REGISTER = register_sql()
 add("anomaly_register", register, REGISTER)
 add("anomaly_by_class", lambda s, d: profile.anomalies_by_class(register(s, d)), f"SELECT classification, count(*) AS anomalies, count(DISTINCT dataset) AS datasets FROM ({REGISTER}) AS r GROUP BY classification")
 add("top_missing_columns", lambda s, d: profile.top_missing(roles(s, d)), f"SELECT dataset, \"column\", null_count, null_pct FROM ({NULLS}) AS n WHERE null_count > 0 ORDER BY null_pct DESC, dataset, \"column\" LIMIT 5")
+
+
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables.stage(roles(spark, sf_dir, *TABLES))
+    numbers = profile.union([profile.numeric_profile(t[n], n, cs) for n, cs in NUMERIC.items()])
+    categories = profile.union([profile.category_summary(t[n], n, c) for n, cs in CATEGORIES.items() for c in cs])
+    dates = profile.date_stats(t["orders"], DATES).select(F.lit("orders").alias("dataset"), "*")
+    anomalies = profile.anomaly_register(t, SPECS, (*EDGES, *LOOKUPS), NUMERIC, CATEGORIES, SEQUENCES)
+    return profile.observations(tables.overview(t), profile.top_missing(t), numbers, categories, dates, profile.anomalies_by_class(anomalies))
+
+
+_no = "CAST(NULL AS DOUBLE) AS percentage"
+add("observations", observed, union([
+    *(f"SELECT 'Dataset coverage' AS section, '{t}' AS dataset, 'rows' AS subject, count(*) AS amount, {_no} FROM r_{t}" for t in TABLES),
+    f"SELECT 'Missing values', dataset, \"column\", null_count, null_pct FROM (SELECT * FROM ({NULLS}) AS n WHERE null_count > 0 ORDER BY null_pct DESC, dataset, \"column\" LIMIT 5) AS m",
+    f"SELECT shape, dataset, \"column\", \"count\", {_no} FROM ({NUMBERS}) AS s WHERE shape IN ('Highly skewed', 'Moderately skewed')",
+    f"SELECT 'Potential outliers', dataset, \"column\", potential_outliers, outlier_pct FROM ({NUMBERS}) AS o WHERE potential_outliers > 0",
+    f"SELECT 'Dominant category', dataset, \"column\" || ': ' || top_category, top_frequency, top_pct FROM ({union(category_sql(t, c) for t, cs in CATEGORIES.items() for c in cs)}) AS c",
+    f"SELECT 'Missing dates', 'orders', \"column\", missing_count, missing_pct FROM ({union(map(date_sql, DATES))}) AS d",
+    f"SELECT 'Anomalies', 'all', classification, count(*), {_no} FROM ({REGISTER}) AS r GROUP BY classification",
+]))

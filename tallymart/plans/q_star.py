@@ -144,6 +144,8 @@ model("kpi_03_order_value", kpi.average_order_value, "SELECT round(CAST((SELECT
 model("kpi_04_growth", kpi.monthly_growth, f"SELECT month, {money('revenue', 'revenue')}, round((CAST(revenue AS DOUBLE) - before) * 100 / nullif(before, 0), 2) AS growth_pct FROM (SELECT *, CAST(lag(revenue) OVER (ORDER BY month) AS DOUBLE) AS before FROM ({_monthly}) AS m) AS g")
 model("kpi_05_top_categories", kpi.top_categories, f"SELECT CAST(rank AS INTEGER) AS rank, category, {money('revenue', 'revenue')}, orders FROM (SELECT *, rank() OVER (ORDER BY revenue DESC, category) AS rank FROM ({_category}) AS c) AS r WHERE rank <= 5")
 model("kpi_06_top_sellers", lambda m: kpi.top_sellers(m).select("revenue", "completed_orders"), f"SELECT {money('revenue', 'revenue')}, completed_orders FROM (SELECT seller_id, sum(price) AS revenue, count(DISTINCT CASE WHEN order_status = 'delivered' THEN i.order_id END) AS completed_orders FROM f_items AS i JOIN f_orders AS o ON o.order_id = i.order_id GROUP BY seller_id ORDER BY revenue DESC LIMIT 10) AS t")
+model("kpi_05_top_categories_by_orders", lambda m: kpi.top_categories(m, "orders"), f"SELECT CAST(rank AS INTEGER) AS rank, category, {money('revenue', 'revenue')}, orders FROM (SELECT *, rank() OVER (ORDER BY orders DESC, category) AS rank FROM ({_category}) AS c) AS r WHERE rank <= 5")
+model("kpi_06_top_sellers_by_orders", lambda m: kpi.top_sellers(m, "completed_orders").select("revenue", "completed_orders"), f"SELECT {money('revenue', 'revenue')}, completed_orders FROM (SELECT seller_id, sum(price) AS revenue, count(DISTINCT CASE WHEN order_status = 'delivered' THEN i.order_id END) AS completed_orders FROM f_items AS i JOIN f_orders AS o ON o.order_id = i.order_id GROUP BY seller_id ORDER BY completed_orders DESC, revenue DESC LIMIT 10) AS t")
 model("kpi_07_state_revenue", kpi.revenue_by_state, f"SELECT customer_state, {money('sum(payment_value)', 'revenue')}, count(DISTINCT order_id) AS orders FROM f_payments JOIN s_customer USING (customer_id) GROUP BY customer_state")
 model("kpi_08_delivery_days", kpi.delivery_days, f"SELECT round(avg(date_diff('day', purchased, delivered)), 2) AS average_delivery_days FROM ({_delivered}) AS d")
 model("kpi_09_on_time", kpi.on_time_rate, f"SELECT {pct('count(*) FILTER (WHERE delivered <= estimated)', 'count(*)')} AS on_time_pct FROM ({_delivered}) AS d")
@@ -151,6 +153,9 @@ model("kpi_10_review_score", kpi.average_review, "SELECT round(avg(review_score)
 model("kpi_11_statuses", kpi.status_distribution, f"SELECT order_status, count(*) AS orders, {pct('count(*)', '(SELECT count(*) FROM f_orders)')} AS pct FROM f_orders GROUP BY order_status")
 model("kpi_12_payment_methods", kpi.payment_methods, f"SELECT payment_type, count(*) AS payments, count(DISTINCT order_id) AS orders, {pct('count(*)', '(SELECT count(*) FROM f_payments)')} AS pct_of_payments, {pct('count(DISTINCT order_id)', '(SELECT count(DISTINCT order_id) FROM f_payments)')} AS pct_of_orders FROM f_payments GROUP BY payment_type")
 model("bq_01_sales_trend", kpi.sales_trend, f"SELECT m.month, CAST(ceil(CAST(substr(m.month, 6, 2) AS INTEGER) / 3.0) AS INTEGER) AS quarter, CAST(substr(m.month, 1, 4) AS INTEGER) AS year, {money('m.revenue', 'revenue')}, {money('e.revenue', 'revenue_last_year')}, round(CAST(m.revenue - e.revenue AS DOUBLE) * 100 / nullif(CAST(e.revenue AS DOUBLE), 0), 2) AS yoy_pct FROM ({_monthly}) AS m LEFT JOIN ({_monthly}) AS e ON e.month = CAST(CAST(substr(m.month, 1, 4) AS INTEGER) - 1 AS VARCHAR) || substr(m.month, 5, 3)")
+for _period, _named in (("quarter", "substr(month, 1, 4) || '-Q' || CAST(CAST(ceil(CAST(substr(month, 6, 2) AS INTEGER) / 3.0) AS INTEGER) AS VARCHAR)"), ("year", "substr(month, 1, 4)")):
+    _sums = f"SELECT {_named} AS period, sum(revenue) AS revenue FROM ({_monthly}) AS m GROUP BY 1"
+    model(f"bq_01_sales_by_{_period}", lambda m, p=_period: kpi.sales_by_period(m, p), f"SELECT p.period, {money('p.revenue', 'revenue')}, {money('e.revenue', 'revenue_last_year')}, round(CAST(p.revenue - e.revenue AS DOUBLE) * 100 / nullif(CAST(e.revenue AS DOUBLE), 0), 2) AS yoy_pct FROM ({_sums}) AS p LEFT JOIN ({_sums}) AS e ON e.period = CAST(CAST(substr(p.period, 1, 4) AS INTEGER) - 1 AS VARCHAR) || substr(p.period, 5, 3)")
 model("bq_02_customers_by_place", kpi.customers_by_place, "SELECT customer_state, customer_city, count(DISTINCT customer_unique_id) AS customers, count(order_id) AS orders FROM s_customer LEFT JOIN f_orders USING (customer_id) GROUP BY 1, 2")
 model("bq_03_seasonality", kpi.seasonality, "SELECT month, month_name, day_of_week, day_name, count(*) AS orders FROM f_orders JOIN s_date ON date_key = purchase_date_key GROUP BY 1, 2, 3, 4")
 model("bq_04_top_products", kpi.top_products, "SELECT product_id, count(*) AS items_sold FROM f_items GROUP BY product_id ORDER BY items_sold DESC, product_id LIMIT 10")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -52,20 +53,28 @@ def save(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
-def save_table(df: DataFrame, name: str) -> None:
-    """Create table as select, replacing what was there."""
-    df.write.mode("overwrite").saveAsTable(name)
+def save_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """Create table as select, replacing what was there; in the warehouse, or under ``path``."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set a temporary one stands in,
+    on a single machine only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stage(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Tables written once and read again, for many checks over the same rows. They lie in the folder that driver and
-    executors share (spark.checkpoint.dir), in a temporary one only where none is set."""
+    """Tables written once to the shared folder and read again, for many checks over the same rows."""
     spark = next(iter(found.values())).sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        shared = spark.sparkContext.getCheckpointDir()
-    base, out = f"{shared}/stage-{uuid.uuid4().hex}", {}
+    base, out = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}", {}
     for name, df in found.items():
         df.write.parquet(f"{base}/{name}")
         out[name] = spark.read.schema(df.schema).parquet(f"{base}/{name}")
@@ -94,9 +103,14 @@ def overview(found: dict[str, DataFrame]) -> DataFrame:
 
 
 def column_counts(found: dict[str, DataFrame]) -> DataFrame:
-    """Columns of each table from the catalogue alone: no table is read."""
-    spark = next(iter(found.values())).sparkSession
-    return spark.createDataFrame([(n, len(df.columns)) for n, df in found.items()], "dataset string, total_columns bigint")
+    """(dataset, total_columns, filled_columns): columns of each table, and how many of them hold any value."""
+    parts = [df.agg(*(F.count(c).alias(c) for c in df.columns)).select(F.lit(n).alias("dataset"), F.lit(len(df.columns)).cast("long").alias("total_columns"), sum(((F.col(c) > 0).cast("long") for c in df.columns), F.lit(0).cast("long")).alias("filled_columns")) for n, df in found.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def beside_rows(results: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """Results by dataset with the rows of the tables that are there (null for others)."""
+    return results.join(F.broadcast(overview(found).select("dataset", "total_rows")), "dataset", "left")
 
 
 # ---------------------------------------------------------------- keys and upserts
