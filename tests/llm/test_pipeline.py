@@ -16,7 +16,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def plain(rows):
     """The pipeline without Spark, all pairs compared; {doc_id: ids}. No span is added beyond the patterns here."""
     rows = [r for r in rows if not any(eval(x.fails, {}, dict(zip(quality.MEASURES, quality.measure(r.text)))) for x in quality.RULES)]
-    fps = [simhash.fingerprint(r.text, simhash.STAGE_SHINGLE) for r in rows]
+    hashes = [simhash.shingle_hashes(r.text, simhash.STAGE_SHINGLE).tolist() for r in rows]
+    fps = [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) for hs in hashes]
+    sketches = [[min((h * int(f) % 2**64 for h in hs), default=0) % 256 for f in simhash.FACTORS] for hs in hashes]
     root = list(range(len(rows)))
 
     def find(i):
@@ -25,7 +27,7 @@ def plain(rows):
         return i
 
     for a, b in combinations(range(len(rows)), 2):
-        if (fps[a] ^ fps[b]).bit_count() <= simhash.STAGE_RADIUS:
+        if (fps[a] ^ fps[b]).bit_count() <= simhash.STAGE_RADIUS and sum(map(int.__eq__, sketches[a], sketches[b])) >= simhash.AGREE:
             root[max(find(a), find(b))] = min(find(a), find(b))
     kept = {}
     for i, r in enumerate(rows):
@@ -113,8 +115,9 @@ def test_recall_of_near_copies(spark):
             if n / (len(s) + len(sets[j]) - n) >= 0.8 and s != sets[j]:
                 pairs.add((i, j))
     docs = spark.createDataFrame(rows)
-    fps = simhash.fingerprints(docs, size=simhash.STAGE_SHINGLE).select("doc_id", "fp").cache()
-    group = {r.doc_id: r.component_id for r in fps.join(simhash.near_duplicates(fps, radius=simhash.STAGE_RADIUS), "fp").collect()}
+    sigs = simhash.signatures(docs).select("doc_id", *(F.col("signature")[k].alias(c) for k, c in enumerate(simhash.MARKS))).cache()
+    near = simhash.near_duplicates(sigs, radius=simhash.STAGE_RADIUS, sketches=("sketch0", "sketch1"))
+    group = {r.doc_id: r.component_id for r in sigs.join(near, simhash.MARKS).collect()}
     found = sum(group[i] == group[j] for i, j in pairs)
     print("near pairs", len(pairs), "found", found)
     assert pairs and found >= 0.7 * len(pairs)

@@ -81,6 +81,49 @@ def test_search_for_any_partition_and_thresholds(spark):
         assert got == want, parts
 
 
+def test_sketches_verify_links(spark):
+    """Against all pairs: fingerprints within the radius and at least AGREE equal bytes of the sketches."""
+    r = random.Random(6)
+    base = [[f"w{r.randrange(3000)}" for _ in range(r.randint(4, 120))] for _ in range(40)]
+    texts = {}
+    for i in range(300):
+        w = list(r.choice(base))
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = f"v{r.randrange(50)}"
+        texts[i] = " ".join(w)
+    texts |= {300: None, 301: " ", 302: "w " * 9, 303: "w"}
+    sigs = {}
+    for i, t in texts.items():
+        h = simhash.shingle_hashes(t, 5)
+        sigs[i] = (simhash.majority(h), bytes(min((int(x) * int(f) % 2**64 for x in h), default=0) % 256 for f in simhash.FACTORS))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = docs.transform(simhash.signatures).collect()
+    assert all((s[0] & (2**64 - 1), np.array(s[1:], "<i8").tobytes()) == sigs[i] for i, _, s in got)
+    root = {i: i for i in sigs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(sigs, 2):
+        agree = sum(x == y for x, y in zip(sigs[a][1], sigs[b][1])) >= simhash.AGREE
+        if agree and (sigs[a][0] ^ sigs[b][0]).bit_count() <= simhash.STAGE_RADIUS:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    want = {find(i) for i in sigs}
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want and 40 <= len(want) < 250
+
+
+def test_chance_fingerprints_are_not_joined(spark):
+    """Rows of one fingerprint and different sketches: a third of the table, none of them near copies."""
+    r = random.Random(2)
+    rows = [(i, 5 if i % 3 else r.getrandbits(62), r.getrandbits(62), r.getrandbits(62)) for i in range(600)]
+    sigs = spark.createDataFrame(rows, "doc_id long, fp long, sketch0 long, sketch1 long")
+    got = simhash.near_duplicates(sigs, radius=simhash.STAGE_RADIUS, sketches=("sketch0", "sketch1")).collect()
+    assert len(got) == len({g.component_id for g in got}) == 600
+
+
 def test_keys_of_probes(spark):
     fp = 0b1011 | 1 << 63
     groups = [list(range(0, 32)), list(range(32, 64))]
