@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import blocks, bpe, jpeg, lm, mixing, pii, quality, sharding, simhash, urls
+from . import blocks, bpe, jpeg, lm, mixing, packing, pii, quality, sharding, simhash, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_url_filters": urls.op9_url_filters,
     "op10_html_extraction": blocks.op10_html_extraction,
+    "op11_best_fit_packing": packing.op11_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **urls.ORACLE_SQL}
