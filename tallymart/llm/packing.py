@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 from .common import Cut, quoted, table
 
 LIMIT, END = 4096, 1
-#: Entries of a memo in one worker; a full memo starts anew, which costs time but changes no result.
-MAX_CHUNKS, MAX_CHUNK_BYTES = 400_000, 64
+#: Entries of the memo in one worker; a full memo starts anew, which costs time but changes no result.
+MAX_CHUNKS, MAX_CHUNK_BYTES = 600_000, 64
 #: Rows that a range of a sweep should have, and those it may have at most.
 RANGE_ROWS, MOST_ROWS = 20_000, 1_000_000
-#: Printable ASCII without a space: its characters need no normal form and stand for themselves in the vocabulary.
-PLAIN = re.compile(rb"[!-~]+").fullmatch
+#: Printable ASCII without a space, and Latin letters up to U+00FF: they have no other normal form.
+PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\xbf])+").fullmatch
 
 
 class Memo(dict):
@@ -68,8 +68,9 @@ class Memo(dict):
 class WordTokenizer:
     """Ids of texts by a tokenizer file that lower-cases and drops white space, as 4 bytes each.
 
-    No token spans white space, so the stretches between are encoded on their own, each once while the memo holds it;
-    the library's own steps (normal form, words, merges) run on what the memo does not have.
+    No token spans white space, so the stretches between are encoded on their own, each once while the memo holds it.
+    Stretches of ASCII and Latin letters are cut into words here, all others by the library's own steps; the library
+    merges what the memo does not have.
     """
 
     def __init__(self, path: str):
@@ -78,20 +79,26 @@ class WordTokenizer:
 
         whole = Tokenizer.from_file(path)
         self.normal, self.words, self.merge = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str, whole.model.tokenize
-        self.pieces, self.chunks = Memo(self.piece), Memo(self.chunk)
-        self.plain_words = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall  # fixed: the file's words, for PLAIN
+        self.id = [np.array([k], "<u4").tobytes() for k in range(whole.get_vocab_size())]
+        self.sign = {ord(c): self.words(c)[0][0] for c in map(chr, range(0xC0, 0x100))}  # how the vocabulary writes its bytes
+        self.plain_words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall  # fixed: the file's words, for PLAIN
+        self.memo = Memo(self.chunk)
 
-    def piece(self, word: bytes) -> bytes:
-        return np.array([x.id for x in self.merge(word.decode())], "<u4").tobytes()
+    def piece(self, word: str) -> bytes:
+        return b"".join([self.id[x.id] for x in self.merge(word)])
 
     def chunk(self, raw: bytes) -> bytes:
-        if PLAIN(raw):
-            return b"".join(map(self.pieces.__getitem__, self.plain_words(raw)))
-        return b"".join(self.pieces[word.encode()] for word, _ in self.words(self.normal(raw.decode())))
+        if not PLAIN(raw):
+            return b"".join([self.piece(word) for word, _ in self.words(self.normal(raw.decode()))])
+        text = raw.decode().lower()
+        words = self.plain_words(text)
+        if len(words) == 1:
+            return self.piece(text if text.isascii() else text.translate(self.sign))
+        return b"".join([self.memo[w.encode()] for w in words])
 
     def encode(self, text: str | None) -> bytes:
         raw = (text or "").encode("utf-8", "replace").lower()  # bytes: A-Z only, the rest is the normal form's
-        return b"".join(map(self.chunks.__getitem__, raw.split()))
+        return b"".join(map(self.memo.__getitem__, raw.split()))
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, limit: int = LIMIT, end: int = END, keep_ids: bool = False) -> DataFrame:
@@ -222,7 +229,8 @@ def best_fit(items: DataFrame, limit: int, cut: Cut) -> tuple[DataFrame, int]:
         used = got.groupBy("bin").agg(F.sum("amount").alias("used"))
         smaller = opened.join(used, opened["id"] == used["bin"], "left").select(F.lit(1).alias("kind"), "id", (F.col("amount") - F.coalesce("used", F.lit(0))).cast("int").alias("amount"), F.lit(None).cast("bigint").alias("bin")).filter("amount > 0")
         still = waiting.filter("to_part IS NULL").select(F.lit(0).alias("kind"), "id", F.col("size").alias("amount"), F.lit(None).cast("bigint").alias("bin"))
-        state = cut(still.unionByName(smaller).unionByName(got.select(F.lit(2).alias("kind"), "id", "amount", "bin")))
+        after = still.unionByName(smaller).unionByName(got.select(F.lit(2).alias("kind"), "id", "amount", "bin"))
+        state = cut(after.coalesce(max(min(width, rows // RANGE_ROWS + 1), rows // MOST_ROWS + 1)))
         cut.drop(swept)
         placed.append(state.filter("kind = 2").select("id", "bin"))
     out = spark.createDataFrame([], "id bigint, bin bigint")

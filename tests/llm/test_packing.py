@@ -20,7 +20,7 @@ def reference():
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
-HARD = ["", None, " ", "It's  a\tDOG's\n\x0b life\x0c!!", "été É É", "İstanbul ΣΣΣ ﬁn", "a\x00b \x1c\x1d c\x7f", " x y　z", "12345 ١٢ ½", "<|endoftext|> x<|startoftext|>", "'s't'RE 'LLama we'll", "\U0001f600\U0001f600 \U00020000", "x" * 5000, "don’t ẞ ß", "a​b ﻿"]
+HARD = ["", None, " ", "It's  a\tDOG's\n\x0b life\x0c!!", "été É É", "İstanbul ΣΣΣ ﬁn", "a\x00b \x1c\x1d c\x7f", " x y　z", "12345 ١٢ ½", "<|endoftext|> x<|startoftext|>", "'s't'RE 'LLama we'll", "\U0001f600\U0001f600 \U00020000", "x" * 5000, "don’t ẞ ß", "a​b ﻿", "ÀÉÖ×÷Øßÿ naïve,ÅNGSTRÖM'S", "Ça!va?3×4÷2"]
 
 
 def test_ids_are_those_of_the_library(reference):
