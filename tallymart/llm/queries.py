@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import blocks, bpe, jpeg, lm, mixing, packing, pii, quality, sharding, simhash, urls
+from . import blocks, bpe, jpeg, lm, mixing, negatives, packing, pii, quality, sharding, simhash, spelling, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_url_filters": urls.op9_url_filters,
     "op10_html_extraction": blocks.op10_html_extraction,
     "op11_best_fit_packing": packing.op11_best_fit_packing,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
-ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **urls.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **urls.ORACLE_SQL, **negatives.ORACLE_SQL}

@@ -125,5 +125,6 @@ def test_nulls_repeats_tensors_and_clashes(spark):
     assert {(r.n_bytes, len(r.payload)) for r in rows} == {(0, 64), (700, 704)}
     assert all(len(r.tensor) == r.height * r.width * 3 for r in rows)
     assert jpeg.store(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        jpeg.store(docs.withColumnRenamed("width_hint", "media"))
+    taken = jpeg.store(docs.withColumnRenamed("width_hint", "media"))  # the new column gives way
+    assert taken.columns == ["doc_id", "text", "media", "n_bytes", "media_"]
+    assert sorted((r.media, r.media_ is not None) for r in taken.collect() if r.media) == [(3, True), (4, True), (4, True)]
