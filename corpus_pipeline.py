@@ -7,7 +7,8 @@ Every stage works on all rows that the one before kept. All but the last return
 3. pii: personal data gives way to marks such as <EMAIL>; n_chars follows the text.
 4. mixing: rows come in the mixed order of their sources (every row once), which the written files keep.
 5. encoding: token ids of the texts, checked by decoding them again. The order that mixing gave is read from where each
-   row stands in the files (mix_file, mix_row) and stays in the result; both are null if the input is no files.
+   row stands in the files (mix_file, mix_row) and stays in the result; both are null if the input is no files, mix_file
+   also if a file's name is none that Spark gives.
 
 Defined results: a null text has no words and goes at the first stage; null ids, sources and languages stay as they
 are; of rows that repeat each other one stays; an empty table gives an empty result. Further columns pass through all stages
@@ -17,7 +18,7 @@ but the last unchanged, whatever their names.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.llm import bpe, mixing, pii, quality, simhash
@@ -27,6 +28,13 @@ from tallymart.llm.common import Cut, free_name, quoted, table
 ORACLE_SQL = None
 
 
+def file_number() -> Column:
+    """The number of a file that Spark has written: its task's number, then its own among those of the task (it can be
+    one of many); null for files of other names."""
+    task, nth = (F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).try_cast("bigint") for pattern in ("^part-(\\d+)-", "-c(\\d+)[.]"))
+    return task * 1_000_000 + F.coalesce(nth, F.lit(0))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = free_name(docs, "quality")
     judged = quality.ledger(docs, target=name)
@@ -50,10 +58,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     narrow = ["doc_id", "lang", "source", "text"]
     try:
-        placed = docs.select(*narrow, F.regexp_extract(F.col("_metadata.file_name"), "part-(\\d+)", 1).cast("int").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+        placed = docs.select(*narrow, file_number().alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
         placed.schema
     except AnalysisException:  # no files: there is no order to keep
-        placed = docs.select(*narrow, F.lit(None).cast("int").alias("mix_file"), F.lit(None).cast("long").alias("mix_row"))
+        placed = docs.select(*narrow, F.lit(None).cast("bigint").alias("mix_file"), F.lit(None).cast("long").alias("mix_row"))
     return bpe.round_trip(placed).select(
         "doc_id",
         "lang",
