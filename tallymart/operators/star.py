@@ -8,30 +8,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.functions.columns import date_key
-from tallymart.sources.tables import insert_absent, number_rows, reload, stage, upsert
+from tallymart.sources.tables import insert_absent, latest, number_rows, reload, stage, upsert
 
 Tables = dict[str, DataFrame]
 
 
-def load_dimension(incoming: DataFrame, keys: list[str], surrogate: str, existing: DataFrame | None = None) -> DataFrame:
-    """A first load numbers the rows; a later one keeps keys and takes new values over."""
-    rows = incoming.filter(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
+def load_dimension(incoming: DataFrame, keys: list[str], surrogate: str, existing: DataFrame | None = None, newest: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each key. A first load numbers the rows; a later one keeps keys and takes new values over. Of rows
+    that share a key the one with the largest ``newest`` columns counts, then the one of the largest row hash (see
+    ``tables.latest``); ``tables.version_conflicts`` reports such keys. Rows without a key are left out."""
+    rows = latest(incoming, keys, newest)
     return upsert(existing, rows, keys, surrogate) if existing is not None else number_rows(rows, keys, surrogate)
 
 
 def dim_customer(customers: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    rows = customers.select("customer_id", "customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state").distinct()
+    rows = customers.select("customer_id", "customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state")
     return load_dimension(rows, ["customer_id"], "customer_key", existing)
 
 
+def dim_person(customers: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """One row for each person (customer_unique_id): what their latest customer row says."""
+    rows = customers.select("customer_unique_id", "customer_id", "customer_zip_code_prefix", "customer_city", "customer_state")
+    return load_dimension(rows, ["customer_unique_id"], "person_key", existing, ("customer_id",))
+
+
 def dim_seller(sellers: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    rows = sellers.select("seller_id", "seller_zip_code_prefix", "seller_city", "seller_state").distinct()
+    rows = sellers.select("seller_id", "seller_zip_code_prefix", "seller_city", "seller_state")
     return load_dimension(rows, ["seller_id"], "seller_key", existing)
 
 
 def dim_product(products: DataFrame, translation: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """The English category is looked up; products without one stay."""
-    return load_dimension(products.join(translation, "product_category_name", "left").distinct(), ["product_id"], "product_key", existing)
+    """The English category is looked up; products without one stay. A category that is translated twice has one of its
+    translations, so it doubles no product."""
+    one = latest(translation, ["product_category_name"])
+    return load_dimension(products.join(one, "product_category_name", "left"), ["product_id"], "product_key", existing)
 
 
 def dim_geography(geolocation: DataFrame, existing: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from tallymart.operators import checks
 from tallymart.plans.registry import add, measured_sql, results_sql, text
 from tallymart.plans.roles import SPECS, role, roles
 from tallymart.plans.rulebook import rulebook
-from tallymart.sources import tables
+from tallymart.sources import files, tables
+from tallymart.sources.keyed import KeyedTable
 from tallymart.specs import EDGES, LOOKUPS
 
 FAMILIES = {
@@ -126,30 +128,30 @@ def missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("missing_source_results", missing_sources, "SELECT 'DQ-LOAD-customer' AS test_id, 'customer' AS dataset, 'PASS' AS status, 'NONE' AS severity, 'read' AS actual, count(*) AS total_rows FROM customer UNION ALL SELECT 'DQ-LOAD-supplier', 'supplier', 'PASS', 'NONE', 'read', count(*) FROM supplier UNION ALL SELECT 'DQ-LOAD-no_such_table', 'no_such_table', 'FAIL', 'CRITICAL', 'PATH_NOT_FOUND', NULL")
 
 
-def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even ids are there; multiples of three come in with another city. Keys of what was there stay."""
+def merged_customers(spark: SparkSession, sf_dir: str, insert_only: bool) -> DataFrame:
+    """All customers in a stored keyed table. Even ids are there first; odd ids and multiples of three come in, each
+    twice, with an old and a new city; then the same comes in again. Keys of what was there stay."""
+    path = f"{tables.shared_folder(spark)}/keyed-{uuid.uuid4().hex}"
     c = role(spark, sf_dir, "customers").select("customer_id", "customer_city")
-    old = tables.number_rows(c.filter("customer_id % 2 = 0"), ["customer_id"], "customer_key")
-    new = c.filter("customer_id % 3 = 0").withColumn("customer_city", F.concat(F.coalesce("customer_city", F.lit("?")), F.lit(" new")))
-    twice = tables.upsert(tables.upsert(old, new, ["customer_id"], "customer_key"), new, ["customer_id"], "customer_key")
-    before = old.select("customer_id", F.col("customer_key").alias("old_key"))
-    last = old.agg(F.max("customer_key").alias("last"))
-    both = twice.join(before, "customer_id", "left").crossJoin(F.broadcast(last))
-    return both.select("customer_id", "customer_city", (F.col("customer_key") == F.col("old_key")).alias("key_kept"), (F.col("customer_key") > F.col("last")).alias("key_is_new"))
-
-
-add("upsert_update", upserted, "SELECT customer_id, CASE WHEN customer_id % 3 = 0 THEN coalesce(customer_city, '?') || ' new' ELSE customer_city END AS customer_city, CASE WHEN customer_id % 2 = 0 THEN true END AS key_kept, customer_id % 2 <> 0 AS key_is_new FROM r_customers WHERE customer_id % 2 = 0 OR customer_id % 3 = 0")
-
-
-def inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = role(spark, sf_dir, "customers").select("customer_id", "customer_city")
-    old = tables.number_rows(c.filter("customer_id % 2 = 0"), ["customer_id"], "customer_key")
-    new = c.filter("customer_id % 3 = 0").withColumn("customer_city", F.lit("new"))
-    both = tables.insert_absent(old, new, ["customer_id"], "customer_key")
-    return both.select("customer_id", "customer_city").join(both.agg(F.count_distinct("customer_key").alias("keys"), F.max("customer_key").alias("largest")))
+    stored = KeyedTable.create(spark, path, ["customer_id"], "customer_key", buckets=16)
+    stored.merge(c.filter("customer_id % 2 = 0"))
+    before, last = stored.read().select("customer_id", F.col("customer_key").alias("old_key")), stored.state["largest"]
+    some = c.filter("customer_id % 2 <> 0 OR customer_id % 3 = 0")
+    versions = [some.withColumns({"customer_city": F.concat(F.coalesce("customer_city", F.lit("?")), F.lit(f" {v}")), "seen": F.lit(k)}) for k, v in enumerate(("old", "new"))]
+    incoming = versions[1].unionByName(versions[0])
+    first = stored.merge(incoming, newest=["seen"], insert_only=insert_only)
+    again = stored.merge(incoming, newest=["seen"], insert_only=insert_only)
+    both = stored.read().join(before, "customer_id", "left")
+    out = both.select("customer_id", "customer_city", (F.col("customer_key") == F.col("old_key")).alias("key_kept"), (F.col("customer_key") > last).alias("key_is_new"), F.lit(first.inserted).cast("long").alias("inserted"), F.lit(first.updated).cast("long").alias("updated"), F.lit(again.version - first.version).cast("long").alias("versions_of_rerun"))
+    out = tables.settle(out)
+    files.delete(spark, path)
+    return out
 
 
-add("insert_if_absent", inserted, "WITH a AS (SELECT customer_id, CASE WHEN customer_id % 2 = 0 THEN customer_city ELSE 'new' END AS customer_city FROM r_customers WHERE customer_id % 2 = 0 OR customer_id % 3 = 0) SELECT *, (SELECT count(*) FROM a) AS keys, (SELECT count(*) FROM a) AS largest FROM a")
+_came = "customer_id % 2 <> 0 OR customer_id % 3 = 0"
+_kept = "CASE WHEN customer_id % 2 = 0 THEN true END AS key_kept, customer_id % 2 <> 0 AS key_is_new, (SELECT count(*) FROM r_customers WHERE customer_id % 2 <> 0) AS inserted"
+add("upsert_update", partial(merged_customers, insert_only=False), f"SELECT customer_id, CASE WHEN {_came} THEN coalesce(customer_city, '?') || ' new' ELSE customer_city END AS customer_city, {_kept}, (SELECT count(*) FROM r_customers WHERE customer_id % 6 = 0) AS updated, CAST(0 AS BIGINT) AS versions_of_rerun FROM r_customers")
+add("insert_if_absent", partial(merged_customers, insert_only=True), f"SELECT customer_id, CASE WHEN customer_id % 2 <> 0 THEN coalesce(customer_city, '?') || ' new' ELSE customer_city END AS customer_city, {_kept}, CAST(0 AS BIGINT) AS updated, CAST(0 AS BIGINT) AS versions_of_rerun FROM r_customers")
 
 
 def reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +163,11 @@ def reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("idempotent_append", reloaded, "SELECT count(*) AS rows, count(*) AS keys, CAST(1 AS BIGINT) AS first_key, count(*) AS last_key FROM r_reviews")
-add("surrogate_keys", lambda s, d: tables.number_rows(role(s, d, "order_items"), ["order_id", "order_item_id"], "k").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("k").alias("keys"), F.min("k").alias("first_key"), F.max("k").alias("last_key")), "SELECT count(*) AS rows, count(*) AS keys, CAST(1 AS BIGINT) AS first_key, count(*) AS last_key FROM r_order_items")
+def numbered(items: DataFrame) -> DataFrame:
+    return tables.number_rows(items, ["order_id", "order_item_id"], "k", rows=items.count())
+
+
+add("surrogate_keys", lambda s, d: numbered(role(s, d, "order_items")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("k").alias("keys"), F.min("k").alias("first_key"), F.max("k").alias("last_key")), "SELECT count(*) AS rows, count(*) AS keys, CAST(1 AS BIGINT) AS first_key, count(*) AS last_key FROM r_order_items")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallymart.operators import kpi, reconcile, star
 from tallymart.plans.q_clean import CLEANED, cleaned
 from tallymart.plans.registry import add
-from tallymart.sources.tables import stage
+from tallymart.sources.tables import stage, version_conflicts
 
 _dk = lambda c: f"CAST(strftime({c}, '%Y%m%d') AS INTEGER)"
 
@@ -68,6 +68,8 @@ def with_business_keys(m: dict[str, DataFrame], fact: str) -> DataFrame:
 
 for _name, _key, _cte in (("dim_customer", "customer_key", "s_customer"), ("dim_seller", "seller_key", "s_seller"), ("dim_product", "product_key", "s_product"), ("dim_geography", "geography_key", "s_geography")):
     model(_name, lambda m, n=_name, k=_key: m[n].drop(k), f"SELECT * FROM {_cte}")
+add("dim_person", lambda s, d: star.dim_person(cleaned(s, d)[0]["customers"]).drop("person_key"), model_sql("SELECT customer_unique_id, customer_id, customer_zip_code_prefix, customer_city, customer_state FROM c_customers WHERE customer_unique_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY customer_unique_id ORDER BY customer_id DESC) = 1"))
+add("dim_conflicts", lambda s, d: version_conflicts(cleaned(s, d)[0]["customers"], ["customer_unique_id"]), model_sql("SELECT customer_unique_id, count(*) AS rows, count(DISTINCT (customer_id, customer_zip_code_prefix, customer_city, customer_state)) AS versions FROM c_customers WHERE customer_unique_id IS NOT NULL GROUP BY customer_unique_id HAVING count(DISTINCT (customer_id, customer_zip_code_prefix, customer_city, customer_state)) > 1"))
 model("dim_status", lambda m: m["dim_order_status"].select("order_status"), "SELECT DISTINCT order_status FROM c_orders WHERE order_status IS NOT NULL")
 model("dim_date", lambda m: m["dim_date"], "SELECT * FROM s_date")
 for _name, _fact, _cte in (("fact_orders", "fact_orders", "f_orders"), ("fact_items", "fact_order_items", "f_items"), ("fact_payments", "fact_payments", "f_payments"), ("fact_reviews", "fact_reviews", "f_reviews")):

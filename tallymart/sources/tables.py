@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymart.sources import files
 from tallymart.specs import DatasetSpec
 
 TYPES = {"string": T.StringType(), "integer": T.LongType(), "numeric": T.DoubleType(), "datetime": T.TimestampType()}
@@ -78,9 +80,24 @@ def stage(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
     for name, df in found.items():
         df.write.parquet(f"{base}/{name}")
         out[name] = spark.read.schema(df.schema).parquet(f"{base}/{name}")
+        out[name].staged_at = base
     return out
 
 
+def discard(spark: SparkSession, staged: dict[str, DataFrame]) -> None:
+    """Deletes the folders of staged tables that nothing reads any more."""
+    for base in {getattr(df, "staged_at", None) for df in staged.values()} - {None}:
+        files.delete(spark, base)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """A result that no longer reads what it was made from, as Spark's own checkpoint in the shared folder."""
+    spark, shared = df.sparkSession, shared_folder(df.sparkSession)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared)
+    return df.checkpoint()
+
+
 def existing_tables(spark: SparkSession, names: list[str]) -> DataFrame:
     """(dataset, table_exists) by the catalogue."""
     return spark.createDataFrame([(n, spark.catalog.tableExists(n)) for n in names], "dataset string, table_exists boolean")
@@ -116,29 +133,77 @@ def beside_rows(results: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
 # ---------------------------------------------------------------- keys and upserts
 
 
-def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0, bits: int = 10) -> DataFrame:
+def latest(rows: DataFrame, keys: Iterable[str], newest: Iterable[str] = (), keep_newest: bool = True) -> DataFrame:
+    """One row for each key (no null in it): the largest by ``newest``, then by a hash of the row, then by its values.
+
+    A maximum of structs, which Spark combines before the shuffle: a key may have any share of the rows.
+    """
+    keys, newest = list(keys), list(newest)
+    values = [c for c in rows.columns if c not in keys and (keep_newest or c not in newest)]
+    whole = rows.filter(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
+    order = [*(F.col(c).alias(f"o{k}") for k, c in enumerate(newest)), F.xxhash64(*rows.columns).alias("h"), *(F.col(c).alias(f"v{k}") for k, c in enumerate(values))]
+    best = whole.groupBy(*keys).agg(F.max(F.struct(*order)).alias("__best"))
+    picked = {c: F.col(f"__best.v{k}").alias(c) for k, c in enumerate(values)}
+    return best.select(*(picked.get(c, F.col(c)) for c in rows.columns if c in keys or c in picked))
+
+
+def version_conflicts(rows: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """(keys, rows, versions): keys whose rows differ. Equal rows are one version; nulls in keys are left out."""
+    keys = list(keys)
+    whole = rows.filter(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
+    each = whole.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n"))
+    return each.groupBy(*keys).agg(F.sum("__n").alias("rows"), F.count(F.lit(1)).alias("versions")).filter("versions > 1")
+
+
+#: Rows of a range that are numbered together, as planned; bits of the hash that deal rows into ranges; ranges up to which
+#: their offsets are broadcast.
+RANGE_ROWS, USUAL_BITS, MOST_BITS, COARSE_BITS, BROADCAST_BITS = 1 << 17, 16, 30, 10, 16
+
+
+def range_bits(rows: int | None) -> int:
+    """Bits for ranges of about RANGE_ROWS rows at most, whatever the number of rows. If it is not known there are 65,536
+    ranges, which is enough for 8 * 10^9 rows."""
+    return USUAL_BITS if rows is None else min(MOST_BITS, (max(rows, 1) // RANGE_ROWS).bit_length() + 1)
+
+
+def _offsets(counts: DataFrame, bits: int) -> DataFrame:
+    """(__at, __before) from (__range, __n): the rows in ranges before each, by prefix sums in two levels."""
+    counts = counts.withColumn("__coarse", F.shiftright("__range", max(bits - COARSE_BITS, 0)))
+    above = Window.orderBy("__coarse").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 ** COARSE_BITS rows
+    coarse = counts.groupBy("__coarse").agg(F.sum("__n").alias("__all")).select("__coarse", F.coalesce(F.sum("__all").over(above), F.lit(0)).alias("__above"))
+    earlier = Window.partitionBy("__coarse").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.withColumn("__within", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).join(F.broadcast(coarse), "__coarse")
+    found = within.select(F.col("__range").alias("__at"), (F.col("__above") + F.col("__within")).alias("__before"))
+    return F.broadcast(found) if bits <= BROADCAST_BITS else found
+
+
+def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0, rows: int | None = None) -> DataFrame:
     """Dense keys from start + 1, in an order that depends on the ``order`` columns only.
 
     Rows go in order of a hash of these: its top bits deal them into ranges, ranges are counted, and only the rows of
-    a range are numbered together, so no task holds the table. Equal rows get neighbouring keys.
+    a range are numbered together, so no task holds the table. The number of ranges follows the number of ``rows``, if
+    the caller knows it, and does not change the keys. Offsets are prefix sums in two levels: over at most 1,024 coarse
+    ranges, and within each of them. Equal rows get neighbouring keys.
     """
+    bits = range_bits(rows)
     h = F.xxhash64(*order)
     keyed = df.withColumns({"__h": h, "__range": F.shiftrightunsigned(h, 64 - bits)})
     counts = keyed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 ** bits rows
-    offsets = counts.select(F.col("__range").alias("__at"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     within = Window.partitionBy("__range").orderBy("__h", *order)
-    numbered = keyed.withColumn("__k", F.row_number().over(within)).join(F.broadcast(offsets), F.col("__range") == F.col("__at"))
+    ranked = keyed.withColumn("__k", F.row_number().over(within))
+    numbered = ranked.join(_offsets(counts, bits), F.col("__range") == F.col("__at"))
     return numbered.withColumn(name, (F.col("__before") + F.col("__k") + start).cast("long")).drop("__h", "__range", "__at", "__before", "__k")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], surrogate: str) -> DataFrame:
+def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], surrogate: str, newest: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``existing`` with the values of ``incoming`` where its key comes in, and new keys added.
 
-    Surrogate keys stay; new ones follow the largest. Applied twice it gives the same rows and keys.
+    Of incoming rows that share a key one counts (see ``latest``). Surrogate keys stay; new ones follow the largest.
+    Applied twice it gives the same rows and keys. ``keyed.KeyedTable`` does this to a stored table.
     """
+    incoming = latest(incoming, keys, newest)
     values = [c for c in incoming.columns if c not in keys]
-    new = incoming.select(*keys, F.struct(*(incoming[c] for c in values)).alias("__new")) if values else incoming.withColumn("__new", F.struct(F.lit(1).alias("x")))
+    new = incoming.select(*keys, F.struct(F.lit(1).alias("__x"), *(incoming[c] for c in values)).alias("__new"))
     both = existing.join(new, keys, "full_outer")
     merged = both.select(*keys, surrogate, *(F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) for c in values))
     kept, added = merged.filter(F.col(surrogate).isNotNull()), merged.filter(F.col(surrogate).isNull()).drop(surrogate)
@@ -147,14 +212,33 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], surrogate:
     return kept.unionByName(fresh.select(*kept.columns))
 
 
-def insert_absent(existing: DataFrame, incoming: DataFrame, keys: list[str], surrogate: str) -> DataFrame:
-    """``existing`` and those incoming rows whose key it does not have."""
+def insert_absent(existing: DataFrame, incoming: DataFrame, keys: list[str], surrogate: str, newest: tuple[str, ...] = ()) -> DataFrame:
+    """``existing`` and, for each incoming key that it does not have, one row (see ``latest``)."""
     largest = existing.agg(F.coalesce(F.max(surrogate), F.lit(0)).alias("__largest"))
-    fresh = number_rows(incoming.join(existing.select(*keys), keys, "left_anti"), keys, surrogate)
+    absent = incoming.join(existing.select(*keys), keys, "left_anti")
+    fresh = number_rows(latest(absent, keys, newest), keys, surrogate)
     fresh = fresh.crossJoin(F.broadcast(largest)).withColumn(surrogate, F.col(surrogate) + F.col("__largest"))
     return existing.unionByName(fresh.select(*existing.columns))
 
 
+#: Keys that one row of a repeated row stands for at a time.
+STRETCH = 100_000
+
+
 def reload(incoming: DataFrame, surrogate: str) -> DataFrame:
-    """A load without a key of its own, made repeatable: keys follow the content, so the same rows get the same keys."""
-    return number_rows(incoming, incoming.columns, surrogate)
+    """A load without a key of its own, made repeatable: keys follow the content, so the same rows get the same keys.
+
+    Equal rows are counted first and take neighbouring keys, a stretch at a time: a row may repeat any number of times.
+    """
+    columns = incoming.columns
+    counted = incoming.groupBy(*columns).agg(F.count(F.lit(1)).alias("__times"))
+    bits = range_bits(None)
+    h = F.xxhash64(*columns)
+    keyed = counted.withColumns({"__h": h, "__range": F.shiftrightunsigned(h, 64 - bits)})
+    counts = keyed.groupBy("__range").agg(F.sum("__times").alias("__n"))
+    within = Window.partitionBy("__range").orderBy("__h", *columns).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = keyed.withColumn("__k", F.coalesce(F.sum("__times").over(within), F.lit(0)))
+    first = ranked.join(_offsets(counts, bits), F.col("__range") == F.col("__at"))
+    stretches = first.select(*columns, "__times", (F.col("__before") + F.col("__k") + 1).alias("__first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1, F.lit(STRETCH).cast("long"))).alias("__from"))
+    steps = F.sequence(F.col("__from"), F.least(F.col("__from") + (STRETCH - 1), F.col("__times") - 1))
+    return stretches.select(*columns, "__first", F.explode(steps).alias("__step")).select(*columns, (F.col("__first") + F.col("__step")).cast("long").alias(surrogate))
