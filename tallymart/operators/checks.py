@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymart.operators.digests import repeats
+from tallymart.sources.tables import probe
 from tallymart.specs import SEVERITIES, STATUSES, DatasetSpec, Edge
 
 WHOLE = "__DATASET__"
@@ -110,9 +112,10 @@ def _row_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def _key_rules(df: DataFrame, keys: tuple[str, ...], rules: list[KeyRule]) -> DataFrame:
-    """All measures of a key set: one grouping."""
+    """All measures of a key set: one grouping; of whole rows by their digests."""
     n = F.col("n")
-    sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count_if(n > 1).alias("groups"), F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("participating"), F.coalesce(F.sum(n - 1), F.lit(0)).alias("excess"))
+    counted = repeats(df) if set(keys) == set(df.columns) else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count_if(n > 1).alias("groups"), F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("participating"), F.coalesce(F.sum(n - 1), F.lit(0)).alias("excess"))
     return _measured(rules, [(F.col(r.measure), F.col("total")) for r in rules], sums)
 
 
@@ -188,9 +191,9 @@ def run_rules(spark: SparkSession, tables: Tables, rules: list[Rule], keep_sever
 # ---------------------------------------------------------------- rule families
 
 
-def existence(specs: dict[str, DatasetSpec], tables: Tables) -> list[Rule]:
-    """Every expected dataset is there; a missing one is a failed check, not an exception."""
-    return [FixedRule(f"DQ-EXIST-{n}", n, WHOLE, "Completeness", "dataset is available", "CRITICAL", int(n not in tables), "found" if n in tables else "missing") for n in specs]
+def existence(spark: SparkSession, paths: dict[str, str]) -> list[Rule]:
+    """Every expected dataset is where it should lie and can be read; a missing one is a failed check, not an exception."""
+    return [FixedRule(f"DQ-EXIST-{r.dataset}", r.dataset, WHOLE, "Completeness", "dataset is available", "CRITICAL", int(not r.is_present), r.reason) for r in probe(spark, paths).collect()]
 
 
 def schema_conformity(specs: dict[str, DatasetSpec], tables: Tables) -> list[Rule]:

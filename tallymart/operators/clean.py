@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallymart.functions import columns as C
 from tallymart.operators.checks import rows_of, unmatched_counts
+from tallymart.operators.digests import repeat_figures
 from tallymart.operators.preprocess import missing
 from tallymart.specs import DatasetSpec, Edge
 
@@ -103,8 +104,7 @@ def _entry(counted: DataFrame, dataset: str, column: str, issue: str, rule: str,
 
 
 def audit_duplicates(df: DataFrame, dataset: str) -> DataFrame:
-    n = F.col("n")
-    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(n - 1), F.lit(0)).alias("affected"), F.coalesce(F.sum(n), F.lit(0)).alias("before"), F.count(F.lit(1)).alias("after"))
+    counted = repeat_figures(df).select(F.col("excess_rows").alias("affected"), F.col("total_rows").alias("before"), F.col("distinct_rows").alias("after"))
     return _entry(counted, dataset, "__FULL_ROW__", "repeated rows", "one of equal rows is kept", DEDUPLICATE, "equal rows say nothing new")
 
 
@@ -231,9 +231,8 @@ def null_cells(df: DataFrame) -> Column:
 
 
 def table_figures(df: DataFrame, suffix: str) -> DataFrame:
-    n = F.col("n")
     cells = df.agg(null_cells(df).cast("long").alias(f"null_cells_{suffix}"), F.count(F.lit(1)).alias(f"rows_{suffix}"))
-    repeats = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(n - 1), F.lit(0)).alias(f"exact_duplicates_{suffix}"))
+    repeats = repeat_figures(df).select(F.col("excess_rows").alias(f"exact_duplicates_{suffix}"))
     return cells.crossJoin(F.broadcast(repeats)).withColumn(f"columns_{suffix}", F.lit(len(df.columns)).cast("long"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymart.functions import columns as C
+from tallymart.operators.digests import repeat_figures
 from tallymart.specs import NULL_TOKENS, RETAIL, DatasetSpec
 
 
@@ -94,11 +95,7 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 def duplicate_summary(df: DataFrame) -> DataFrame:
     """(total_rows, participating_rows, excess_rows, duplicate_groups) of whole rows."""
-    n = F.col("n")
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"), F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("participating_rows"),
-        F.coalesce(F.sum(n - 1), F.lit(0)).alias("excess_rows"), F.count_if(n > 1).alias("duplicate_groups"),
-    )
+    return repeat_figures(df).select("total_rows", "participating_rows", "excess_rows", "duplicate_groups")
 
 
 def standardise_codes(df: DataFrame, names: list[str]) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymart.functions.columns import percent
+from tallymart.operators import sketches
 from tallymart.operators.checks import unmatched
+from tallymart.operators.digests import repeat_figures, repeated_rows
 from tallymart.operators.preprocess import missing
 
 NULL_LABEL = "[NULL]"
@@ -23,11 +25,14 @@ def _rows(one: DataFrame, structs: list[Column]) -> DataFrame:
     return one.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def column_summary(df: DataFrame) -> DataFrame:
-    """(column, dtype, missing, missing_pct, distinct_values)."""
+def column_summary(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """(column, dtype, missing, missing_pct, distinct_values). Distinct values are counted exactly, or estimated from
+    sketches (``approximate``: one scan for all columns; see ``sketches`` for the error)."""
     kinds = dict(df.dtypes)
-    one = df.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(missing(df, c)).alias(f"m_{c}") for c in df.columns), *(F.count_distinct(c).alias(f"d_{c}") for c in df.columns))
-    return _rows(one, [F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("dtype"), F.col(f"m_{c}").alias("missing"), percent(F.col(f"m_{c}"), F.col("n"), 2).alias("missing_pct"), F.col(f"d_{c}").alias("distinct_values")) for c in df.columns])
+    one = df.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(missing(df, c)).alias(f"m_{c}") for c in df.columns))
+    rows = _rows(one, [F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("dtype"), F.col(f"m_{c}").alias("missing"), percent(F.col(f"m_{c}"), F.col("n"), 2).alias("missing_pct")) for c in df.columns])
+    counts = sketches.estimates(sketches.distinct_sketches(df)).drop("rows") if approximate else sketches.distinct_counts(df)
+    return rows.join(F.broadcast(counts), "column")  # a row a column
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -241,13 +246,17 @@ def top_values(df: DataFrame, columns: list[str]) -> DataFrame:
 # ---------------------------------------------------------------- dates
 
 
-def date_columns(df: DataFrame) -> list[str]:
+def date_columns(df: DataFrame, by_name: bool = False) -> list[str]:
+    """Columns of a date or time type, or those whose name speaks of a date or timestamp, whatever their type."""
+    if by_name:
+        return [c for c in df.columns if "date" in c.lower() or "timestamp" in c.lower()]
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.DatetimeType)]
 
 
-def date_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, min_date, max_date, missing_count, missing_pct)."""
-    names = columns or date_columns(df)
+def date_stats(df: DataFrame, columns: list[str] | None = None, by_name: bool = False) -> DataFrame:
+    """(column, min_date, max_date, missing_count, missing_pct). Text is parsed first; what does not parse is missing."""
+    names = columns or date_columns(df, by_name)
+    df = df.withColumns({c: F.try_to_timestamp(c).cast("timestamp_ntz") for c in names if isinstance(df.schema[c].dataType, T.StringType)})
     one = df.agg(F.count(F.lit(1)).alias("n"), *(e.alias(f"{k}_{c}") for c in names for k, e in (("lo", F.min(c)), ("hi", F.max(c)), ("m", F.count_if(F.col(c).isNull())))))
     return _rows(one, [F.struct(F.lit(c).alias("column"), F.col(f"lo_{c}").alias("min_date"), F.col(f"hi_{c}").alias("max_date"), F.col(f"m_{c}").alias("missing_count"), percent(F.col(f"m_{c}"), F.col("n"), 2).alias("missing_pct")) for c in names])
 
@@ -266,8 +275,43 @@ def date_gaps(df: DataFrame, column: str) -> DataFrame:
     return inside.unionByName(between).withColumn("gap_seconds", seconds)
 
 
+#: Intervals that one is divided into at each step of the search for the largest gaps.
+INTERVALS = 4096
+
+
 def largest_gaps(df: DataFrame, column: str, k: int = 5) -> DataFrame:
-    return date_gaps(df, column).orderBy(F.desc("gap_seconds"), "gap_start").limit(k)
+    """The k largest gaps (gap_start, gap_end, gap_seconds), of equal ones the earliest, without ordering the times.
+
+    Times fall into equal intervals, which keep their first and last time only. Gaps between neighbouring intervals are
+    known then; an interval is divided further only if its own span could hold a gap among the k largest. At most
+    INTERVALS rows are ordered together, whether all times lie in one day or not.
+    """
+    kind = df.schema[column].dataType.simpleString()
+    t = F.col("t").cast("timestamp")
+    held = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("t")).withColumn("us", F.unix_micros(t))
+    best: list = []
+    # Intervals that are open: their number, first and last time; at first one that holds all.
+    open_ = held.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).filter("hi > lo").withColumn("at", F.lit(0).cast("bigint"))
+    rows, first, fine = held.withColumn("at", F.lit(0).cast("bigint")), open_.first(), 1
+    if first is None:
+        return held.select(F.col("t").alias("gap_start"), F.col("t").alias("gap_end"), F.lit(0).cast("bigint").alias("gap_seconds")).limit(0)
+    start, width = first.lo, first.hi - first.lo + 1
+    schema = f"gap_start {kind}, gap_end {kind}, gap_seconds bigint"
+    while True:
+        fine *= INTERVALS
+        step = max(1, -(-width // fine))
+        within = Window.partitionBy("at").orderBy("next")
+        parts = rows.withColumn("next", F.floor((F.col("us") - start) / F.lit(step)).cast("bigint")).groupBy("at", "next").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+        seconds = lambda a, b: F.timestamp_diff("SECOND", a.cast("timestamp"), b.cast("timestamp"))
+        between = parts.withColumn("before", F.lag("last").over(within)).filter("before IS NOT NULL").select(F.col("before").alias("gap_start"), F.col("first").alias("gap_end"), seconds(F.col("before"), F.col("first")).alias("gap_seconds"))
+        found = between.orderBy(F.desc("gap_seconds"), "gap_start").limit(k).collect()
+        best = sorted([*best, *found], key=lambda r: (-r.gap_seconds, r.gap_start))[:k]
+        spans = parts.select("next", "first", seconds(F.col("first"), F.col("last")).alias("span")).filter(F.col("first") < F.col("last"))
+        if len(best) == k:
+            spans = spans.filter((F.col("span") > best[-1].gap_seconds) | ((F.col("span") == best[-1].gap_seconds) & (F.col("first") < F.lit(best[-1].gap_start))))
+        if step == 1 or spans.isEmpty():
+            return df.sparkSession.createDataFrame([tuple(r) for r in best], schema)
+        rows = rows.withColumn("at", F.floor((F.col("us") - start) / F.lit(step)).cast("bigint")).join(spans.select(F.col("next").alias("at")), "at", "left_semi").select("t", "us", "at")
 
 
 def date_profile(df: DataFrame, dataset: str, columns: list[str]) -> DataFrame:
@@ -320,7 +364,7 @@ def key_profile(df: DataFrame, dataset: str, keys: list[str]) -> DataFrame:
 
 def row_duplicates(df: DataFrame, dataset: str) -> DataFrame:
     """(dataset, total_rows, distinct_rows, duplicate_rows, duplicate_pct) of whole rows."""
-    one = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"), F.count(F.lit(1)).alias("distinct_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    one = repeat_figures(df).select("total_rows", "distinct_rows", F.col("excess_rows").alias("duplicate_rows"))
     return one.select(F.lit(dataset).alias("dataset"), "*", percent(F.col("duplicate_rows"), F.col("total_rows"), 4).alias("duplicate_pct"))
 
 
@@ -349,7 +393,7 @@ def duplicate_ids(df: DataFrame, column: str) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
+    return repeated_rows(df, "occurrences")
 
 
 def zero_report(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:

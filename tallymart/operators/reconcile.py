@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.operators.checks import rows_of, unmatched_counts
+from tallymart.operators.digests import repeat_figures, same_set
+from tallymart.sources.tables import probe
 
 Tables = dict[str, DataFrame]
 
@@ -56,6 +58,8 @@ def row_counts(src: Tables, star: Tables) -> DataFrame:
 
 
 def _repeats(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    if set(keys) == set(df.columns):
+        return repeat_figures(df).select(F.col("duplicate_groups").alias("b"))
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("b"))
 
 
@@ -70,8 +74,7 @@ def surrogate_keys(star: Tables) -> DataFrame:
 def foreign_keys(star: Tables) -> DataFrame:
     parts = []
     for fact, key, dim, dim_key, nulls in FOREIGN_KEYS:
-        rows = star[fact].select(key) if nulls else star[fact].select(key).filter(F.col(key).isNotNull())
-        orphans = rows.join(star[dim].select(F.col(dim_key).alias("__k")), F.col(key) == F.col("__k"), "left_anti").agg(F.count(F.lit(1)).alias("b"))
+        orphans = rows_of(unmatched_counts(star[fact], key, star[dim], dim_key, nulls), "b")  # a hot or missing key is one row
         parts.append(result(orphans, "FOREIGN_KEY", f"{fact}.{key} -> {dim}", "every key is found", F.lit(0), F.col("b")))
     return union(parts)
 
@@ -84,9 +87,8 @@ def business_keys(src: Tables, star: Tables, prove_sets: bool = False) -> DataFr
         both = _beside(src[s].agg(amount.alias("a")), star[t].agg(amount.alias("b")))
         status = None
         if prove_sets and keys:
-            apart = src[s].select(*keys).join(star[t].select(*keys), list(keys), "left_anti").distinct().agg(F.count(F.lit(1)).alias("x"))
-            more = star[t].select(*keys).join(src[s].select(*keys), list(keys), "left_anti").distinct().agg(F.count(F.lit(1)).alias("y"))
-            both, status = _beside(_beside(both, apart), more), (F.col("x") == 0) & (F.col("y") == 0)
+            proof = same_set(src[s].dropna(subset=list(keys)), star[t].dropna(subset=list(keys)), list(keys))
+            both, status = proof.select(F.col("a_rows").alias("a"), F.col("b_rows").alias("b"), "same"), F.col("same")
         parts.append(result(both, "RECONCILIATION", name, "the source's keys are all there", F.col("a"), F.col("b"), status))
     return union(parts)
 
@@ -141,9 +143,10 @@ def check(one: DataFrame, category: str, dataset: str, rule: str, expected: Colu
     )
 
 
-def tables_exist(expected: list[str], found: Tables) -> DataFrame:
-    spark = next(iter(found.values())).sparkSession
-    return union([check(spark.range(1), "Existence", n, "the cleaned table exists", F.lit(1), F.lit(int(n in found)), "CRITICAL") for n in expected])
+def tables_exist(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Looks for each cleaned table where it should lie: a folder that holds a readable schema and its rows."""
+    seen = probe(spark, paths)
+    return union([check(seen.filter(F.col("dataset") == n), "Existence", n, "the cleaned table exists", F.lit(1), F.col("is_present").cast("int"), "CRITICAL") for n in paths])
 
 
 def expected_rows(clean: Tables, expected: dict[str, Column | int], raw: Tables | None = None) -> DataFrame:
@@ -208,7 +211,9 @@ def no_repeated_rows(clean: Tables, names: list[str]) -> DataFrame:
     return union([check(_repeats(clean[n], tuple(clean[n].columns)), "Duplicate Removal", n, "no repeated rows", F.lit(0).cast("long"), F.col("b")) for n in names])
 
 
-def not_a_key(spark, specs: dict, dataset: str, column: str) -> DataFrame:
-    """A policy on the declarations: an id that repeats must not be declared a key."""
+def not_a_key(clean: Tables, specs: dict, dataset: str, column: str) -> DataFrame:
+    """A policy on declarations, held against the table: an id that repeats must not be declared a key. ``actual`` is how
+    many of its values repeat if it is declared one, and 0 otherwise."""
     declared = int(specs[dataset].key == (column,))
-    return check(spark.range(1), "Key Policy", dataset, f"{column} is not a declared key", F.lit(0).cast("long"), F.lit(declared).cast("long"), "CRITICAL")
+    repeats = _repeats(clean[dataset].select(column).filter(F.col(column).isNotNull()).withColumn("__row", F.lit(0)), (column,))
+    return check(repeats, "Key Policy", dataset, f"{column} is no declared key, or never repeats", F.lit(0).cast("long"), F.col("b") * declared, "CRITICAL")

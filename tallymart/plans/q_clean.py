@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from functools import partial
+from dataclasses import replace
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.functions import columns as C
-from tallymart.operators import clean, preprocess, reconcile
+from tallymart.operators import clean, observed, preprocess, reconcile
 from tallymart.plans.registry import add, text
 from tallymart.plans.roles import SPECS, role, roles
-from tallymart.sources import tables
+from tallymart.sources import files, tables
 from tallymart.specs import EDGES, LOOKUPS, NULL_TOKENS, DatasetSpec
 
 # ---------------------------------------------------------------- raw text, made from the given tables
@@ -79,6 +80,23 @@ def cleaned(spark: SparkSession, sf_dir: str) -> tuple[dict, DataFrame]:
     return clean.clean_all(roles(spark, sf_dir), LOOKUPS)
 
 
+def audited(spark: SparkSession, sf_dir: str, use) -> DataFrame:
+    """What ``use`` makes of the given tables and of an audited write of all cleaned ones; nothing of the write stays."""
+    given, base = roles(spark, sf_dir), f"{tables.shared_folder(spark)}/audited-{uuid.uuid4().hex}"
+    try:
+        written, done = observed.write_clean(given, base)
+        return tables.settle(use(given, written, done))
+    finally:
+        files.delete(spark, base)
+
+
+def whole_log(given: dict, written: dict, done: list) -> DataFrame:
+    """Rules of rows come from the write; repeated ids and lookups need their key column alone."""
+    spark = next(iter(given.values())).sparkSession
+    grouped = [clean.audit_repeated_id(given["reviews"], "reviews", "review_id"), *(clean.audit_unmatched(given, e, "DOCUMENTED" if e.child == "products" else "APPLIED") for e in LOOKUPS)]
+    return reduce(DataFrame.unionByName, grouped, observed.audit_log(spark, done)).select("dataset", "column", "issue", "action", "rows_affected", "rows_before", "rows_after", "status")
+
+
 def log_of(*datasets: str):
     return lambda s, d: cleaned(s, d)[1].filter(F.col("dataset").isin(*datasets)).select("dataset", "column", "issue", "action", "rows_affected", "rows_before", "rows_after", "status")
 
@@ -122,9 +140,7 @@ for _name, _datasets in _of.items():
 add("audit_retain_null", lambda s, d: log_of("products")(s, d).filter("issue NOT LIKE 'not in %'"), "\nUNION ALL ".join(LOG_SQL["audit_retain_null"]))
 add("audit_unmatched_lookup", lambda s, d: log_of("customers", "sellers", "products")(s, d).filter("issue LIKE 'not in %'"), "\nUNION ALL ".join(LOG_SQL["audit_unmatched_lookup"]))
 LOG = "\nUNION ALL ".join(x for part in LOG_SQL.values() for x in part)
-add("audit_log", log_of(*SPECS), LOG)
-add("row_invariant", lambda s, d: clean.same_row_count(role(s, d, "customers"), cleaned(s, d)[0]["customers"]), "SELECT count(*) AS rows_before, count(*) AS rows_after, true AS unchanged FROM r_customers")
-
+add("audit_log", lambda s, d: audited(s, d, whole_log), LOG)
 #: What cleaning leaves, in SQL.
 CLEANED = {
     "customers": "SELECT customer_id, customer_unique_id, customer_zip_code_prefix, trim(upper(customer_city)) AS customer_city, trim(upper(customer_state)) AS customer_state FROM r_customers",
@@ -139,6 +155,9 @@ CLEANED = {
 }
 
 
+add("row_invariant", lambda s, d: audited(s, d, lambda given, written, done: observed.row_invariants(s, done)), "\nUNION ALL ".join(f"SELECT '{n}' AS dataset, (SELECT count(*) FROM r_{n}) AS rows_before, (SELECT count(*) FROM ({q}) AS t) AS rows_after, (SELECT count(*) FROM r_{n}) = (SELECT count(*) FROM ({q}) AS t) AS unchanged" for n, q in CLEANED.items()))
+
+
 def figures_sql(name: str) -> str:
     cols = list(SPECS[name].columns)
     nulls = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in cols)
@@ -182,30 +201,40 @@ KEYS, COMPOSITE = {n: SPECS[n].key for n in ("customers", "orders", "products",
 CHRONOLOGY = {"orders": {"carrier not before purchase": "order_delivered_carrier_date < order_purchase_timestamp", "customer not before carrier": "order_delivered_customer_date < order_delivered_carrier_date", "customer not before purchase": "order_delivered_customer_date < order_purchase_timestamp"}}
 ZERO, NEGATIVE = {"payments": {"no zero installments": "payment_installments = 0"}}, {"order_items": {"price not negative": "price < 0", "freight not negative": "freight_value < 0"}, "payments": {"value not negative": "payment_value < 0"}}
 KEPT, KEPT_NULL = {"order_items": {"zero freight": "freight_value = 0"}, "payments": {"zero value": "payment_value = 0"}, "products": {"zero weight": "product_weight_g = 0"}}, {"products": {"missing category": "product_category_name IS NULL"}}
+#: Declarations that wrongly make the review id a key; the policy must say so.
+DECLARED, _policy = {**SPECS, "reviews": replace(SPECS["reviews"], key=("review_id",))}, "review_id is no declared key, or never repeats"
+
+
+def written_tables_exist(spark: SparkSession, c: dict) -> DataFrame:
+    """Cleaned tables are written, then looked for in their folders, and so is one that nobody wrote."""
+    staged = tables.stage(c)
+    base = next(iter(staged.values())).staged_at
+    try:
+        return tables.settle(reconcile.tables_exist(spark, {n: f"{base}/{n}" for n in (*SPECS, "returns")}))
+    finally:
+        tables.discard(spark, staged)
+
+
 POST: dict[str, tuple] = {
-    "post_existence": (lambda s, raw_, c: reconcile.tables_exist([*SPECS, "returns"], c), "\nUNION ALL ".join(check_sql("Existence", n, "the cleaned table exists", "1", "0" if n == "returns" else "1", "CRITICAL") for n in (*SPECS, "returns"))),
+    "post_existence": (lambda s, raw_, c: written_tables_exist(s, c), "\nUNION ALL ".join(check_sql("Existence", n, "the cleaned table exists", "1", "0" if n == "returns" else "1", "CRITICAL") for n in (*SPECS, "returns"))),
     "post_row_count": (lambda s, raw_, c: reconcile.expected_rows(c, {"sellers": 100}, raw_), "\nUNION ALL ".join(check_sql("Row Count", n, "rows as expected", "100" if n == "sellers" else n_of(f"r_{n}"), n_of(f"c_{n}")) for n in SPECS)),
     "post_primary_keys": (lambda s, raw_, c: reconcile.repeated_keys(c, KEYS, "Primary Key"), "\nUNION ALL ".join(check_sql("Primary Key", n, f"unique {', '.join(k)}", "0", repeats_of(f"c_{n}", k), "CRITICAL") for n, k in KEYS.items())),
     "post_composite_keys": (lambda s, raw_, c: reconcile.repeated_keys(c, COMPOSITE, "Composite Key"), "\nUNION ALL ".join(check_sql("Composite Key", n, f"unique {', '.join(k)}", "0", repeats_of(f"c_{n}", k), "CRITICAL") for n, k in COMPOSITE.items())),
     "post_orphans": (lambda s, raw_, c: reconcile.orphans(c, EDGES), "\nUNION ALL ".join(check_sql("Referential Integrity", e.child, f"{e.column} found in {e.parent}", "0", f"(SELECT count(*) FROM c_{e.child} AS c WHERE NOT EXISTS (SELECT 1 FROM c_{e.parent} AS p WHERE p.{e.parent_column} = c.{e.column}))", e.severity) for e in EDGES)),
     "post_lookup_gap": (lambda s, raw_, c: reconcile.lookup_gap(c, LOOKUPS[0], 13), check_sql("Lookup Coverage", "products", "rows without category_translation as expected", "13", n_of("c_products", "product_category_name NOT IN (SELECT product_category_name FROM c_category_translation)"), "LOW")),
     "post_duplicates": (lambda s, raw_, c: reconcile.no_repeated_rows(c, ["geolocation", "reviews"]), "\nUNION ALL ".join(check_sql("Duplicate Removal", n, "no repeated rows", "0", f"(SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM c_{n}) AS u) FROM c_{n})") for n in ("geolocation", "reviews"))),
-    "post_key_policy": (lambda s, raw_, c: reconcile.not_a_key(s, SPECS, "reviews", "review_id"), check_sql("Key Policy", "reviews", "review_id is not a declared key", "0", "0", "CRITICAL")),
+    "post_key_policy": (lambda s, raw_, c: reconcile.union([reconcile.not_a_key(c, specs, "reviews", "review_id") for specs in (SPECS, DECLARED)]), check_sql("Key Policy", "reviews", _policy, "0", "0", "CRITICAL") + " UNION ALL " + check_sql("Key Policy", "reviews", _policy, "0", "(SELECT count(*) FROM (SELECT 1 FROM c_reviews WHERE review_id IS NOT NULL GROUP BY review_id HAVING count(*) > 1) AS g)", "CRITICAL")),
 }
 for _name, _category, _conditions in (("post_chronology", "Chronology", CHRONOLOGY), ("post_zero", "Zero Values", ZERO), ("post_negative", "Negative Values", NEGATIVE)):
     POST[_name] = (lambda s, raw_, c, g=_category, k=_conditions: reconcile.none_where(c, k, g), "\nUNION ALL ".join(check_sql(_category, n, rule, "0", n_of(f"c_{n}", where)) for n, named in _conditions.items() for rule, where in named.items()))
 for _name, _category, _conditions in (("post_zero_kept", "Preservation", KEPT), ("post_null_kept", "Null Preservation", KEPT_NULL)):
     POST[_name] = (lambda s, raw_, c, g=_category, k=_conditions: reconcile.preserved(raw_, c, k, g), "\nUNION ALL ".join(check_sql(_category, n, rule, n_of(f"r_{n}", where), n_of(f"c_{n}", where), "MEDIUM") for n, named in _conditions.items() for rule, where in named.items()))
-def post(f, spark: SparkSession, sf_dir: str, beside: bool) -> DataFrame:
-    c = cleaned(spark, sf_dir)[0]
-    found = f(spark, roles(spark, sf_dir), c)
-    return tables.beside_rows(found, c) if beside else found
+def post(f, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return f(spark, roles(spark, sf_dir), cleaned(spark, sf_dir)[0])
 
 
 for _name, (_f, _sql) in POST.items():
-    _beside = _name in ("post_existence", "post_key_policy")  # these say nothing about rows, so rows stand beside them
-    _rows = f"SELECT res.*, CASE dataset {' '.join(f"WHEN '{n}' THEN (SELECT count(*) FROM c_{n})" for n in SPECS)} END AS total_rows FROM ({_sql}) AS res"
-    add(_name, lambda s, d, f=_f, b=_beside: post(f, s, d, b), clean_cte(_rows if _beside else _sql))
+    add(_name, partial(post, _f), clean_cte(_sql))
 
 
 def post_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,27 +264,38 @@ def overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cleaned table written twice to one place: the second write replaces the first."""
     path = f"{tables.shared_folder(spark)}/cleaned-{uuid.uuid4().hex}"
     done = cleaned(spark, sf_dir)[0]["payments"]
-    tables.save(done.limit(0), path)
-    tables.save(done, path)
-    return tables.load(spark, path)
+    try:
+        tables.save(done.limit(0), path)
+        tables.save(done, path)
+        return tables.settle(tables.load(spark, path))
+    finally:
+        files.delete(spark, path)
 
 
 def created(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All cleaned tables created as tables, replaced by a second run; rows by table."""
-    run, parts = uuid.uuid4().hex, {}
-    for name, df in cleaned(spark, sf_dir)[0].items():
-        for _ in range(2):
-            tables.save_table(df, f"cleaned_{name}_{run}", f"{tables.shared_folder(spark)}/tables-{run}/{name}")
-        parts[name] = spark.table(f"cleaned_{name}_{run}")
-    return tables.overview(parts)
+    """All cleaned tables created as tables, replaced by a second run; rows by table. The tables go afterwards."""
+    run, names = uuid.uuid4().hex, {n: f"cleaned_{n}_" for n in CLEANED}
+    base = f"{tables.shared_folder(spark)}/tables-{run}"
+    try:
+        for name, df in cleaned(spark, sf_dir)[0].items():
+            for _ in range(2):
+                tables.save_table(df, names[name] + run, f"{base}/{name}")
+        return tables.settle(tables.overview({n: spark.table(t + run) for n, t in names.items()}))
+    finally:
+        for t in names.values():
+            spark.sql(f"DROP TABLE IF EXISTS {t}{run}")
+        files.delete(spark, base)
 
 
 def logged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit log written by dataset and read again."""
     path = f"{tables.shared_folder(spark)}/log-{uuid.uuid4().hex}"
     log = cleaned(spark, sf_dir)[1]
-    tables.save(log, path, partition_by=("dataset",))
-    return tables.load(spark, path).select(*log.columns).drop("rule", "rationale")
+    try:
+        tables.save(log, path, partition_by=("dataset",))
+        return tables.settle(tables.load(spark, path).select(*log.columns).drop("rule", "rationale"))
+    finally:
+        files.delete(spark, path)
 
 
 add("write_cleaned", overwritten, CLEANED["payments"])

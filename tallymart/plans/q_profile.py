@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.operators import profile
+from tallymart.operators import digests, profile, sketches
 from tallymart.plans.registry import add
 from tallymart.plans.roles import SPECS, role, roles
 from tallymart.sources import tables
@@ -99,6 +99,8 @@ gap_sql = lambda t, c: f"SELECT lag({c}) OVER (ORDER BY {c}) AS gap_start, {c} A
 seconds = "CAST(floor(date_diff('microsecond', gap_start, gap_end) / 1000000) AS BIGINT)"
 add("date_stats", lambda s, d: profile.date_stats(role(s, d, "orders")), union(map(date_sql, DATES)))
 add("date_profile", lambda s, d: profile.date_profile(role(s, d, "orders"), "orders", DATES), union(f"SELECT 'orders' AS dataset, \"column\", (SELECT count(*) FROM r_orders) AS total_records, min_date, max_date, missing_count, missing_pct, (SELECT max({seconds}) FROM ({gap_sql('orders', c)}) AS g) AS max_gap_seconds FROM ({date_sql(c)}) AS x" for c in DATES))
+_texts = ("order_purchase_timestamp", "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date")
+add("date_stats_by_name", lambda s, d: profile.date_stats(role(s, d, "orders").select("order_id", "order_approved_at", *(F.when(F.col("order_id") % 7 == 0, "soon").otherwise(F.col(c).cast("string")).alias(c) for c in _texts)), by_name=True), union(f"SELECT '{c}' AS \"column\", min({c}) FILTER (WHERE order_id % 7 <> 0) AS min_date, max({c}) FILTER (WHERE order_id % 7 <> 0) AS max_date, count(*) FILTER (WHERE order_id % 7 = 0 OR {c} IS NULL) AS missing_count, {pct(f'count(*) FILTER (WHERE order_id % 7 = 0 OR {c} IS NULL)', 'count(*)', 2)} AS missing_pct FROM r_orders" for c in _texts))
 add("date_gaps_top5", lambda s, d: profile.largest_gaps(role(s, d, "reviews"), "review_creation_date"), f"SELECT gap_start, gap_end, {seconds} AS gap_seconds FROM ({gap_sql('reviews', 'review_creation_date')}) AS g WHERE gap_start IS NOT NULL ORDER BY gap_seconds DESC, gap_start LIMIT 5")
 _at = "order_purchase_timestamp"
 for _name, _f, _keys in (("year_dist", profile.year_distribution, ("year",)), ("month_dist", profile.month_distribution, ("month",)), ("year_month_dist", profile.year_month_distribution, ("year", "month"))):
@@ -126,6 +128,20 @@ def rows_sql(t: str) -> str:
     return f"SELECT '{t}' AS dataset, count(*) AS total_rows, {u} AS distinct_rows, count(*) - {u} AS duplicate_rows, {pct(f'(count(*) - {u})', 'count(*)', 4)} AS duplicate_pct FROM r_{t}"
 
 
+
+
+def sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each month of the orders, merged, beside exact counts: the estimate must lie within five errors."""
+    o = role(spark, sf_dir, "orders").withColumn("month", F.date_format("order_purchase_timestamp", "yyyy-MM"))
+    columns = ["order_id", "customer_id", "order_status", "order_purchase_timestamp"]
+    merged = sketches.estimates(sketches.merge_sketches(sketches.distinct_sketches(o, columns, by=["month"]))).withColumnRenamed("distinct_values", "estimate")
+    both = merged.join(sketches.distinct_counts(o, columns), "column")
+    return both.select("column", "rows", "distinct_values", (F.abs(F.col("estimate") - F.col("distinct_values")) <= F.col("distinct_values") * 5 * 1.04 / 64 + 1).alias("within_bound"))
+
+
+add("distinct_sketches", sketched, union(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(DISTINCT {c}) AS distinct_values, true AS within_bound FROM r_orders" for c in ("order_id", "customer_id", "order_status", "order_purchase_timestamp")))
+_a, _b = "order_id % 997 <> 0", "order_id % 1009 <> 0"
+add("set_difference", lambda s, d: digests.set_difference(role(s, d, "orders").filter(_a), role(s, d, "orders").filter(_b), ["order_id", "customer_id"]), f"SELECT order_id, customer_id, 'a' AS only_in FROM r_orders WHERE {_a} AND NOT ({_b}) UNION ALL SELECT order_id, customer_id, 'b' FROM r_orders WHERE {_b} AND NOT ({_a})")
 add("full_row_dups", lambda s, d: profile.union([profile.row_duplicates(role(s, d, t), t) for t in ("geolocation", "raw_items", "reviews")]), union(map(rows_sql, ("geolocation", "raw_items", "reviews"))))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,13 +79,24 @@ def stage(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Tables written once to the shared folder and read again, for many checks over the same rows."""
     spark = next(iter(found.values())).sparkSession
     base, out = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}", {}
+    at_once([lambda n=name, d=df: d.write.parquet(f"{base}/{n}") for name, df in found.items()])
     for name, df in found.items():
-        df.write.parquet(f"{base}/{name}")
         out[name] = spark.read.schema(df.schema).parquet(f"{base}/{name}")
         out[name].staged_at = base
     return out
 
 
+#: Queries that run side by side where one does not need the other.
+SIDE_BY_SIDE = 3
+
+
+def at_once(work: list[Callable[[], None]]) -> None:
+    """Runs independent queries a few at a time; the first error ends it."""
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        for done in [pool.submit(inheritable_thread_target(w)) for w in work]:
+            done.result()
+
+
 def discard(spark: SparkSession, staged: dict[str, DataFrame]) -> None:
     """Deletes the folders of staged tables that nothing reads any more."""
     for base in {getattr(df, "staged_at", None) for df in staged.values()} - {None}:
@@ -103,6 +116,19 @@ def existing_tables(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame([(n, spark.catalog.tableExists(n)) for n in names], "dataset string, table_exists boolean")
 
 
+def probe(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(dataset, is_present, columns, reason) of tables by path: each path is looked up and its schema read. A missing or
+    unreadable one has a reason and no columns."""
+    rows = []
+    for name, path in paths.items():
+        if not files.exists(spark, path):
+            rows.append((name, False, 0, "missing"))
+            continue
+        found, reasons = load_all(spark, {name: path})
+        rows.append((name, name in found, len(found[name].columns) if name in found else 0, reasons.get(name, "found")))
+    return spark.createDataFrame(rows, "dataset string, is_present boolean, columns bigint, reason string")
+
+
 def inventory(spark: SparkSession, expected: list[str], found: dict[str, DataFrame]) -> DataFrame:
     """(dataset, is_present, total_rows, total_columns) of each expected dataset; missing ones have none."""
     parts = [found[n].agg(F.count(F.lit(1)).alias("total_rows")).select(F.lit(n).alias("dataset"), F.lit(True).alias("is_present"), "total_rows", F.lit(len(found[n].columns)).cast("long").alias("total_columns")) for n in expected if n in found]
