@@ -12,9 +12,13 @@ the connected components. The search runs on distinct fingerprints only, so exac
    and no link between components is lost.
 4. Components by alternating star contraction over the forests.
 
-The stage ``keep_one`` also verifies in the buckets that two texts share shingles: next to its fingerprint each text
-carries a sketch of ``SKETCH`` bytes, each from the shingle of the smallest value under one hash function, and links
-need ``AGREE`` equal bytes. A fingerprint alone would link unrelated texts by chance once there are many of them.
+The stage ``keep_one`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Its
+fingerprints are of the distinct words, which an edit changes less than shingles (texts that share 0.8 of their shingles
+differ in about 4 of 64 bits, in 8 to 14 bits by shingles), and are searched within ``STAGE_RADIUS``. Next to its
+fingerprint each text carries a sketch of ``SKETCH`` bytes, each from the shingle of the smallest value under one hash
+function; pairs with ``AGREE`` equal bytes are candidates. Every link is verified on the shingles themselves. A bucket
+proposes a spanning forest of its candidates, more of them where links were refuted before, until it has none left, so
+the groups are those of all links, and no list of all pairs is made.
 
 Defined results: null and word-less texts have fingerprint zero and link like any other; null ids are grouped like
 others but never name a group (a group of nothing but null ids has a null component_id); repeated rows come out each;
@@ -23,7 +27,8 @@ an empty table gives no rows; columns other than id and text are not read, whate
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 from math import comb
 
@@ -35,14 +40,17 @@ from pyspark.sql import functions as F
 
 from .common import Cut, map_column, quoted, table
 
-#: Words of a shingle and bits that may differ in keep_one(), the stage that removes near copies.
-STAGE_SHINGLE, STAGE_RADIUS = 5, 7
+#: Words of a shingle, bits that may differ, and similarity of the shingle sets in keep_one(), the stage that removes near
+#: copies.
+STAGE_SHINGLE, STAGE_RADIUS, JACCARD = 5, 8, 0.8
 BITS, RADIUS, SHINGLE, PARTS = 64, 3, 3, (2, 3, 4, 5, 6)
 #: Bytes of a sketch and how many must agree. Texts of a Jaccard similarity of 0.8 miss 8 of 16 once in 700 pairs, those
 #: without a common shingle meet it once in 10^15.
 SKETCH, AGREE = 16, 8
 FACTORS = np.array([xxhash.xxh64_intdigest(bytes([k])) | 1 for k in range(SKETCH)], np.uint64)
 MARKS = ["fp", "sketch0", "sketch1"]
+#: Rows of two numbers that are broadcast at most (about 40 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 #: Cost of one candidate pair in probes; only the plan depends on it, never the result.
 PAIR_COST = 0.05
 
@@ -85,21 +93,21 @@ def fingerprints(docs: DataFrame, text: str = "text", target: str = "fp", size:
     return map_column(docs, text, target, pa.int64(), "bigint", make)
 
 
+def word_fingerprint(text: str | None) -> int:
+    """The fingerprint of the distinct words."""
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    return majority(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)))
+
+
 def signatures(docs: DataFrame, text: str = "text", target: str = "signature", size: int = STAGE_SHINGLE) -> DataFrame:
-    """Adds an array of MARKS: the fingerprint and the sketch as two numbers."""
+    """Adds an array of MARKS: the fingerprint of the words, and the sketch of the shingles as two numbers."""
 
     def one(text: str | None) -> np.ndarray:
-        hashes = shingle_hashes(text, size)
-        return np.concatenate([np.array([majority(hashes)], "<u8").view("<i8"), sketch(hashes).view("<i8")])
+        return np.concatenate([np.array([word_fingerprint(text)], "<u8").view("<i8"), sketch(shingle_hashes(text, size)).view("<i8")])
 
     return map_column(docs, text, target, pa.list_(pa.int64()), "array<bigint>", lambda: lambda texts: [one(t) for t in texts])
 
 
-def node(marks: list[Column]) -> Column:
-    """What stands for a text in links: its fingerprint, or a hash of fingerprint and sketch."""
-    return marks[0] if len(marks) == 1 else F.xxhash64(*marks)
-
-
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -204,10 +212,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def forest(bucket: np.ndarray, fp: np.ndarray, radius: int = RADIUS, sketches: np.ndarray | None = None) -> list[tuple[int, int]]:
+def forest(bucket: np.ndarray, fp: np.ndarray, radius: int = RADIUS, sketches: np.ndarray | None = None, joined: np.ndarray | None = None, refuted: Callable[[int, int], bool] | None = None, tries: int = 1) -> list[tuple[int, int]]:
     """Spanning forests of the links inside buckets; ``bucket`` is sorted. Distance d along the array is compared for
     all rows at once; pairs that are joined already, and buckets that are one tree, drop out. With ``sketches`` (bytes,
-    one row a text) a link also needs AGREE equal bytes."""
+    one row a text) a link also needs AGREE equal bytes. Rows of one ``joined`` number in a bucket are joined from the
+    start; pairs that are ``refuted`` are passed over; two trees count as joined after ``tries`` links between them."""
     n = len(fp)
     root = np.arange(n)
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if n else np.zeros(0, np.int64)
@@ -215,7 +224,13 @@ def forest(bucket: np.ndarray, fp: np.ndarray, radius: int = RADIUS, sketches: n
     end = np.repeat(starts + size, size)
     trees = np.repeat(size, size)  # at a bucket's first row: trees left in it
     first = np.repeat(starts, size)
+    if joined is not None and n:
+        order = np.lexsort((joined, bucket))
+        new = np.r_[True, (bucket[order][1:] != bucket[order][:-1]) | (joined[order][1:] != joined[order][:-1])]
+        root[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # lexsort is stable: the first row of each number
+        np.subtract.at(trees, first[order][~new], 1)
     out: list[tuple[int, int]] = []
+    tried: Counter = Counter()
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -223,65 +238,104 @@ def forest(bucket: np.ndarray, fp: np.ndarray, radius: int = RADIUS, sketches: n
             i = root[i]
         return i
 
-    alive, d = np.arange(n), 1
+    minor, major, d = np.arange(n), np.zeros(n, bool), 1
     while True:
-        alive = alive[(alive + d < end[alive]) & (trees[first[alive]] > 1)]
-        if not len(alive):
+        if d & (d - 1) == 0 and d >= 16:  # now and then: rows of a bucket's largest tree need not be compared with each other
+            flat, sizes = np.unique(root, return_counts=True)
+            order = np.lexsort((sizes, first[flat]))
+            last = order[np.r_[first[flat][order][1:] != first[flat][order][:-1], True]]  # one tree of each bucket
+            major = np.zeros(n, bool)
+            major[flat[last]] = True
+            major = major[root]
+            minor = np.flatnonzero(~major)
+        minor = minor[(trees[first[minor]] > 1) & ((minor + d < end[minor]) | (minor - d >= first[minor]))]
+        if not len(minor):
             return out
+        back = minor[minor - d >= first[minor]] - d
+        alive = np.concatenate([minor[minor + d < end[minor]], back[major[back]]])
         open_ = alive[root[alive] != root[alive + d]]
         near = open_[np.bitwise_count(fp[open_] ^ fp[open_ + d]) <= radius]
         if sketches is not None:
             near = near[(sketches[near] == sketches[near + d]).sum(axis=1) >= AGREE]
         for i in near.tolist():
             a, b = find(i), find(i + d)
-            if a != b:
-                root[max(a, b)] = min(a, b)
+            if a == b or (refuted is not None and refuted(i, i + d)):
+                continue
+            out.append((i, i + d))
+            pair = min(a, b), max(a, b)
+            tried[pair] += 1
+            if tried[pair] >= tries:
+                root[pair[1]] = pair[0]
                 trees[first[i]] -= 1
-                out.append((i, i + d))
         if len(near):
             while not np.array_equal(up := root[root], root):
                 root[:] = up
         d += 1
 
 
-def links(keyed: DataFrame, parallel: int, radius: int = RADIUS) -> DataFrame:
-    """Distinct links (a, b) of nodes that connect all that buckets connect."""
-    width = len(keyed.columns) - 2
-    names = [f"{side}{k}" for side in "ab" for k in range(width)]
+def buckets(keyed: DataFrame, parallel: int, columns: int, forests: Callable[[np.ndarray, list], np.ndarray], schema: str) -> DataFrame:
+    """Runs ``forests`` on whole buckets of (part, key, ...): it takes the numbers of the first ``columns`` columns behind
+    the key and the lists of what follows, rows in order of their bucket, with the bucket in front."""
+    names = schema.replace(" bigint", "").split(", ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, list]] = []
 
-        def flush(rows: np.ndarray) -> pa.RecordBatch:
+        def flush(parts: list[tuple[np.ndarray, list]]) -> pa.RecordBatch:
+            rows, lists = np.concatenate([p[0] for p in parts]), [x for p in parts for x in p[1]]
             change = np.r_[False, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]
             bucket = np.cumsum(change)
             many = np.bincount(bucket)[bucket] > 1
-            marks = rows[many, 2:]
-            fp = np.ascontiguousarray(marks[:, 0]).view(np.uint64)
-            sketches = np.ascontiguousarray(marks[:, 1:]).view(np.uint8) if width > 1 else None
-            pairs = np.array(forest(bucket[many], fp, radius, sketches), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(marks[pairs[:, side], k]) for side in (0, 1) for k in range(width)], names=names)
+            found = forests(np.c_[bucket[many], rows[many, 2:]], [lists[k] for k in np.flatnonzero(many)] if lists else [])
+            return pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(len(names))], names=names)
 
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            rows = np.concatenate([*held, rows])
+            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2 + columns)], axis=1)
+            lists = batch.column(2 + columns).to_pylist() if batch.num_columns > 2 + columns else []
             if not len(rows):
                 continue
-            # The last bucket may go on in the next batch.
+            # The last bucket may go on in the next batch; parts of it wait side by side.
+            last = held[-1][0][-1] if held else rows[0]
+            same = (rows[:, 0] == last[0]) & (rows[:, 1] == last[1])
+            if held and not same[0]:
+                yield flush(held)
+                held = []
             cut = int(np.argmax((rows[:, 0] == rows[-1, 0]) & (rows[:, 1] == rows[-1, 1])))
-            held = [rows[cut:]]
             if cut:
-                yield flush(rows[:cut])
+                yield flush([*held, (rows[:cut], lists[:cut])])
+                held = []
+            held.append((rows[cut:], lists[cut:]))
         if held:
-            yield flush(held[0])
+            yield flush(held)
+
+    return keyed.repartition(parallel, "part", "key").sortWithinPartitions("part", "key").mapInArrow(run, schema)
+
+
+def links(keyed: DataFrame, parallel: int, radius: int = RADIUS) -> DataFrame:
+    """Distinct links (a, b) of fingerprints that connect all that buckets connect."""
+
+    def forests(rows: np.ndarray, _: list) -> np.ndarray:
+        pairs = np.array(forest(rows[:, 0], np.ascontiguousarray(rows[:, 1]).view(np.uint64), radius), np.int64).reshape(-1, 2)
+        return np.stack([rows[pairs[:, side], 1] for side in (0, 1)], axis=1)
+
+    return buckets(keyed, parallel, 1, forests, "a bigint, b bigint").distinct()
+
 
-    dealt = keyed.repartition(parallel, "part", "key").sortWithinPartitions("part", "key")
-    found = dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
-    return found.select(*(node([F.col(f"{side}{k}") for k in range(width)]).alias(side) for side in "ab")).distinct()
+def candidates(keyed: DataFrame, parallel: int, radius: int, tries: int) -> DataFrame:
+    """Distinct candidates (a, b), a < b, from rows (part, key, node, fp, sketch0, sketch1, root, refuted): between nodes
+    of different roots whose pair is not refuted yet."""
+
+    def forests(rows: np.ndarray, refuted: list) -> np.ndarray:
+        node, root = rows[:, 1], rows[:, 5]
+        known = [frozenset(r or ()) for r in refuted]
+        pairs = forest(rows[:, 0], np.ascontiguousarray(rows[:, 2]).view(np.uint64), radius, np.ascontiguousarray(rows[:, 3:5]).view(np.uint8), root, lambda i, j: int(node[j]) in known[i], tries)
+        return np.sort(node[np.array(pairs, np.int64).reshape(-1, 2)], axis=1)
+
+    return buckets(keyed, parallel, 5, forests, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, cut: Cut) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): root is the smallest node reachable.
+    """(node, root) for every node of the edges (a, b) but the roots: root is the smallest node reachable.
 
     Alternating star contraction: large stars move the larger neighbours of a node to its smallest one, small stars
     the smaller ones; each needs a minimum and a join. It ends when a round changes nothing.
@@ -313,22 +367,19 @@ def components(edges: DataFrame, cut: Cut) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", fp: str = "fp", radius: int = RADIUS, parts: tuple[int, ...] = PARTS, sketches: tuple[str, ...] = ()) -> DataFrame:
-    """(fp, *sketches, component_id, root) for every distinct fingerprint, or fingerprint and sketch, of a table that holds
-    ids and these; ``root`` names a component even if all its ids are null. With sketches, texts of one fingerprint are
-    linked like others: if their sketches agree."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", fp: str = "fp", radius: int = RADIUS, parts: tuple[int, ...] = PARTS) -> DataFrame:
+    """(fp, component_id, root) for every distinct fingerprint of a table that holds ids and fingerprints; ``root`` names a
+    component even if all its ids are null."""
     spark = docs.sparkSession
     cut = Cut(spark, "simhash")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = ["fp", *sketches]
-    each = cut(docs.groupBy(F.col(fp).alias("fp"), *sketches).agg(F.min(doc_id).alias("first_id")))
+    each = cut(docs.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("first_id")))
     n, both = bit_statistics(each.select("fp"))
     groups, limits = plan(n, both, parts, radius)
-    tree = components(links(probes(each.select(*marks), groups, limits), width, radius), cut)
-    own = each.withColumn("own", node([F.col(c) for c in marks]))
-    rooted = own.join(tree, own["own"] == tree["node"], "left").select(*marks, "first_id", F.coalesce("root", "own").alias("root"))
+    tree = components(links(probes(each.select("fp"), groups, limits), width, radius), cut)
+    rooted = each.join(tree, each["fp"] == tree["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(named, "root").select(*marks, "component_id", "root")
+    return rooted.join(named, "root").select("fp", "component_id", "root")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,23 +388,115 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(near_duplicates(docs), "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def similar(edges: DataFrame, texts: DataFrame, cut: Cut, size: int = STAGE_SHINGLE, least: float = JACCARD) -> DataFrame:
+    """(a, b, ok) for edges (a, b) of nodes: whether the shingle sets of their texts (node, text) have a Jaccard similarity
+    of ``least`` or more; two texts without words are similar. Shingles are compared as 32-bit hashes.
+
+    Each text that an edge needs becomes its shingle set once; the set goes to its edges, where two sets meet at a time.
+    """
+    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = edges.select(F.col("a").alias("node"), "a", "b").unionByName(edges.select(F.col("b").alias("node"), "a", "b"))
+    sides = F.broadcast(sides) if edges.count() * 2 <= BROADCAST_ROWS else sides
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sets = [np.unique((shingle_hashes(t, size) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.record_batch({"node": batch.column(0), "shingles": pa.array(sets, pa.binary())})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None  # the side of an edge that came last
+        for batch in batches:
+            out = []
+            for a, b, node, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if before is None or before[:2] != (a, b):
+                    before = a, b, node, raw
+                    continue
+                if before[2] == node:  # the same text once more, or an edge that is judged
+                    continue
+                x, y = np.frombuffer(before[3], "<u4"), np.frombuffer(raw, "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append((a, b, both >= least * (len(x) + len(y) - both)))
+                before = a, b, node, raw
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "ok"])
+
+    sets = texts.mapInArrow(shingles, "node bigint, shingles binary")
+    met = sets.join(sides, "node").select("a", "b", "node", "shingles").repartition(width, "a", "b").sortWithinPartitions("a", "b", "node")
+    return cut(met.mapInArrow(compare, "a bigint, b bigint, ok boolean"))
+
+
+def _of_rows(packed: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The rows that ``wanted`` (id, hash, ...) names; its further columns come along. Broadcast if they are few."""
+    named = wanted.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), *(c for c in wanted.columns if c not in ("id", "hash")))
+    return packed.join(F.broadcast(named) if n <= BROADCAST_ROWS else named, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))).drop("__id", "__hash")
+
+
+def groups(nodes: DataFrame, texts_of: Callable[[DataFrame, int], DataFrame], cut: Cut, radius: int = STAGE_RADIUS, size: int = STAGE_SHINGLE, parts: tuple[int, ...] = PARTS) -> DataFrame:
+    """(node, root) of all nodes (node, fp, sketch0, sketch1), different texts: the groups that verified links make.
+
+    ``texts_of(nodes, n)`` gives (node, text) of n nodes, a node more than once if its row repeats. Each round verifies the candidates that buckets propose. A round after the
+    first looks again at groups in which a candidate was refuted, passes over what is refuted, and proposes four times as
+    many links between two trees, until nothing is proposed.
+    """
+    spark = nodes.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, both = bit_statistics(nodes.select("fp"))
+    bits, limits = plan(n, both, parts, radius)
+    active = nodes.select("node", *MARKS, F.col("node").alias("root"), F.lit(None).cast("array<bigint>").alias("refuted"))
+    links_, refuted, tries, tree = None, None, 1, None
+    while True:
+        keyed = probes(active, bits, limits).select("part", "key", "node", *MARKS, "root", "refuted")
+        edges = cut(candidates(keyed, width, radius, tries))
+        if edges.isEmpty():
+            break
+        ends = cut(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct())
+        judged = similar(edges, texts_of(ends, ends.count()), cut, size)
+        cut.drop(ends)
+        good = judged.filter("ok").select("a", "b")
+        links_ = good if links_ is None else links_.unionByName(good)
+        bad = judged.filter("NOT ok").select("a", "b")
+        refuted = bad if refuted is None else refuted.unionByName(bad)
+        tree = components(links_, cut)
+        if bad.isEmpty():
+            break
+        # What hung together in this round, verified or not, is looked at again if it lost a link.
+        loose = components(edges.unionByName(links_), cut)
+        loose = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
+        hit = loose.join(bad.select(F.col("a").alias("node")), "node", "left_semi").select(F.col("root").alias("loose")).distinct()
+        again = loose.withColumnRenamed("root", "loose").join(hit, "loose", "left_semi").select("node")
+        lost = refuted.unionByName(refuted.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("refuted"))
+        rooted = nodes.join(again, "node", "left_semi").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        active = cut(rooted.join(lost, "node", "left").select("node", *MARKS, "root", "refuted"))
+        tries *= 4
+    if tree is None:
+        return nodes.select("node", F.col("node").alias("root"))
+    return nodes.select("node").join(tree, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, cut: Cut | None = None) -> DataFrame:
     """One row of each group of near-duplicates: the one of the smallest id (nulls last), of equal ids the one whose
     row hash is smallest. Returns the columns of ``docs``, whatever their names, with unchanged values.
 
-    Fingerprints are of shingles of ``size`` words. Texts of a Jaccard similarity of 0.8 differ in some bits of 64, not
-    in a fixed number: ``radius`` is wider than that of the thin query, and sketches verify that shingles are shared.
-    What this finds, and what it joins wrongly, is measured in the tests. Texts stay where they are until the last step.
+    Equal texts are one node (by 128 bits of their hashes); nodes link as ``groups`` says, each link verified on the
+    sets of ``size``-word shingles. Texts stay where they are but for those that a candidate link needs.
     """
     columns = docs.columns
     cut = cut or Cut(docs.sparkSession, "near-dedup")
     hashed = [quoted(c) for c, kind in docs.dtypes if "map<" not in kind]
     packed = docs.select(F.struct(*(quoted(c).alias(f"c{k}") for k, c in enumerate(columns))).alias("row"), quoted(doc_id).alias("id"), quoted(text).alias("text"), F.xxhash64(*hashed).alias("hash"))
-    signed = signatures(packed.select("id", "text", "hash"), size=size)
-    narrow = cut(signed.select("id", "hash", *(F.col("signature")[k].alias(c) for k, c in enumerate(MARKS))))
-    groups = near_duplicates(narrow, "id", "fp", radius, sketches=tuple(MARKS[1:]))
-    best = narrow.join(groups, MARKS).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("b"))
-    stays = best.select(F.col("b.id").alias("stays_id"), F.col("b.hash").alias("stays_hash")).distinct()
-    found = packed.join(stays, F.col("id").eqNullSafe(F.col("stays_id")) & (F.col("hash") == F.col("stays_hash")), "left_semi")
+    told = packed.select("id", "text", "hash", F.xxhash64("text").alias("d0"), F.xxhash64(F.lit("text"), "text").alias("d1"))
+    narrow = cut(signatures(told, size=size).select("id", "hash", "d0", "d1", *(F.col("signature")[k].alias(c) for k, c in enumerate(MARKS))))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("best")
+    each = narrow.groupBy("d0", "d1").agg(best, *(F.first(c).alias(c) for c in MARKS))
+    nodes = cut(each.select(F.monotonically_increasing_id().alias("node"), "best", *MARKS))
+
+    def texts_of(wanted: DataFrame, n: int) -> DataFrame:
+        rows = _of_rows(packed.select("id", "hash", "text"), nodes.join(wanted, "node", "left_semi").select("best.id", "best.hash", "node"), n)
+        return rows.select("node", "text")
+
+    rooted = groups(nodes.select("node", *MARKS), texts_of, cut, radius, size)
+    kept = cut(nodes.join(rooted, "node").groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.hash"))
+    found = _of_rows(packed, kept, kept.count())
     # Only rows that repeat another one in every column are left twice.
     return found.groupBy("id", "hash").agg(F.first("row").alias("row")).select(*(F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(columns)))

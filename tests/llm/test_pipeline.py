@@ -1,5 +1,4 @@
 from collections import Counter
-from itertools import combinations
 
 import public_tokenizers
 import pytest
@@ -8,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallymart.llm import bpe, mixing, pii, quality, simhash
-from tallymart.llm.common import table
+from tallymart.llm.common import Cut, table
+from test_simhash import brute_groups, shingle_set
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -16,24 +16,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def plain(rows):
     """The pipeline without Spark, all pairs compared; {doc_id: ids}. No span is added beyond the patterns here."""
     rows = [r for r in rows if not any(eval(x.fails, {}, dict(zip(quality.MEASURES, quality.measure(r.text)))) for x in quality.RULES)]
-    hashes = [simhash.shingle_hashes(r.text, simhash.STAGE_SHINGLE).tolist() for r in rows]
-    fps = [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) for hs in hashes]
-    sketches = [[min((h * int(f) % 2**64 for h in hs), default=0) % 256 for f in simhash.FACTORS] for hs in hashes]
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a, b in combinations(range(len(rows)), 2):
-        if (fps[a] ^ fps[b]).bit_count() <= simhash.STAGE_RADIUS and sum(map(int.__eq__, sketches[a], sketches[b])) >= simhash.AGREE:
-            root[max(find(a), find(b))] = min(find(a), find(b))
+    group = brute_groups({i: r.text for i, r in enumerate(rows)})
     kept = {}
     for i, r in enumerate(rows):
-        best = kept.get(find(i))
+        best = kept.get(group[i])
         if best is None or r.doc_id < best.doc_id:
-            kept[find(i)] = r
+            kept[group[i]] = r
     e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(bpe.vocabulary_of()), special_tokens={})
     out = {}
     for r in kept.values():
@@ -100,26 +88,37 @@ def test_mixed_order_reaches_the_result(spark, sf, tmp_path):
 
 
 def test_recall_of_near_copies(spark):
-    """Pairs of texts with a Jaccard similarity of 0.8 or more on five words, found by shared shingles."""
-    rows = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()
-    sets = {}
-    for r in rows:
-        w = r.text.lower().split()
-        sets[r.doc_id] = frozenset(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else frozenset()
+    """Different texts that pass the rules: of the pairs with a Jaccard similarity of 0.8 or more on five words, found by
+    shared shingles, nine in ten end in one group, and no group holds what such pairs do not connect."""
+    docs = corpus_pipeline.quality_rules(spark, table(spark, "/root/testdata/sf0.1", "documents"), None).dropDuplicates(["text"]).select("doc_id", "text")
+    docs = Cut(spark, "recall")(docs)
+    sets = {r.doc_id: frozenset(shingle_set(r.text)) for r in docs.collect()}
     holders, pairs = {}, set()
     for i, s in sets.items():
         for x in s:
             holders.setdefault(x, []).append(i)
     for i, s in sets.items():
         for j, n in Counter(j for x in s for j in holders[x] if j > i).items():
-            if n / (len(s) + len(sets[j]) - n) >= 0.8 and s != sets[j]:
+            if n >= 0.8 * (len(s) + len(sets[j]) - n):
                 pairs.add((i, j))
-    docs = spark.createDataFrame(rows)
-    sigs = simhash.signatures(docs).select("doc_id", *(F.col("signature")[k].alias(c) for k, c in enumerate(simhash.MARKS))).cache()
-    near = simhash.near_duplicates(sigs, radius=simhash.STAGE_RADIUS, sketches=("sketch0", "sketch1"))
-    group = {r.doc_id: r.component_id for r in sigs.join(near, simhash.MARKS).collect()}
+    cut = Cut(spark, "recall")
+    nodes = cut(simhash.signatures(docs).select(F.col("doc_id").alias("node"), *(F.col("signature")[k].alias(c) for k, c in enumerate(simhash.MARKS))))
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    group = {r.node: r.root for r in simhash.groups(nodes, lambda wanted, n: texts.join(wanted, "node", "left_semi"), cut).collect()}
     found = sum(group[i] == group[j] for i, j in pairs)
     print("near pairs", len(pairs), "found", found)
-    assert pairs and found >= 0.7 * len(pairs)
-    joined = [(i, g) for i, g in group.items() if i != g]
-    assert all(len(sets[i] & sets[g]) > 0 or not sets[i] for i, g in joined)
+    assert len(pairs) > 40 and found >= 0.9 * len(pairs)
+    linked = {i: {i} for i in sets}
+    for i, j in pairs:
+        if group[i] == group[j] and linked[i] is not linked[j]:
+            small, large = sorted((linked[i], linked[j]), key=len)
+            large |= small
+            for k in small:
+                linked[k] = large
+    members = Counter(group.values())
+    assert all(len(linked[i]) == members[g] for i, g in group.items())
+
+
+def test_files_of_any_name(spark):
+    got = corpus_pipeline.encode(spark, table(spark, "/root/testdata/sf0.001", "documents"), None).collect()
+    assert got and all(r.mix_file is None and r.mix_row is not None for r in got)

@@ -81,47 +81,74 @@ def test_search_for_any_partition_and_thresholds(spark):
         assert got == want, parts
 
 
-def test_sketches_verify_links(spark):
-    """Against all pairs: fingerprints within the radius and at least AGREE equal bytes of the sketches."""
-    r = random.Random(6)
-    base = [[f"w{r.randrange(3000)}" for _ in range(r.randint(4, 120))] for _ in range(40)]
-    texts = {}
-    for i in range(300):
-        w = list(r.choice(base))
-        for _ in range(r.randint(0, 4)):
-            w[r.randrange(len(w))] = f"v{r.randrange(50)}"
-        texts[i] = " ".join(w)
-    texts |= {300: None, 301: " ", 302: "w " * 9, 303: "w"}
-    sigs = {}
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {b" ".join(w)} if w else set()
+
+
+def brute_groups(texts):
+    """Smallest id of each group, by all pairs: fingerprints of the distinct words within the radius, AGREE equal bytes of
+    the sketches, and a Jaccard similarity of 0.8 or more."""
+    sigs, sets = {}, {i: shingle_set(t) for i, t in texts.items()}
     for i, t in texts.items():
-        h = simhash.shingle_hashes(t, 5)
-        sigs[i] = (simhash.majority(h), bytes(min((int(x) * int(f) % 2**64 for x in h), default=0) % 256 for f in simhash.FACTORS))
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    got = docs.transform(simhash.signatures).collect()
-    assert all((s[0] & (2**64 - 1), np.array(s[1:], "<i8").tobytes()) == sigs[i] for i, _, s in got)
-    root = {i: i for i in sigs}
+        ones = [xxhash.xxh64_intdigest(w, 42) for w in set((t or "").encode().lower().split())]
+        fp = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in ones) > len(ones))
+        sigs[i] = fp, bytes(min((xxhash.xxh64_intdigest(x, 42) * int(f) % 2**64 for x in sets[i]), default=0) % 256 for f in simhash.FACTORS)
+    root = {i: i for i in texts}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for a, b in combinations(sigs, 2):
-        agree = sum(x == y for x, y in zip(sigs[a][1], sigs[b][1])) >= simhash.AGREE
-        if agree and (sigs[a][0] ^ sigs[b][0]).bit_count() <= simhash.STAGE_RADIUS:
+    for a, b in combinations(texts, 2):
+        near = (sigs[a][0] ^ sigs[b][0]).bit_count() <= simhash.STAGE_RADIUS and sum(map(int.__eq__, sigs[a][1], sigs[b][1])) >= simhash.AGREE
+        both = len(sets[a] & sets[b])
+        if near and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    want = {find(i) for i in sigs}
-    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want and 40 <= len(want) < 250
+    return {i: find(i) for i in texts}
+
+
+def test_links_are_verified(spark):
+    """Families of texts with few and many edits, so that candidates below 0.8 stand between those above it."""
+    r = random.Random(6)
+    base = [[f"w{r.randrange(3000)}" for _ in range(r.randint(4, 120))] for _ in range(25)]
+    texts = {}
+    for i in range(300):
+        w = list(r.choice(base))
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = f"v{r.randrange(50)}"
+        texts[i] = " ".join(w)
+    texts |= {300: None, 301: " ", 302: "w " * 9, 303: "w", 304: "W", 305: texts[0].upper()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = set(brute_groups(texts).values())
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want and 30 <= len(want) < 250
 
 
-def test_chance_fingerprints_are_not_joined(spark):
-    """Rows of one fingerprint and different sketches: a third of the table, none of them near copies."""
+def test_texts_of_the_same_words_are_not_joined(spark):
+    """A third of the table has one fingerprint, and none of it is a near copy."""
     r = random.Random(2)
-    rows = [(i, 5 if i % 3 else r.getrandbits(62), r.getrandbits(62), r.getrandbits(62)) for i in range(600)]
-    sigs = spark.createDataFrame(rows, "doc_id long, fp long, sketch0 long, sketch1 long")
-    got = simhash.near_duplicates(sigs, radius=simhash.STAGE_RADIUS, sketches=("sketch0", "sketch1")).collect()
-    assert len(got) == len({g.component_id for g in got}) == 600
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(r.sample(words, 40)) if i % 3 else f"other{i} " * 3 + f"text{i}") for i in range(600)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 600
+
+
+def test_forest_proposes_around_what_is_refuted():
+    fp, bucket = np.array([1, 1, 1, 1, 7], np.uint64), np.array([0, 0, 0, 0, 1])
+    bad = {(0, 1), (1, 2)}
+    refuted = lambda i, j: (min(i, j), max(i, j)) in bad
+    pairs = simhash.forest(bucket, fp, refuted=refuted)
+    assert not bad & set(pairs) and len(pairs) == 3
+    assert simhash.forest(bucket, fp, joined=np.array([5, 5, 5, 5, 5])) == []
+    assert len(simhash.forest(bucket, fp, joined=np.array([5, 5, 6, 6, 5]))) == 1
+    assert len(simhash.forest(bucket, fp, joined=np.array([5, 5, 6, 6, 5]), tries=4)) == 4
+    apart = np.array([[k, k | 2**40 - 1 << 20] for k in range(100)], np.uint64).T.ravel()  # two trees of one size, joined by nothing
+    assert len(simhash.forest(np.zeros(200, int), apart, radius=8)) == 198
+    late = np.array([2**k - 1 << 1 for k in range(0, 40, 5)] * 9 + [1], np.uint64)
+    assert len(simhash.forest(np.zeros(73, int), late, radius=5)) == 72
+    assert len(simhash.forest(np.zeros(3000, int), np.array([0] * 2999 + [2**60 - 1], np.uint64))) == 2998
 
 
 def test_keys_of_probes(spark):
