@@ -14,7 +14,8 @@ from tallymart.plans.roles import BASE, SPECS, role, roles
 from tallymart.plans.rulebook import rulebook
 from tallymart.sources import files, tables
 from tallymart.sources.keyed import KeyedTable
-from tallymart.specs import EDGES, LOOKUPS
+from tallymart.sources.quarantine import Ingested, ingest_csv
+from tallymart.specs import EDGES, LOOKUPS, DatasetSpec
 
 FAMILIES = {
     "dq_schema": partial(checks.schema_conformity, SPECS), "dq_missing": partial(checks.missing_values, SPECS), "dq_key_nulls": partial(checks.key_nulls, SPECS), "dq_key_unique": partial(checks.key_uniqueness, SPECS), "dq_duplicate_rows": partial(checks.row_duplicates, SPECS),
@@ -154,6 +155,37 @@ def missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("missing_source_results", missing_sources, "SELECT 'DQ-LOAD-customer' AS test_id, 'customer' AS dataset, 'PASS' AS status, 'NONE' AS severity, 'read' AS actual, count(*) AS total_rows FROM customer UNION ALL SELECT 'DQ-LOAD-supplier', 'supplier', 'PASS', 'NONE', 'read', count(*) FROM supplier UNION ALL SELECT 'DQ-LOAD-no_such_table', 'no_such_table', 'FAIL', 'CRITICAL', 'PATH_NOT_FOUND', NULL")
 
 
+#: CSV records of the events, made by SQL that both engines read: quoted line breaks, fields that are missing or too many,
+#: fields that do not parse, and null tokens.
+CSV_SPEC = DatasetSpec("event_files", {"event_id": "integer", "label": "string", "amount": "integer", "seen_at": "datetime"})
+CSV = """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN concat(event_id, ',"too short"') WHEN event_id % 13 = 0 THEN concat(event_id, ',"a', chr(10), 'b",3,2018-01-05 00:00:00,more')
+    ELSE concat(event_id, ',"say ""', event_type, '""', chr(10), 'twice",', CASE event_id % 5 WHEN 0 THEN '3.0' WHEN 1 THEN '3.7' WHEN 2 THEN 'abc' WHEN 3 THEN 'NA' ELSE CAST(user_id AS {text}) END, ',', CASE event_id % 4 WHEN 0 THEN '2017-10-02 10:56:33' WHEN 1 THEN '2017-13-01' WHEN 2 THEN 'none' ELSE '2018-01-05 00:00:00' END) END AS line FROM {events}"""
+
+
+def ingested(spark: SparkSession, sf_dir: str, use) -> DataFrame:
+    """What ``use`` makes of the events, written as CSV files and read again with a quarantine."""
+    base = f"{tables.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    try:
+        spark.sql(CSV.format(text="STRING", events="{events}"), events=role(spark, sf_dir, "events")).select("line").write.text(f"{base}/files")
+        return tables.settle(use(ingest_csv(spark, f"{base}/files", CSV_SPEC, f"{base}/tables", header=False)))
+    finally:
+        files.delete(spark, base)
+
+
+def every_record(got: Ingested) -> DataFrame:
+    kept = got.kept.select("event_id", F.lit("kept").alias("outcome"), F.lit("").alias("reasons"), F.length("label").cast("bigint").alias("label_length"), "amount", F.col("seen_at").isNotNull().alias("has_time"))
+    first = F.regexp_extract("record", "^(\\d+)", 1).cast("bigint")
+    out = got.rejected.select(first.alias("event_id"), F.lit("rejected").alias("outcome"), F.array_join("reasons", "; ").alias("reasons"), F.lit(None).cast("bigint").alias("label_length"), F.lit(None).cast("bigint").alias("amount"), F.lit(False).alias("has_time"))
+    return kept.unionByName(out)
+
+
+_fields = "event_id % 11 = 0 OR event_id % 13 = 0"
+_why = f"CASE WHEN {_fields} THEN 'wrong number of fields' ELSE concat_ws('; ', CASE WHEN event_id % 5 IN (1, 2) THEN 'amount: not a whole number' END, CASE WHEN event_id % 4 = 1 THEN 'seen_at: not a timestamp' END) END"
+_records = f"(SELECT *, {_why} AS why FROM events) AS e"
+add("csv_quarantine", lambda s, d: ingested(s, d, every_record), f"SELECT event_id, CASE WHEN why = '' THEN 'kept' ELSE 'rejected' END AS outcome, why AS reasons, CASE WHEN why = '' THEN length(event_type) + 12 END AS label_length, CASE WHEN why = '' THEN CASE event_id % 5 WHEN 0 THEN 3 WHEN 3 THEN NULL ELSE user_id END END AS amount, why = '' AND event_id % 4 <> 2 AS has_time FROM {_records}")
+add("csv_load_check", lambda s, d: ingested(s, d, lambda got: checks.finish(got.check())), f"SELECT 'DQ-LOAD-event_files' AS test_id, 'event_files' AS dataset, '__DATASET__' AS \"column\", 'Validity' AS quality_dimension, 'every record can be read' AS rule, '0 failing rows' AS expected, count(*) FILTER (WHERE why <> '') || ' failing' AS actual, count(*) FILTER (WHERE why <> '') AS failed_count, round(count(*) FILTER (WHERE why <> '') * 100.0E0 / count(*), 4) AS failure_rate, CASE WHEN count(*) FILTER (WHERE why <> '') = 0 THEN 'NONE' ELSE 'HIGH' END AS severity, CASE WHEN count(*) FILTER (WHERE why <> '') = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM {_records}")
+
+
 def merged_customers(spark: SparkSession, sf_dir: str, insert_only: bool) -> DataFrame:
     """All customers in a stored keyed table. Even ids are there first; odd ids and multiples of three come in, each
     twice, with an old and a new city; then the same comes in again. Keys of what was there stay."""
