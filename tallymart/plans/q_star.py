@@ -5,13 +5,18 @@ Surrogate keys are hashed, so SQL compares what they point to: keys are exchange
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.operators import kpi, reconcile, star
+from tallymart.operators.figures import MonthlyFigures
 from tallymart.plans.q_clean import CLEANED, cleaned
 from tallymart.plans.registry import add
-from tallymart.sources.tables import stage, version_conflicts
+from tallymart.plans.roles import role
+from tallymart.sources import files
+from tallymart.sources.tables import settle, shared_folder, stage, version_conflicts
 
 _dk = lambda c: f"CAST(strftime({c}, '%Y%m%d') AS INTEGER)"
 
@@ -171,3 +176,28 @@ model("bq_09_satisfaction_trend", kpi.satisfaction_trend, f"SELECT {month('revie
 model("bq_10_installments", kpi.installments, f"SELECT payment_installments, count(*) AS payments, {money('sum(payment_value)', 'value')}, round(avg(CAST(payment_value AS DOUBLE)), 2) AS average_value FROM f_payments GROUP BY payment_installments")
 model("bq_10_freight_share", kpi.freight_share, f"SELECT {money('sum(price)', 'price')}, {money('sum(freight_value)', 'freight')}, round(CAST(sum(freight_value) AS DOUBLE) * 100 / nullif(CAST(sum(price) AS DOUBLE), 0), 4) AS freight_pct FROM f_items")
 model("bq_11_customer_growth", kpi.customer_growth, f"SELECT month, new_customers, repeat_customers, CAST(sum(new_customers) OVER (ORDER BY month) AS BIGINT) AS customers_so_far FROM (SELECT {month('k')} AS month, count(*) AS new_customers, count(*) FILTER (WHERE n > 1) AS repeat_customers FROM (SELECT customer_unique_id, min(purchase_date_key) AS k, count(*) AS n FROM f_orders JOIN s_customer USING (customer_id) GROUP BY 1) AS f GROUP BY 1) AS m")
+
+# ---------------------------------------------------------------- figures kept and refreshed
+
+
+def kept_figures(spark: SparkSession, sf_dir: str, use) -> DataFrame:
+    """Stored monthly sums: most orders first; then a small load with the others, and with some whose payments doubled."""
+    path = f"{shared_folder(spark)}/figures-{uuid.uuid4().hex}"
+    orders, payments = role(spark, sf_dir, "orders"), role(spark, sf_dir, "payments")
+    try:
+        f = MonthlyFigures(spark, path, buckets=16)
+        f.refresh(orders.filter("order_id % 97 <> 0"), payments.filter("order_id % 97 <> 0"))
+        some = "order_id % 97 = 0 OR order_id % 50 = 0"
+        twice = F.when(F.col("order_id") % 50 == 0, F.col("payment_value") * 2).otherwise(F.col("payment_value"))
+        f.refresh(orders.filter(some), payments.filter(some).withColumn("payment_value", twice))
+        return settle(use(f))
+    finally:
+        files.delete(spark, path)
+
+
+_paid = "SELECT order_id, count(*) AS payments, sum(CASE WHEN order_id % 50 = 0 THEN payment_value * 2 ELSE payment_value END) AS revenue FROM r_payments GROUP BY order_id"
+_came, _bought = "CAST(order_delivered_customer_date AS DATE)", "CAST(order_purchase_timestamp AS DATE)"
+_sums = f"SELECT strftime(order_purchase_timestamp, '%Y-%m') AS month, count(*) AS orders, CAST(sum(coalesce(payments, 0)) AS BIGINT) AS payments, sum(coalesce(revenue, 0)) AS revenue, count({_came}) AS delivered, CAST(coalesce(sum(date_diff('day', {_bought}, {_came})), 0) AS BIGINT) AS delivery_days, count(*) FILTER (WHERE {_came} <= CAST(order_estimated_delivery_date AS DATE)) AS on_time FROM r_orders LEFT JOIN ({_paid}) AS p USING (order_id) GROUP BY 1"
+_r2 = lambda part, whole: f"round(CAST({part} AS DOUBLE) / nullif(CAST({whole} AS DOUBLE), 0), 2)"
+add("kpi_stored_by_month", lambda s, d: kept_figures(s, d, MonthlyFigures.by_month), f"SELECT month, orders, payments, round(CAST(revenue AS DOUBLE), 2) AS revenue, delivered, delivery_days, on_time, {_r2('revenue', 'orders')} AS average_order_value, round((CAST(revenue AS DOUBLE) - before) * 100 / nullif(before, 0), 2) AS growth_pct FROM (SELECT *, CAST(lag(revenue) OVER (ORDER BY month) AS DOUBLE) AS before FROM ({_sums}) AS m) AS g")
+add("kpi_stored_totals", lambda s, d: kept_figures(s, d, MonthlyFigures.totals), f"SELECT round(CAST(sum(revenue) AS DOUBLE), 2) AS total_revenue, CAST(sum(orders) AS BIGINT) AS total_orders, {_r2('sum(revenue)', 'sum(orders)')} AS average_order_value, {_r2('sum(delivery_days)', 'sum(delivered)')} AS average_delivery_days, coalesce(round(sum(on_time) * 100.0E0 / nullif(sum(delivered), 0), 2), 0) AS on_time_pct FROM ({_sums}) AS m")

@@ -74,7 +74,19 @@ class KeyedTable:
         folders = [f"{self.path}/{state['at'][b]}" for b in buckets if b in state["at"]]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def merge(self, incoming: DataFrame, newest: Iterable[str] = (), insert_only: bool = False) -> Merged:
+    @property
+    def note(self) -> dict:
+        """What the merge that made this version was told to remember."""
+        return self.state.get("note") or {}
+
+    def changed_since(self, version: int) -> tuple[DataFrame, DataFrame]:
+        """The rows of those buckets that a later merge has written, as they were and as they are. The version must not
+        have been vacuumed."""
+        before = json.loads(files.read_text(self.spark, _version_file(self.path, version)))
+        buckets = [b for b, folder in self.state["at"].items() if before["at"].get(b) != folder]
+        return self._rows(before | {"columns": self.state["columns"]}, buckets), self._rows(self.state, buckets)
+
+    def merge(self, incoming: DataFrame, newest: Iterable[str] = (), insert_only: bool = False, note: dict | None = None) -> Merged:
         """Takes rows over: new keys are added with new surrogate keys after the largest; of known keys values are
         replaced and surrogate keys stay, or nothing happens (``insert_only``). ``newest`` columns that the table does
         not have only order what comes in."""
@@ -87,11 +99,11 @@ class KeyedTable:
         bucket = F.pmod(F.xxhash64(*keys), F.lit(s["buckets"])).cast("int")
         staged = tables.stage({"new": one.withColumn("__bucket", bucket)})
         try:
-            return self._merge(staged["new"], values, insert_only)
+            return self._merge(staged["new"], values, insert_only, note)
         finally:
             tables.discard(spark, staged)
 
-    def _merge(self, new: DataFrame, values: list[str], insert_only: bool) -> Merged:
+    def _merge(self, new: DataFrame, values: list[str], insert_only: bool, note: dict | None) -> Merged:
         s, spark = self.state, self.spark
         keys, surrogate = s["keys"], s["surrogate"]
         touched = [str(r[0]) for r in new.select("__bucket").distinct().collect()]  # at most ``buckets`` rows
@@ -116,7 +128,7 @@ class KeyedTable:
             whole = kept.withColumn("__bucket", bucket).unionByName(rows.select(*kept.columns, "__bucket"))
             folder = f"v{self.version + 1}-{uuid.uuid4().hex}"  # of this merge alone
             whole.repartition(min(len(counted), 4096), "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
-            after = s | {"version": self.version + 1, "largest": s["largest"] + added, "columns": json.loads(schema.json()), "at": s["at"] | {str(b): f"{folder}/__bucket={b}" for b in counted}}
+            after = s | {"version": self.version + 1, "largest": s["largest"] + added, "columns": json.loads(schema.json()), "note": note or s.get("note"), "at": s["at"] | {str(b): f"{folder}/__bucket={b}" for b in counted}}
             if not files.create_text(spark, _version_file(self.path, after["version"]), json.dumps(after)):
                 files.delete(spark, f"{self.path}/{folder}")
                 raise MergeConflict(f"version {after['version']} of {self.path} is there already")
