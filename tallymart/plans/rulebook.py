@@ -7,6 +7,7 @@ from tallymart.specs import EDGES, DatasetSpec
 
 DATASETS = ("customers", "geolocation", "orders", "order_items", "payments", "reviews", "products", "sellers", "category_translation")
 
+#: Test ids, columns, dimensions and severities of the rules.
 #: (test id, dataset, column, severity)
 COMPLETE = (
     ("DQ-CUST-001", "customers", "customer_id", "CRITICAL"), ("DQ-CUST-002", "customers", "customer_state", "MEDIUM"), ("DQ-ORD-001", "orders", "order_id", "CRITICAL"), ("DQ-ITEM-001", "order_items", "order_id", "CRITICAL"),

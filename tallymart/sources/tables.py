@@ -203,15 +203,15 @@ def _offsets(counts: DataFrame, bits: int) -> DataFrame:
     return F.broadcast(found) if bits <= BROADCAST_BITS else found
 
 
-def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0, rows: int | None = None) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0, rows: int | None = None, bits: int | None = None) -> DataFrame:
     """Dense keys from start + 1, in an order that depends on the ``order`` columns only.
 
     Rows go in order of a hash of these: its top bits deal them into ranges, ranges are counted, and only the rows of
     a range are numbered together, so no task holds the table. The number of ranges follows the number of ``rows``, if
-    the caller knows it, and does not change the keys. Offsets are prefix sums in two levels: over at most 1,024 coarse
+    the caller knows it (or is 2 ** ``bits``), and does not change the keys. Offsets are prefix sums in two levels: over at most 1,024 coarse
     ranges, and within each of them. Equal rows get neighbouring keys.
     """
-    bits = range_bits(rows)
+    bits = range_bits(rows) if bits is None else bits
     h = F.xxhash64(*order)
     keyed = df.withColumns({"__h": h, "__range": F.shiftrightunsigned(h, 64 - bits)})
     counts = keyed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
