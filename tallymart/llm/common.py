@@ -80,6 +80,15 @@ def one_blas_thread() -> None:
                 break
 
 
+def give_back() -> None:
+    """Hands memory that a task no longer uses back to the system. Workers live on from stage to stage, and what one stage
+    has needed at its peak would otherwise stay with them. Where the C library has no such call, nothing is done."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
@@ -141,5 +150,6 @@ def map_column(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_t
                 batch = whole.slice(start, rows)
                 out = f(batch.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, out if isinstance(out, pa.Array) else pa.array(out, kind)], names=names)
+        give_back()
 
     return plain_names(df).mapInArrow(run, schema)

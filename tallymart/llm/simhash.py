@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, map_column, quoted, table
+from .common import Cut, give_back, map_column, quoted, table
 
 #: Words of a shingle, bits that may differ, and similarity of the shingle sets in keep_one(), the stage that removes near
 #: copies.
@@ -307,6 +307,8 @@ def buckets(keyed: DataFrame, parallel: int, columns: int, forests: Callable[[np
             held.append((rows[cut:], lists[cut:]))
         if held:
             yield flush(held)
+        held.clear()
+        give_back()
 
     return keyed.repartition(parallel, "part", "key").sortWithinPartitions("part", "key").mapInArrow(run, schema)
 
@@ -404,12 +406,13 @@ def similar(edges: DataFrame, texts: DataFrame, cut: Cut, size: int = STAGE_SHIN
                 batch = whole.slice(at, 256)
                 sets = [np.unique((shingle_hashes(t, size) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.record_batch({"node": batch.column(0), "shingles": pa.array(sets, pa.binary())})
+        give_back()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # the side of an edge that came last
         for batch in batches:
             out = []
-            for a, b, node, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, b, node, raw in (row for at in range(0, batch.num_rows, 256) for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns))):
                 if before is None or before[:2] != (a, b):
                     before = a, b, node, raw
                     continue
@@ -420,6 +423,7 @@ def similar(edges: DataFrame, texts: DataFrame, cut: Cut, size: int = STAGE_SHIN
                 out.append((a, b, both >= least * (len(x) + len(y) - both)))
                 before = a, b, node, raw
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "ok"])
+        give_back()
 
     sets = texts.mapInArrow(shingles, "node bigint, shingles binary")
     met = sets.join(sides, "node").select("a", "b", "node", "shingles").repartition(width, "a", "b").sortWithinPartitions("a", "b", "node")
