@@ -46,7 +46,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 LOOSE_NUMBER = re.compile(r"(?<![0-9A-Za-z_@.+-])\(?[0-9](?:[\x20().-]{0,2}[0-9])+(?![0-9A-Za-z_@])")
-LOOSE_MAIL = re.compile(r"(?<![^\x20\x09-\x0D<>()\[\],;\"'])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}(?![^\x20\x09-\x0D<>()\[\],;\"'])")
+LOOSE_MAIL = re.compile(r"(?<![^\x20\x09-\x0D<>()\[\],;\"'])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++(?![^\x20\x09-\x0D<>()\[\],;\"'])")
 
 Span = tuple[int, int, int]  # start, end, kind
 
@@ -268,7 +268,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.nda
     some = some.filter(F.col("text").rlike("[0-9@]")).select("text")
     kind = pa.list_(pa.struct([("y", pa.int32()), ("x", pa.list_(pa.float64()))]))
     rows = map_column(some, "text", "rows", kind, "array<struct<y:int,x:array<double>>>", lambda: lambda ts: [[{"y": y, "x": x} for y, x in training_rows(t)] for t in ts])
-    got = rows.select(F.explode("rows").alias("r")).select("r.*").limit(SAMPLE_ROWS).collect()
+    # The rows of the smallest hashes, in their order: which rows fit the model does not depend on how they are dealt out.
+    got = rows.select(F.explode("rows").alias("r")).select("r.*").orderBy(F.xxhash64("y", "x"), "y").limit(SAMPLE_ROWS).collect()
     return fit(np.array([r.x for r in got]).reshape(-1, WIDTH), np.array([r.y for r in got], int))
 
 

@@ -113,3 +113,14 @@ def test_redaction_nulls_repeats_and_empty(spark):
 def test_clean_documents_stay(spark, sf):
     rows = pii.op4_pii(spark, sf).join(table(spark, sf, "documents"), "doc_id")
     assert rows.filter(~F.col("text").rlike("[0-9@]") & (F.col("spans") != "")).count() == 0
+
+
+def test_the_model_does_not_depend_on_the_layout(spark, sf):
+    docs = table(spark, sf, "documents")
+    one, other = pii.train(docs.coalesce(1)), pii.train(docs.repartition(5))
+    assert np.array_equal(one, other)
+
+
+def test_long_addresses_are_candidates():
+    text = "write to " + "a" * 90 + "@" + ".".join(["host"] * 80) + " now"
+    assert pii.LOOSE_MAIL.search(text)[0] == text[9:-4] and pii.LOOSE_MAIL.search("x" * 200_000) is None
