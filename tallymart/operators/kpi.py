@@ -69,12 +69,12 @@ def top_categories(s: Star, by: str = "revenue", k: int = 5) -> DataFrame:
 
 
 def top_sellers(s: Star, by: str = "revenue", k: int = 10) -> DataFrame:
-    """By ``revenue`` or ``completed_orders``; completed orders are delivered ones."""
+    """By ``revenue`` or ``completed_orders``, of equal ones the smallest ids; completed orders are delivered ones."""
     delivered = s["fact_orders"].join(s["dim_order_status"], "order_status_key").filter(F.col("order_status") == "delivered").select("order_id", F.lit(1).alias("done"))
     sold = s["fact_order_items"].join(delivered, "order_id", "left")
     each = sold.groupBy("seller_key").agg(F.sum("price").alias("revenue"), F.count_distinct(F.when(F.col("done") == 1, F.col("order_id"))).alias("completed_orders"))
-    top = each.orderBy(F.desc(by), F.desc("revenue"), "seller_key").limit(k)
-    return top.join(s["dim_seller"].select("seller_key", "seller_id", "seller_state"), "seller_key").select("seller_id", "seller_state", money("revenue").alias("revenue"), "completed_orders")
+    named = each.join(s["dim_seller"].select("seller_key", "seller_id", "seller_state"), "seller_key")
+    return named.orderBy(F.desc(by), F.desc("revenue"), "seller_id").limit(k).select("seller_id", "seller_state", money("revenue").alias("revenue"), "completed_orders")
 
 
 def revenue_by_state(s: Star) -> DataFrame:

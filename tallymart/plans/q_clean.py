@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.functions import columns as C
-from tallymart.operators import clean, observed, preprocess, reconcile
+from tallymart.operators import clean, key_index, observed, preprocess, reconcile
 from tallymart.plans.registry import add, text
 from tallymart.plans.roles import SPECS, role, roles
 from tallymart.sources import files, tables
@@ -180,6 +180,14 @@ for _name in CLEANED:
     add(f"cleaned_{_name}", lambda s, d, n=_name: cleaned(s, d)[0][n], CLEANED[_name])
 for _nulls in (False, True):
     add("gate_fk" + "_null_counted" * _nulls, lambda s, d, n=_nulls: clean.edge_report(roles(s, d), EDGES, n), "\nUNION ALL ".join(f"SELECT '{e.child}' AS child, '{e.column}' AS \"column\", '{e.parent}' AS parent, count(*) AS orphans FROM r_{e.child} AS c WHERE {'' if _nulls else f'c.{e.column} IS NOT NULL AND '}NOT EXISTS (SELECT 1 FROM r_{e.parent} AS p WHERE p.{e.parent_column} = c.{e.column})" for e in EDGES))
+def indexed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges by an index of the parent's keys, null child keys counted and not."""
+    t = roles(spark, sf_dir)
+    parts = [clean.rows_of(key_index.orphan_counts(t[e.child], e.column, t[e.parent], e.parent_column, nulls), "orphans").select(F.lit(e.child).alias("child"), F.lit(e.column).alias("column"), F.lit(nulls).alias("nulls_counted"), "orphans") for e in EDGES for nulls in (False, True)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+add("gate_fk_by_index", indexed_edges, "\nUNION ALL ".join(f"SELECT '{e.child}' AS child, '{e.column}' AS \"column\", {str(nulls).lower()} AS nulls_counted, count(*) AS orphans FROM r_{e.child} AS c WHERE {'' if nulls else f'c.{e.column} IS NOT NULL AND '}NOT EXISTS (SELECT 1 FROM r_{e.parent} AS p WHERE p.{e.parent_column} = c.{e.column})" for e in EDGES for nulls in (False, True)))
 add("gate_pk", lambda s, d: clean.key_report(roles(s, d), SPECS), "\nUNION ALL ".join(f"SELECT '{n}' AS dataset, '{', '.join(sp.key)}' AS key_name, '' AS missing_columns, (SELECT count(*) FROM r_{n} WHERE {' OR '.join(f'{k} IS NULL' for k in sp.key)}) AS null_keys, (SELECT count(*) FROM (SELECT 1 FROM r_{n} GROUP BY {', '.join(sp.key)} HAVING count(*) > 1) AS g) AS duplicate_groups" for n, sp in SPECS.items() if sp.key))
 
 # ---------------------------------------------------------------- after cleaning

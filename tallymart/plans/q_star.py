@@ -150,9 +150,10 @@ model("kpi_02_orders", kpi.total_orders, "SELECT count(DISTINCT order_id) AS tot
 model("kpi_03_order_value", kpi.average_order_value, "SELECT round(CAST((SELECT sum(payment_value) FROM f_payments) AS DOUBLE) / (SELECT count(DISTINCT order_id) FROM f_orders), 2) AS average_order_value")
 model("kpi_04_growth", kpi.monthly_growth, f"SELECT month, {money('revenue', 'revenue')}, round((CAST(revenue AS DOUBLE) - before) * 100 / nullif(before, 0), 2) AS growth_pct FROM (SELECT *, CAST(lag(revenue) OVER (ORDER BY month) AS DOUBLE) AS before FROM ({_monthly}) AS m) AS g")
 model("kpi_05_top_categories", kpi.top_categories, f"SELECT CAST(rank AS INTEGER) AS rank, category, {money('revenue', 'revenue')}, orders FROM (SELECT *, rank() OVER (ORDER BY revenue DESC, category) AS rank FROM ({_category}) AS c) AS r WHERE rank <= 5")
-model("kpi_06_top_sellers", lambda m: kpi.top_sellers(m).select("revenue", "completed_orders"), f"SELECT {money('revenue', 'revenue')}, completed_orders FROM (SELECT seller_id, sum(price) AS revenue, count(DISTINCT CASE WHEN order_status = 'delivered' THEN i.order_id END) AS completed_orders FROM f_items AS i JOIN f_orders AS o ON o.order_id = i.order_id GROUP BY seller_id ORDER BY revenue DESC LIMIT 10) AS t")
+_sold = "SELECT i.seller_id, seller_state, sum(price) AS revenue, count(DISTINCT CASE WHEN order_status = 'delivered' THEN i.order_id END) AS completed_orders FROM f_items AS i JOIN f_orders AS o ON o.order_id = i.order_id JOIN s_seller AS s ON s.seller_id = i.seller_id GROUP BY ALL"
+model("kpi_06_top_sellers", kpi.top_sellers, f"SELECT seller_id, seller_state, {money('revenue', 'revenue')}, completed_orders FROM (SELECT * FROM ({_sold}) AS s ORDER BY s.revenue DESC, seller_id LIMIT 10) AS t")
 model("kpi_05_top_categories_by_orders", lambda m: kpi.top_categories(m, "orders"), f"SELECT CAST(rank AS INTEGER) AS rank, category, {money('revenue', 'revenue')}, orders FROM (SELECT *, rank() OVER (ORDER BY orders DESC, category) AS rank FROM ({_category}) AS c) AS r WHERE rank <= 5")
-model("kpi_06_top_sellers_by_orders", lambda m: kpi.top_sellers(m, "completed_orders").select("revenue", "completed_orders"), f"SELECT {money('revenue', 'revenue')}, completed_orders FROM (SELECT seller_id, sum(price) AS revenue, count(DISTINCT CASE WHEN order_status = 'delivered' THEN i.order_id END) AS completed_orders FROM f_items AS i JOIN f_orders AS o ON o.order_id = i.order_id GROUP BY seller_id ORDER BY completed_orders DESC, revenue DESC LIMIT 10) AS t")
+model("kpi_06_top_sellers_by_orders", lambda m: kpi.top_sellers(m, "completed_orders"), f"SELECT seller_id, seller_state, {money('revenue', 'revenue')}, completed_orders FROM (SELECT * FROM ({_sold}) AS s ORDER BY completed_orders DESC, s.revenue DESC, seller_id LIMIT 10) AS t")
 model("kpi_07_state_revenue", kpi.revenue_by_state, f"SELECT customer_state, {money('sum(payment_value)', 'revenue')}, count(DISTINCT order_id) AS orders FROM f_payments JOIN s_customer USING (customer_id) GROUP BY customer_state")
 model("kpi_08_delivery_days", kpi.delivery_days, f"SELECT round(avg(date_diff('day', purchased, delivered)), 2) AS average_delivery_days FROM ({_delivered}) AS d")
 model("kpi_09_on_time", kpi.on_time_rate, f"SELECT {pct('count(*) FILTER (WHERE delivered <= estimated)', 'count(*)')} AS on_time_pct FROM ({_delivered}) AS d")
