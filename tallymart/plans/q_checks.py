@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallymart.operators import checks
 from tallymart.plans.registry import add, measured_sql, results_sql, text
 from tallymart.plans.roles import BASE, SPECS, role, roles
+from tallymart.plans import rulebook_sql
 from tallymart.plans.rulebook import rulebook
 from tallymart.sources import files, tables
 from tallymart.sources.keyed import KeyedTable
@@ -107,7 +108,7 @@ def existence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _absent = "(SELECT count(*) FROM information_schema.tables WHERE table_name = '{}') = 0"
 add("dq_existence", existence, "\nUNION ALL ".join(f"SELECT 'DQ-EXIST-{n}' AS test_id, '{n}' AS dataset, '{checks.WHOLE}' AS \"column\", 'Completeness' AS quality_dimension, 'dataset is available' AS rule, '0 failing rows' AS expected, CASE WHEN {_absent.format(t)} THEN 'missing' ELSE 'found' END AS actual, CAST({_absent.format(t)} AS BIGINT) AS failed_count, CASE WHEN {_absent.format(t)} THEN 100.0E0 ELSE 0.0E0 END AS failure_rate, CASE WHEN {_absent.format(t)} THEN 'CRITICAL' ELSE 'NONE' END AS severity, CASE WHEN {_absent.format(t)} THEN 'FAIL' ELSE 'PASS' END AS status" for n, t in SOURCE.items()))
-add("dq_sql_rules", lambda s, d: staged_run(lambda _: rulebook(SPECS), s, d, True), results_sql(rulebook(SPECS), True))
+add("dq_sql_rules", lambda s, d: staged_run(lambda _: rulebook(SPECS), s, d, True), rulebook_sql.SQL)
 add("dq_categorical_examples", lambda s, d: checks.categorical_examples(roles(s, d), SPECS), "\nUNION ALL ".join(
     f"SELECT '{n}' AS dataset, '{c}' AS \"column\", count(*) AS failed_count, (SELECT coalesce(string_agg(v, ', ' ORDER BY v), '') FROM (SELECT DISTINCT {c} AS v FROM r_{n} WHERE {c} IS NOT NULL AND {c} NOT IN ({checks.sql_list(dom)}) ORDER BY v LIMIT 10) AS x) AS examples FROM r_{n} WHERE {c} IS NOT NULL AND {c} NOT IN ({checks.sql_list(dom)})"
     for n, sp in SPECS.items() for c, dom in sp.domains.items()))
