@@ -316,7 +316,7 @@ def largest_gaps(df: DataFrame, column: str, k: int = 5) -> DataFrame:
 
 def date_profile(df: DataFrame, dataset: str, columns: list[str]) -> DataFrame:
     """(dataset, column, total_records, min_date, max_date, missing_count, missing_pct, max_gap_seconds)."""
-    gaps = union([date_gaps(df, c).agg(F.max("gap_seconds").alias("max_gap_seconds")).withColumn("column", F.lit(c)) for c in columns])
+    gaps = union([largest_gaps(df, c, 1).agg(F.max("gap_seconds").alias("max_gap_seconds")).withColumn("column", F.lit(c)) for c in columns])
     total = df.agg(F.count(F.lit(1)).alias("total_records"))
     return date_stats(df, columns).join(F.broadcast(gaps), "column").crossJoin(F.broadcast(total)).select(F.lit(dataset).alias("dataset"), "column", "total_records", "min_date", "max_date", "missing_count", "missing_pct", "max_gap_seconds")
 
