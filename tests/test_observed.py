@@ -147,3 +147,12 @@ def test_staged_tables_go(spark):
     from tallymart.sources import files
 
     assert not files.exists(spark, at) and kept.count() == 3
+
+
+def test_existence_has_the_rows_of_each_written_table(spark, sf):
+    from tallymart.plans.q_clean import cleaned
+    from tallymart.plans.registry import QUERIES
+
+    rows = {r.dataset: (r.status, r.total_rows) for r in QUERIES["post_existence"](spark, sf).collect()}
+    assert rows.pop("returns") == ("FAIL", None)
+    assert rows == {n: ("PASS", df.count()) for n, df in cleaned(spark, sf)[0].items()}
