@@ -156,3 +156,14 @@ def test_existence_has_the_rows_of_each_written_table(spark, sf):
     rows = {r.dataset: (r.status, r.total_rows) for r in QUERIES["post_existence"](spark, sf).collect()}
     assert rows.pop("returns") == ("FAIL", None)
     assert rows == {n: ("PASS", df.count()) for n, df in cleaned(spark, sf)[0].items()}
+
+
+def test_all_checks_after_cleaning_write_each_table_once_and_leave_nothing(spark, sf, monkeypatch):
+    from tallymart.plans import q_clean
+    from tallymart.sources import files, tables
+
+    staged, stage = [], tables.stage
+    monkeypatch.setattr(tables, "stage", lambda found: staged.append(stage(found)) or staged[-1])
+    q_clean.post_all(spark, sf).collect()
+    assert [set(s) for s in staged] == [set(q_clean.SPECS)] * 2
+    assert not any(files.exists(spark, next(iter(s.values())).staged_at) for s in staged)
