@@ -44,11 +44,12 @@ from .common import Cut, give_back, map_column, quoted, table
 #: copies.
 STAGE_SHINGLE, STAGE_RADIUS, JACCARD = 5, 8, 0.8
 BITS, RADIUS, SHINGLE, PARTS = 64, 3, 3, (2, 3, 4, 5, 6)
-#: Bytes of a sketch and how many must agree. Texts of a Jaccard similarity of 0.8 miss 8 of 16 once in 700 pairs, those
-#: without a common shingle meet it once in 10^15.
-SKETCH, AGREE = 16, 8
+#: Bytes of a sketch and how many must agree. Texts of a Jaccard similarity of 0.8 miss 41 of 64 once in 1,164 pairs; those
+#: of 0.5 meet it once in 56 pairs (8 of 16: four in five), so families of texts that are only somewhat alike do not meet
+#: pair by pair.
+SKETCH, AGREE = 64, 41
 FACTORS = np.array([xxhash.xxh64_intdigest(bytes([k])) | 1 for k in range(SKETCH)], np.uint64)
-MARKS = ["fp", "sketch0", "sketch1"]
+MARKS = ["fp", *(f"sketch{k}" for k in range(SKETCH // 8))]
 #: Rows of two numbers that are broadcast at most (about 40 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 #: Cost of one candidate pair in probes; only the plan depends on it, never the result.
@@ -100,7 +101,7 @@ def word_fingerprint(text: str | None) -> int:
 
 
 def signatures(docs: DataFrame, text: str = "text", target: str = "signature", size: int = STAGE_SHINGLE) -> DataFrame:
-    """Adds an array of MARKS: the fingerprint of the words, and the sketch of the shingles as two numbers."""
+    """Adds an array of MARKS: the fingerprint of the words, and the sketch of the shingles, eight bytes a number."""
 
     def one(text: str | None) -> np.ndarray:
         return np.concatenate([np.array([word_fingerprint(text)], "<u8").view("<i8"), sketch(shingle_hashes(text, size)).view("<i8")])
@@ -324,16 +325,17 @@ def links(keyed: DataFrame, parallel: int, radius: int = RADIUS) -> DataFrame:
 
 
 def candidates(keyed: DataFrame, parallel: int, radius: int, tries: int) -> DataFrame:
-    """Distinct candidates (a, b), a < b, from rows (part, key, node, fp, sketch0, sketch1, root, refuted): between nodes
-    of different roots whose pair is not refuted yet."""
+    """Distinct candidates (a, b), a < b, from rows (part, key, node, *MARKS, root, refuted): between nodes of different
+    roots whose pair is not refuted yet."""
+    last = 2 + len(MARKS)
 
     def forests(rows: np.ndarray, refuted: list) -> np.ndarray:
-        node, root = rows[:, 1], rows[:, 5]
+        node, root = rows[:, 1], rows[:, last]
         known = [frozenset(r or ()) for r in refuted]
-        pairs = forest(rows[:, 0], np.ascontiguousarray(rows[:, 2]).view(np.uint64), radius, np.ascontiguousarray(rows[:, 3:5]).view(np.uint8), root, lambda i, j: int(node[j]) in known[i], tries)
+        pairs = forest(rows[:, 0], np.ascontiguousarray(rows[:, 2]).view(np.uint64), radius, np.ascontiguousarray(rows[:, 3:last]).view(np.uint8), root, lambda i, j: int(node[j]) in known[i], tries)
         return np.sort(node[np.array(pairs, np.int64).reshape(-1, 2)], axis=1)
 
-    return buckets(keyed, parallel, 5, forests, "a bigint, b bigint").distinct()
+    return buckets(keyed, parallel, last, forests, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, cut: Cut) -> DataFrame:
@@ -437,7 +439,7 @@ def _of_rows(packed: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def groups(nodes: DataFrame, texts_of: Callable[[DataFrame, int], DataFrame], cut: Cut, radius: int = STAGE_RADIUS, size: int = STAGE_SHINGLE, parts: tuple[int, ...] = PARTS) -> DataFrame:
-    """(node, root) of all nodes (node, fp, sketch0, sketch1), different texts: the groups that verified links make.
+    """(node, root) of all nodes (node, *MARKS), different texts: the groups that verified links make.
 
     ``texts_of(nodes, n)`` gives (node, text) of n nodes, a node more than once if its row repeats. Each round verifies the candidates that buckets propose. A round after the
     first looks again at groups in which a candidate was refuted, passes over what is refuted, and proposes four times as

@@ -206,3 +206,19 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert sorted((r.doc_id, r.fp) for r in kept.collect() if r.doc_id is not None) == [(2, 2), (5, 7), (8, 5)]
     assert [r.fp for r in kept.collect() if r.doc_id is None] == [6]
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_sketches_tell_somewhat_alike_texts_from_near_copies():
+    """Of pairs of a Jaccard similarity of 0.5 few are candidates, of those of 0.8 nearly all."""
+    r = np.random.default_rng(8)
+
+    def share(alike):
+        both = round(400 * alike)
+        hits = 0
+        for _ in range(400):
+            h = r.integers(0, 2**64, 400, np.uint64)
+            own = both + (400 - both) // 2
+            hits += int((simhash.sketch(h[:own]) == simhash.sketch(np.r_[h[:both], h[own:]])).sum() >= simhash.AGREE)
+        return hits / 400
+
+    assert share(0.8) > 0.98 and share(0.5) < 0.1
