@@ -97,13 +97,15 @@ def huffman_segment(kind: int, slot: int, lengths: list[int], symbols: bytes) ->
 
 def stuffed(data: np.ndarray) -> bytes:
     """A zero byte after each byte 255."""
-    full = np.flatnonzero(data == 255)
-    return np.insert(data, full + 1, 0).tobytes() if len(full) else data.tobytes()
+    return data.tobytes().replace(b"\xff", b"\xff\x00")
 
 
 def pack_bits(bits: np.ndarray) -> bytes:
     """Bits filled up with ones to whole bytes."""
-    return stuffed(np.packbits(np.concatenate([bits, np.ones(-len(bits) % 8, np.uint8)])))
+    packed = np.packbits(bits)
+    if len(bits) % 8:
+        packed[-1] |= 0xFF >> len(bits) % 8
+    return stuffed(packed)
 
 
 def bits_of(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
@@ -139,11 +141,7 @@ def write(payload: bytes) -> bytes:
         run = flat[:, part].ravel()
         diff[:, part] = np.diff(run, prepend=0).reshape(-1, part.stop - part.start)
     diff = diff.ravel()
-    size = np.zeros(len(diff), np.int64)
-    rest = np.abs(diff)
-    while rest.any():
-        size += rest > 0
-        rest >>= 1
+    size = np.frexp(np.abs(diff))[1].astype(np.int64)  # bits of the magnitude
     extra = np.where(diff < 0, diff + (1 << size) - 1, diff)
     out += [huffman_segment(0, 0, *DC_TABLE), scan_header([1, 2, 3], 0, 0, 0, 1), pack_bits(bits_of(size << size | extra, 4 + size))]
     # AC first: every coefficient is run 0, category 7: code 0 and seven bits, one byte.
@@ -151,8 +149,8 @@ def write(payload: bytes) -> bytes:
     for (name, _, _), c in zip(SAMPLING, coefs):
         for first, last in BANDS:
             band = c[:, :, first : last + 1].reshape(-1)
-            half = np.abs(band) >> 1
-            out += [scan_header([name], first, last, 0, 1), stuffed(np.where(band > 0, half, half ^ 127).astype(np.uint8))]
+            half = (np.abs(band) >> 1).astype(np.uint8)
+            out += [scan_header([name], first, last, 0, 1), stuffed(np.where(band > 0, half, half ^ 127))]
     # Refinements: the low bit of each magnitude (of the value itself in DC); in AC after an end-of-band code per block.
     low = np.empty((down, across, PER_UNIT), np.uint8)
     low[:, :, :4] = (coefs[0][:, :, 0] & 1).reshape(down, 2, across, 2).transpose(0, 2, 1, 3).reshape(down, across, 4)
@@ -160,8 +158,9 @@ def write(payload: bytes) -> bytes:
     out += [scan_header([1, 2, 3], 0, 0, 1, 0), pack_bits(low.ravel()), huffman_segment(1, 0, [1] + [0] * 15, b"\x00")]
     for (name, _, _), c in zip(SAMPLING, coefs):
         for first, last in BANDS:
-            band = (np.abs(c[:, :, first : last + 1]) & 1).astype(np.uint8).reshape(-1, last - first + 1)
-            out += [scan_header([name], first, last, 1, 0), pack_bits(np.insert(band, 0, 0, axis=1).ravel())]
+            bits = np.zeros((c.shape[0] * c.shape[1], last - first + 2), np.uint8)
+            bits[:, 1:] = (c[:, :, first : last + 1] & 1).reshape(-1, last - first + 1)  # of -x as of x
+            out += [scan_header([name], first, last, 1, 0), pack_bits(bits.ravel())]
     return b"".join([*out, b"\xff\xd9"])
 
 
@@ -334,13 +333,13 @@ class Reader:
             if run or not size or len(data) != -(-count * width // 8):
                 return False
             if width == 8:
-                fields = np.frombuffer(data, np.uint8)
+                fields = np.frombuffer(data, np.uint8).astype(np.int16)
             else:
                 bits = np.unpackbits(np.frombuffer(data, np.uint8))[: count * width].reshape(-1, width)
                 fields = bits @ (1 << np.arange(width - 1, -1, -1))
-            if (fields >> size).any():
+            if fields.max(initial=0) >> size:
                 return False
-            view += (extended(fields.astype(np.int32), size) << low).reshape(view.shape).astype(np.int16)
+            view += (extended(fields if width == 8 else fields.astype(np.int32), size) << low).reshape(view.shape).astype(np.int16)
             return True
         blocks = view.shape[0] * view.shape[1]
         width = 1 + last - first + 1
@@ -447,7 +446,9 @@ def planes(file: Reader) -> list[np.ndarray]:
         natural = np.empty(c.shape, np.float32)
         natural[:, :, ZIGZAG] = c * file.quant[q]
         pixels = _BASIS.T @ natural.reshape(*c.shape[:2], 8, 8) @ _BASIS
-        out.append(np.clip(np.rint(pixels + 128), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(c.shape[0] * 8, c.shape[1] * 8))
+        pixels += 128
+        np.rint(pixels, out=pixels)
+        out.append(pixels.clip(0, 255, out=pixels).astype(np.uint8).transpose(0, 2, 1, 3).reshape(c.shape[0] * 8, c.shape[1] * 8))
     return out
 
 
@@ -460,8 +461,11 @@ def rgb(file: Reader) -> np.ndarray:
     if len(full) == 1:
         return np.repeat(full[0].astype(np.uint8)[:, :, None], 3, axis=2)
     y, cb, cr = full[0], full[1] - 128, full[2] - 128
-    out = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    out = np.empty((*y.shape, 3), np.uint8)
+    for k, c in enumerate((y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb)):
+        np.rint(c, out=c)
+        out[:, :, k] = c.clip(0, 255, out=c)
+    return out
 
 
 def feature(tensor: np.ndarray) -> str:
