@@ -20,3 +20,18 @@ def test_an_area_writes_what_it_reads_once_and_leaves_nothing(spark, sf, monkeyp
 
 def test_sources_of_a_table():
     assert star.with_sources(("fact_payments",)) == {"fact_payments", "payments", "fact_orders", "orders", "dim_customer", "customers", "dim_order_status"}
+
+
+def test_few_sellers_and_statuses_are_broadcast(spark, sf):
+    """Whatever Spark estimates for them: facts are not shuffled by a key with few values."""
+    from tallymart.plans.q_clean import cleaned
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = star.build_star(cleaned(spark, sf)[0])
+        plan = q_star.with_business_keys(m, "fact_order_items")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin [product_id" in plan
+    assert not any(f"SortMergeJoin [{c}" in plan for c in ("seller_id", "seller_key", "order_status"))
