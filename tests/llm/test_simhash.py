@@ -222,3 +222,59 @@ def test_sketches_tell_somewhat_alike_texts_from_near_copies():
         return hits / 400
 
     assert share(0.8) > 0.98 and share(0.5) < 0.1
+
+
+def test_a_candidate_comes_from_one_of_its_buckets(spark, monkeypatch):
+    """Near copies meet in most of their buckets; what the buckets propose stays near the number of texts."""
+    r, made, real = random.Random(12), [], simhash.buckets
+
+    def counted(*args):
+        made.append(real(*args).count())
+        return real(*args)
+
+    monkeypatch.setattr(simhash, "buckets", counted)
+    base = [f"w{r.randrange(3000)}" for _ in range(200)]
+    texts = []
+    for i in range(300):
+        w = list(base)
+        w[r.randrange(200)] = f"v{i}"
+        texts.append((i, " ".join(w)))
+    kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert [k.doc_id for k in kept] == [0] and sum(made) < 600
+
+
+def test_each_pair_has_one_owner_among_the_keys_of_both():
+    r = random.Random(13)
+    groups, limits = [list(range(k * 16, k * 16 + 16)) for k in range(4)], [2, 1, -1, 2]
+    masks = [sum(1 << b for b in g) for g in groups]
+    for _ in range(500):
+        a = r.getrandbits(64)
+        b = a
+        for _ in range(r.randint(0, 6)):
+            b ^= 1 << r.randrange(64)
+        if all(t < 0 or ((a ^ b) & m).bit_count() > 2 * t for m, t in zip(masks, limits)):
+            continue
+        pair = np.array([a], np.uint64), np.array([b], np.uint64)
+        part, key = (x[0] for x in simhash.owner(*pair, groups, limits))
+        assert (part, key) == tuple(x[0] for x in simhash.owner(*pair[::-1], groups, limits))
+        assert all(((x & masks[part]) ^ (int(key) & (2**64 - 1))).bit_count() <= limits[part] for x in (a, b))
+
+
+def test_shapes_never_refute_a_link():
+    """And refute most pairs of a similarity of 0.7."""
+    r, refuted = np.random.default_rng(14), 0
+    for k in range(400):
+        n = int(r.integers(1, 600))
+        h = np.unique(r.integers(0, 2**32, 3 * n, np.uint64).astype("<u4"))
+        r.shuffle(h)
+        both, rest = h[:n], h[n:]
+        more = int(n * r.random() * (0.3 if k % 2 else 0.5))
+        own = int(r.integers(0, more + 1))
+        a, b = (np.unique(np.r_[both, x]).astype("<u4") for x in (rest[:own], rest[own:more]))
+        alike = n / (n + more)
+        may = simhash.may_be_similar(simhash.shape(a), simhash.shape(b))
+        assert may or alike < 0.8
+        refuted += alike < 0.72 and not may
+    assert refuted > 30
+    nothing = simhash.shape(np.zeros(0, "<u4"))
+    assert simhash.may_be_similar(nothing, nothing) and not simhash.may_be_similar(nothing, simhash.shape(np.array([5], "<u4")))
