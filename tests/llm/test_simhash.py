@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -278,3 +279,71 @@ def test_shapes_never_refute_a_link():
     assert refuted > 30
     nothing = simhash.shape(np.zeros(0, "<u4"))
     assert simhash.may_be_similar(nothing, nothing) and not simhash.may_be_similar(nothing, simhash.shape(np.array([5], "<u4")))
+
+
+def test_coarse_rows_are_dealt_to_all_keys():
+    r = np.random.default_rng(15)
+    groups, limits = [list(range(0, 20)), list(range(20, 41)), list(range(41, 64))], [1, 2, -1]
+    coarse = [[1, 5, 19], [20, 33], [50]]
+    fps = r.integers(0, 2**64, 12, np.uint64)
+
+    def keys(bits, fp, t):
+        own = int(fp) & sum(1 << b for b in bits)
+        return {own ^ sum(1 << b for b in c) for k in range(t + 1) for c in combinations(bits, k)}
+
+    rows = sorted((k, key, i) for i, fp in enumerate(fps) for k in (0, 1) for key in keys(coarse[k], fp, limits[k])) + [(-1, 77, 0), (4, 5, 1)]
+    part, key, who = (np.array(x) for x in zip(*rows))
+    at, got = simhash.dealt(part, key.astype(np.uint64), fps[who], groups, limits, coarse)
+    have = list(zip(part[at].tolist(), got.tolist(), who[at].tolist()))
+    want = [(k, key, i) for i, fp in enumerate(fps) for k in (0, 1) for key in keys(groups[k], fp, limits[k])] + [(-1, 77, 0), (4, 5, 1)]
+    assert have == sorted(want)
+
+
+def test_what_is_shuffled_for_a_text_stays_small(spark, monkeypatch):
+    """Few rows a text in the first round, one in later rounds, and no text at all for the rows that stay."""
+    r, sent, real = random.Random(16), [], simhash.buckets
+
+    def counted(keyed, *args):
+        sent.append((keyed.count(), keyed.select("node").distinct().count()))
+        return real(keyed, *args)
+
+    monkeypatch.setattr(simhash, "buckets", counted)
+    base = [[f"w{r.randrange(3000)}" for _ in range(200)] for _ in range(30)]
+    texts = []
+    for i in range(600):
+        w = list(base[i % 30])
+        for _ in range(r.choice((1, 7, 8, 9))):
+            w[r.randrange(200)] = f"v{r.randrange(900)}"
+        texts.append((i, " ".join(w)))
+    out = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().toString() and "Exchange SinglePartition" not in out._jdf.queryExecution().toString()
+    assert out.count() == len(set(brute_groups(dict(texts)).values()))
+    assert len(sent) > 1 and sent[0][0] <= 24 * sent[0][1] and all(n == nodes for n, nodes in sent[1:])
+
+
+@pytest.mark.parametrize("together", [2, 2048])
+def test_groups_of_large_components(spark, monkeypatch, together):
+    """Coarse keys of a few bits; components that meet by keys again, and those that meet in one bucket."""
+    monkeypatch.setattr(simhash, "COARSE_ROWS", 16)
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    r = random.Random(17)
+    base = [[f"w{r.randrange(3000)}" for _ in range(r.randint(20, 200))] for _ in range(12)]
+    texts = {}
+    for i in range(300):
+        w = list(r.choice(base))
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(len(w))] = f"v{r.randrange(50)}"
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in simhash.keep_one(docs).collect()} == set(brute_groups(texts).values())
+
+
+def test_rows_that_repeat_and_many_that_go(spark, monkeypatch):
+    """Rows that stay are found by broadcasts or by a shuffle, and once each."""
+    rows = [(i % 40, f"text number {i % 25} of words", "x" if i % 3 else None) for i in range(120)] + [(None, f"another {i % 3}", None) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    got = sorted(simhash.keep_one(docs).collect(), key=str)
+    texts = {r[1] for r in rows}
+    assert len(got) == len(texts) == len({g.text for g in got}) and all(tuple(g) in rows for g in got)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 5)
+    assert sorted(simhash.keep_one(docs).collect(), key=str) == got
